@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tracewright.llm import simhash
+from tracewright.llm import decision_list, simhash
 
 QUERIES = {
     "op4_simhash_bk_tree": simhash.op4_simhash_bk_tree,
+    "op10_decision_list": decision_list.op10_decision_list,
 }
 
 ORACLES: dict[str, str] = {}
