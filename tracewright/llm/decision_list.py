@@ -109,6 +109,17 @@ def _covers(rule: Rule, x: dict[str, np.ndarray], n: int) -> np.ndarray:
     return out
 
 
+def _cut_points(values: np.ndarray, cuts: int) -> np.ndarray:
+    """Midpoints above quantiles of the rows and of the distinct values."""
+    distinct = np.unique(values)
+    if len(distinct) < 2:
+        return distinct[:0]
+    shares = np.linspace(0, 1, cuts + 2)[1:-1]
+    at = np.concatenate([np.searchsorted(distinct, np.quantile(values, shares, method="lower")), (shares * (len(distinct) - 1)).astype(int)])
+    at = np.unique(np.minimum(at, len(distinct) - 2))
+    return (distinct[at] + distinct[at + 1]) / 2
+
+
 def _grow(x: dict[str, np.ndarray], bad: np.ndarray, cuts: int, longest: int) -> Rule:
     rule: list[Condition] = []
     inside = np.ones(len(bad), bool)
@@ -118,8 +129,7 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, cuts: int, longest: int) ->
             break
         before, best, best_gain = math.log2(p / (p + n)), None, 0.0
         for f, values in x.items():
-            here = values[inside]
-            for t in np.unique(np.quantile(here, np.linspace(0, 1, cuts + 2)[1:-1], method="lower")):
+            for t in _cut_points(values[inside], cuts):
                 for above in (True, False):
                     hit = inside & ((values > t) if above else (values <= t))
                     p1 = int((bad & hit).sum())
