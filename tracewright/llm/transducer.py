@@ -18,6 +18,7 @@ Two deterministic machines replace the tokenizer:
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,11 +170,14 @@ class Merger:
         model = json.load(open(path, encoding="utf-8"))["model"]
         of = _byte_characters()
         self.ids = {bytes(of[c] for c in w): i for w, i in model["vocab"].items() if all(c in of for c in w)}
-        self.bytes_of = {i: w for w, i in self.ids.items()}
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[tuple[int, int], int] = {}
+        self.made_of: dict[int, tuple[int, tuple[int, int]]] = {}
+        self.edges: tuple[dict, dict] = ({}, {})
         for r, m in enumerate(model["merges"]):
             a, b = (bytes(of[c] for c in x) for x in (m.split(" ") if isinstance(m, str) else m))
-            self.rank[self.ids[a], self.ids[b]] = (r, self.ids[a + b])
+            pair = (self.ids[a], self.ids[b])
+            self.rank[pair] = r
+            self.made_of.setdefault(self.ids[a + b], (r, pair))
         self.trie: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [-1]
         for w, i in self.ids.items():
@@ -187,7 +191,7 @@ class Merger:
                 at = to
             self.token_at[at] = i
         self.most = most
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -195,31 +199,46 @@ class Merger:
         self.states, self.number = [start], {start: 0}
         self.arcs: dict[int, tuple[int, int]] = {}
 
-    def merged(self, word: bytes) -> list[int]:
-        """Plain BPE of a short byte string."""
-        ids = [self.ids[word[i : i + 1]] for i in range(len(word))]
-        while len(ids) > 1:
-            best = min(((self.rank[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in self.rank), default=None)
-            if best is None:
-                break
-            pair = (ids[best[1]], ids[best[1] + 1])
-            new, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
-                    new.append(self.rank[pair][1])
-                    i += 2
-                else:
-                    new.append(ids[i])
-                    i += 1
-            ids = new
-        return ids
+    def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
+        """The tokens that stand at the right (1) or left (0) edge while ``token`` is being merged,
+        each with the rank of the merge that takes it up."""
+        known = self.edges[side].get(token)
+        if known is None:
+            known, taken = [], math.inf
+            while True:
+                known.append((token, taken))
+                if token not in self.made_of:
+                    break
+                taken, pair = self.made_of[token]
+                token = pair[side]
+            known.reverse()
+            self.edges[side][known[-1][0]] = known
+        return known
 
     def _stable(self, a: int, b: int) -> bool:
-        known = self.stable.get((a, b))
-        if known is None:
-            if len(self.stable) >= self.most:
-                self.stable.clear()
-            known = self.stable[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        """Whether BPE leaves the two tokens side by side: no pair across their border may merge
+        before one of its two sides is taken up by a merge of its own (the left one goes first)."""
+        key = a << 20 | b
+        known = self.stable.get(key)
+        if known is not None:
+            return known
+        if len(self.stable) >= self.most:
+            self.stable.clear()
+        left, right, i, j = self._edge(a, 1), self._edge(b, 0), 0, 0
+        known = True
+        while True:
+            (x, x_taken), (y, y_taken) = left[i], right[j]
+            r = self.rank.get((x, y), math.inf)
+            if r < x_taken and r <= y_taken and r < math.inf:
+                known = False
+                break
+            if x_taken == y_taken == math.inf:
+                break
+            if x_taken <= y_taken:
+                i += 1
+            else:
+                j += 1
+        self.stable[key] = known
         return known
 
     def _compile(self, state: int, byte: int) -> tuple[int, int]:
