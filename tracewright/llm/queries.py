@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tracewright.llm import decision_list, simhash
+from tracewright.llm import decision_list, planefile, simhash, transducer
 
 QUERIES = {
+    "op1_token_transducer": transducer.op1_token_transducer,
     "op4_simhash_bk_tree": simhash.op4_simhash_bk_tree,
+    "op8_bit_plane_files": planefile.op8_bit_plane_files,
     "op10_decision_list": decision_list.op10_decision_list,
 }
 
