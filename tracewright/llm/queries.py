@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tracewright.llm import chat, decision_list, planefile, simhash, transducer
+from tracewright.llm import chat, decision_list, hyperlang, planefile, simhash, transducer
 
 QUERIES = {
     "op1_token_transducer": transducer.op1_token_transducer,
     "op4_simhash_bk_tree": simhash.op4_simhash_bk_tree,
     "op7_typed_parts": chat.op7_typed_parts,
     "op8_bit_plane_files": planefile.op8_bit_plane_files,
+    "op9_hyperdimensional": hyperlang.op9_hyperdimensional,
     "op10_decision_list": decision_list.op10_decision_list,
 }
 
