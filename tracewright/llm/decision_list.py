@@ -190,10 +190,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, **settings) ->
     sample = usable.where(F.pmod(F.xxhash64(F.lit("rules"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
     rows = (
-        text_statistics(picked).where(~base_failed()).join(F.broadcast(sample), "doc_id")
-        .select("doc_id", (F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(3)) == 0).alias("held"), *[F.expr(v).alias(k) for k, v in FEATURES.items()])
-        .orderBy("doc_id").collect()
+        text_statistics(picked).join(F.broadcast(sample), "doc_id")
+        .select("doc_id", base_failed().alias("failed"), (F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(3)) == 0).alias("held"), *[F.expr(v).alias(k) for k, v in FEATURES.items()])
+        .collect()
     )
+    rows = sorted((r for r in rows if not r.failed), key=lambda r: r.doc_id)  # here, as a filter or sort in the plan would compute the statistics of all rows
     x = {k: np.array([r[k] for r in rows], float) for k in FEATURES}
     return learn(x, np.array([r.bad for r in rows], bool), np.array([r.held for r in rows], bool), **settings)
 
