@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tracewright.llm import chat, decision_list, hyperlang, planefile, simhash, transducer
+from tracewright.llm import chat, decision_list, hyperlang, mixing, planefile, simhash, transducer
 
 QUERIES = {
     "op1_token_transducer": transducer.op1_token_transducer,
+    "op2_poisson_mixture": mixing.op2_poisson_mixture,
     "op4_simhash_bk_tree": simhash.op4_simhash_bk_tree,
     "op7_typed_parts": chat.op7_typed_parts,
     "op8_bit_plane_files": planefile.op8_bit_plane_files,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_poisson_mixture": mixing.OP2_SQL,
     "op7_typed_parts": chat.OP7_SQL,
 }
