@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tracewright.llm import chat, decision_list, hyperlang, mixing, planefile, simhash, transducer
+from tracewright.llm import chat, decision_list, hyperlang, mixing, planefile, simhash, spans, transducer
 
 QUERIES = {
     "op1_token_transducer": transducer.op1_token_transducer,
     "op2_poisson_mixture": mixing.op2_poisson_mixture,
     "op4_simhash_bk_tree": simhash.op4_simhash_bk_tree,
+    "op6_sentence_spans": spans.op6_sentence_spans,
     "op7_typed_parts": chat.op7_typed_parts,
     "op8_bit_plane_files": planefile.op8_bit_plane_files,
     "op9_hyperdimensional": hyperlang.op9_hyperdimensional,
