@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tracewright.llm import chat, decision_list, hyperlang, mixing, planefile, simhash, spans, transducer
+from tracewright.llm import chat, containment, decision_list, hyperlang, mixing, planefile, simhash, spans, transducer
 
 QUERIES = {
     "op1_token_transducer": transducer.op1_token_transducer,
     "op2_poisson_mixture": mixing.op2_poisson_mixture,
+    "op3_containment": containment.op3_containment,
     "op4_simhash_bk_tree": simhash.op4_simhash_bk_tree,
     "op6_sentence_spans": spans.op6_sentence_spans,
     "op7_typed_parts": chat.op7_typed_parts,
@@ -17,5 +18,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_poisson_mixture": mixing.OP2_SQL,
+    "op3_containment": containment.OP3_SQL,
     "op7_typed_parts": chat.OP7_SQL,
 }
