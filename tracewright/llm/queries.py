@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tracewright.llm import chat, containment, decision_list, hyperlang, mixing, planefile, simhash, spans, transducer
+from tracewright.llm import chat, containment, decision_list, hyperlang, mixing, planefile, simhash, spans, toxicity, transducer
 
 QUERIES = {
     "op1_token_transducer": transducer.op1_token_transducer,
     "op2_poisson_mixture": mixing.op2_poisson_mixture,
     "op3_containment": containment.op3_containment,
     "op4_simhash_bk_tree": simhash.op4_simhash_bk_tree,
+    "op5_classifier_chain": toxicity.op5_classifier_chain,
     "op6_sentence_spans": spans.op6_sentence_spans,
     "op7_typed_parts": chat.op7_typed_parts,
     "op8_bit_plane_files": planefile.op8_bit_plane_files,
