@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tracewright.llm import chat, containment, decision_list, hyperlang, mixing, planefile, simhash, spans, toxicity, transducer
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_bit_plane_files": planefile.op8_bit_plane_files,
     "op9_hyperdimensional": hyperlang.op9_hyperdimensional,
     "op10_decision_list": decision_list.op10_decision_list,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
