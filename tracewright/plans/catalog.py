@@ -1,10 +1,6 @@
 """Every registered query with its SQL oracle."""
 
-from __future__ import annotations
+from tracewright.plans import motion  # noqa: F401
+from tracewright.plans.base import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
