@@ -27,7 +27,7 @@ def streamed_sessions(spark: SparkSession, folder: str, out: str, gap: str = GAP
     the input ends with a sentinel of user -1, which is left out of what is returned.
     """
     schema = spark.read.parquet(folder).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(folder)
+    stream = spark.readStream.schema(schema).parquet(folder)
     q = session_counts(stream, gap).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out).where("user_id >= 0")
