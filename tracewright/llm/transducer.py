@@ -101,12 +101,21 @@ class Splitter:
         """For chunks (columns) of symbols: state after and starts emitted, by state before."""
         state = np.tile(np.arange(8, dtype=np.int64), (sym.shape[1], 1))
         emitted = np.zeros(state.shape, np.int32)
-        go, mark = self.go.ravel(), self.mark.ravel()
-        for row in sym:
+        go, mark = self.go.ravel().astype(np.int64), self.mark.ravel()
+        for k, row in enumerate(sym):
+            if k % 16 == 15 and (state == state[:, :1]).all():
+                break  # every map is constant by now: one state a chunk suffices for the rest
             at = state * 10 + row[:, None]
             emitted += mark[at]
-            state = go[at].astype(np.int64)
-        return state, emitted
+            state = go[at]
+        else:
+            return state, emitted
+        one, more = state[:, 0], np.zeros(len(state), np.int32)
+        for row in sym[k:]:
+            at = one * 10 + row
+            more += mark[at]
+            one = go[at]
+        return np.repeat(one[:, None], 8, 1), emitted + more[:, None]
 
     @staticmethod
     def scan(state: np.ndarray, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,11 +140,11 @@ class Splitter:
         if chunks > 1:
             now[1:] = state[:-1, FRESH]
         marks = np.empty(sym.shape, np.uint8)
-        go, mark = self.go.ravel(), self.mark.ravel()
+        go, mark = self.go.ravel().astype(np.int64), self.mark.ravel()
         for k, row in enumerate(sym):
             at = now * 10 + row
             marks[k] = mark[at]
-            now = go[at].astype(np.int64)
+            now = go[at]
         return np.flatnonzero(np.ascontiguousarray(marks.T).ravel()[:n])
 
     def pieces(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
