@@ -16,7 +16,7 @@ LIB = Tokenizer.from_file(PATH)
 
 def want(rows):
     at = 0
-    for doc_id, text in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = [*LIB.encode(text or "", add_special_tokens=False).ids, 2]
         yield doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())
         at += len(ids)
@@ -53,10 +53,11 @@ def test_encoder_equals_the_library():
 
 @pytest.mark.parametrize("bits", [False, True])
 def test_odd_rows(spark, bits):
-    rows = [(3, None), (1, ""), (2, "a b"), (2, "a b"), (2, "A <|endoftext|>"), (-5, "x " * 5000)]
+    rows = [(3, None), (1, ""), (2, "a b"), (2, "a b"), (2, "A <|endoftext|>"), (-5, "x " * 5000), (None, "no id")]
     docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, shard int")
-    got = sorted(tuple(r)[:4] for r in pf.encoded_documents(docs, PATH, bits=bits, shards=3).collect())
-    ends = lambda rs: sorted((a, n, c) for a, _, n, c in rs)
+    got = [tuple(r)[:4] for r in pf.encoded_documents(docs, PATH, bits=bits, shards=3).collect()]
+    ends = lambda rs: sorted(((a, n, c) for a, _, n, c in rs), key=str)
+    assert min(got, key=lambda r: r[1])[0] is None
     assert ends(got) == ends(want(rows))
     assert [s for _, s, _, _ in sorted(got, key=lambda r: r[1])] == np.concatenate([[0], np.cumsum([n for _, _, n, _ in sorted(got, key=lambda r: r[1])])[:-1]]).tolist()
     assert pf.encoded_documents(docs.limit(0), PATH).count() == 0

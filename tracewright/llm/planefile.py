@@ -33,7 +33,7 @@ from tracewright.llm.transducer import Splitter
 
 MAGIC = b"TWPLANE1"
 BLOCK = 65_536
-TRAILER = struct.Struct("<QQQQIB8s")  # document index at, its size, chunk index at, its size, blocks, planes, magic
+TRAILER = struct.Struct("<QQQQQIB8s")  # documents, their index's place and size, chunk index's place and size, blocks, planes, magic
 
 
 def to_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -73,7 +73,7 @@ class ShardWriter:
         self.sink.write(data)
         self.at += len(data)
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         """Append one document's little-endian unsigned 32-bit ids."""
         self.doc_ids.append(doc_id)
         self.lengths.append(len(ids) // 4)
@@ -95,13 +95,15 @@ class ShardWriter:
 
     def close(self) -> None:
         self._flush(True)
-        docs = self.zip.compress(np.array(self.doc_ids, "<i8").tobytes() + np.array(self.lengths, "<u8").tobytes())
+        known = np.array([i is not None for i in self.doc_ids], bool)
+        ids = np.array([i or 0 for i in self.doc_ids], "<i8")
+        docs = self.zip.compress(ids.tobytes() + np.array(self.lengths, "<u8").tobytes() + np.packbits(known).tobytes())
         docs_at = self.at
         self._put(docs)
         index = np.array(self.chunks, "<u8").tobytes()
         index_at = self.at
         self._put(index)
-        self._put(TRAILER.pack(docs_at, len(docs), index_at, len(index), len(self.chunks), 32 if self.bits else 4, MAGIC))
+        self._put(TRAILER.pack(len(ids), docs_at, len(docs), index_at, len(index), len(self.chunks), 32 if self.bits else 4, MAGIC))
 
 
 class ShardReader:
@@ -109,12 +111,13 @@ class ShardReader:
 
     def __init__(self, source, size: int) -> None:
         self.source, self.zip = source, zstandard.ZstdDecompressor()
-        docs_at, docs_n, index_at, index_n, blocks, planes, magic = TRAILER.unpack(self._get(size - TRAILER.size, TRAILER.size))
+        n, docs_at, docs_n, index_at, index_n, blocks, planes, magic = TRAILER.unpack(self._get(size - TRAILER.size, TRAILER.size))
         if magic != MAGIC:
             raise ValueError("not a plane file")
         docs = self.zip.decompress(self._get(docs_at, docs_n))
-        self.doc_ids = np.frombuffer(docs[: len(docs) // 2], "<i8")
-        self.lengths = np.frombuffer(docs[len(docs) // 2 :], "<u8").astype(np.int64)
+        known = np.unpackbits(np.frombuffer(docs[16 * n :], np.uint8), count=n)
+        self.doc_ids = [i if k else None for i, k in zip(np.frombuffer(docs[: 8 * n], "<i8").tolist(), known.tolist())]
+        self.lengths = np.frombuffer(docs[8 * n : 16 * n], "<u8").astype(np.int64)
         self.chunks = np.frombuffer(self._get(index_at, index_n), "<u8").reshape(blocks, 2 + planes).astype(np.int64)
 
     def _get(self, at: int, n: int) -> bytes:
@@ -127,10 +130,10 @@ class ShardReader:
         edges = np.cumsum([0, *sizes]).tolist()
         return from_planes([self.zip.decompress(data[a:b]) for a, b in zip(edges, edges[1:])], n)
 
-    def documents(self) -> Iterator[tuple[int, int, int]]:
+    def documents(self) -> Iterator[tuple[int | None, int, int]]:
         """``doc_id, n_tokens, crc32`` of each document's ids, in order, one block in memory."""
         block, at, k = np.zeros(0, "<u4"), 0, 0
-        for doc_id, n in zip(self.doc_ids.tolist(), self.lengths.tolist()):
+        for doc_id, n in zip(self.doc_ids, self.lengths.tolist()):
             crc, left = 0, n
             while left:
                 if at == len(block):
@@ -192,7 +195,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
 
     ``folder`` is a URI that the executors reach and that pyarrow opens (a shared mount, or a store
     it has a client for). A null text counts as empty and has the end id alone; rows with null
-    ``doc_id`` raise, since the format has no place for them; an empty table writes no file.
+    ``doc_id`` go first and stay null in the index; an empty table writes no file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,8 +222,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["shard", "path", "n_docs", "n_ids", "size"])
 
     n = shards or partitions(docs.sparkSession)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.raise_error("doc_id is null").cast("long"))
-    rows = docs.select(key.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = ["doc_id", F.xxhash64("text"), "text"]
     rows = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions(*order)
     return rows.mapInArrow(run, "shard long, path string, n_docs long, n_ids long, size long")
