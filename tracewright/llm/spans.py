@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import written
+
 RUN, WORDS, PIECE = 3, 15, 12
 _WORD = re.compile(r"[^\s]+")
 _STOP = re.compile(r"[.!?][^\w\s]*$")
@@ -85,6 +87,7 @@ def repeated_spans(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataF
     """``doc_id, first, last`` of every occurrence but the first of every repeated span."""
     spans = sentence_spans(docs, run, words)
     first = spans.groupBy("h").agg(F.min("doc_id").alias("origin"), F.count("*").alias("n")).where("n > 1").select("h", "origin")
+    first = written(first, "repeated-spans")  # as a table of its own, the join has two plain exchanges and a frequent span's rows can be split
     return spans.join(first, "h").where("again or doc_id != origin").select("doc_id", "first", "last")
 
 
