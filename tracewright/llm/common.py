@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps between tasks: one object at a time.
+
+    Workers are reused from stage to stage, so the tables of a stage gone by would else stay in memory
+    beside the next one's.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import held
+
 DIM = 1024
 UNIT = 10_000
 NONE = "und"
@@ -27,18 +29,16 @@ MIN_SCORE = 0.0
 class Hypervectors:
     """n-gram vectors of a process, made when first met."""
 
-    _held: dict[tuple[int, int], Hypervectors] = {}
-
-    def __init__(self, n: int = 3, dim: int = DIM, most: int = 60_000) -> None:
+    def __init__(self, n: int = 3, dim: int = DIM, most: int = 32_768) -> None:
         self.n, self.dim, self.most = n, dim, most
         self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
-        self.table = np.zeros((1024, dim), np.int8)
+        self.table = np.zeros((most, dim), np.int8)
         self.kind = np.full(0x110000, 255, np.uint8)
 
     @classmethod
     def of(cls, n: int, dim: int) -> Hypervectors:
-        return cls._held.setdefault((n, dim), cls(n, dim))
+        return held((cls, n, dim), lambda: cls(n, dim))
 
     def _letter(self, point: int) -> np.ndarray:
         v = self.letters.get(point)
@@ -97,8 +97,6 @@ class Hypervectors:
             return self._sum(grams[:half], counts[:half]) + self._sum(grams[half:], counts[half:])
         for g in grams:
             if g not in rows:
-                if len(rows) == len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
                 self.table[len(rows)] = self._gram(g)
                 rows[g] = len(rows)
         at = np.fromiter(map(rows.__getitem__, grams), np.int64, len(grams))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import partitions, scratch, text_slices, written
+from tracewright.llm.common import held, partitions, scratch, text_slices, written
 from tracewright.llm.transducer import Splitter
 
 MAGIC = b"TWPLANE1"
@@ -148,9 +148,7 @@ class ShardReader:
 class Encoder:
     """Ids as the tokenizers library gives them, with the pieces it has met remembered."""
 
-    _held: dict[str, Encoder] = {}
-
-    def __init__(self, path: str, most: int = 800_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -163,9 +161,7 @@ class Encoder:
     @classmethod
     def of(cls, path: str) -> Encoder:
         """One per worker process."""
-        if path not in cls._held:
-            cls._held[path] = cls(path)
-        return cls._held[path]
+        return held((cls, path), lambda: cls(path))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""

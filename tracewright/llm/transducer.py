@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracewright.llm.common import text_slices
+from tracewright.llm.common import held, text_slices
 
 # Character classes of the table, then the symbols that depend on what follows.
 LETTER, NUMBER, OTHER, BLANK, WHITE, END, BLANK_LAST, WHITE_LAST, SHORT_TWO, SHORT_THREE = range(10)
@@ -299,8 +299,6 @@ class Counts(dict):
 class TokenCounter:
     """Numbers of tokens exactly as the tokenizer file gives them."""
 
-    _held: dict[str, TokenCounter] = {}
-
     def __init__(self, path: str) -> None:
         tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.special]
@@ -310,9 +308,7 @@ class TokenCounter:
     @classmethod
     def of(cls, path: str) -> TokenCounter:
         """One per worker process."""
-        if path not in cls._held:
-            cls._held[path] = cls(path)
-        return cls._held[path]
+        return held((cls, path), lambda: cls(path))
 
     def count(self, texts: list[str]) -> np.ndarray:
         parts: list[str] = []
