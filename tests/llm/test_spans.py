@@ -36,6 +36,11 @@ def test_sentences():
     assert sp.sentences(" \n") == []
 
 
+def test_words_without_places(spark):
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() + [("a.) b! c\n\n d... e?\" f\u2028g .",), ("",)]:
+        assert sp.sentence_words(r[0]) == [w for _, w in sp.sentences(r[0])]
+
+
 def test_query_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in sp.op6_sentence_spans(spark, SF).collect()}

@@ -48,14 +48,32 @@ def sentences(text: str) -> list[tuple[int, list[str]]]:
     return out
 
 
-def spans_of(found: list[tuple[int, list[str]]], run: int = RUN, words: int = WORDS) -> Iterator[tuple[int, int, int]]:
-    """``hash, first, last`` of each start's span."""
-    digests = [xxhash.xxh3_128_digest(" ".join(w).encode()) for _, w in found]
-    upto = np.concatenate([[0], np.cumsum([len(w) for _, w in found])])
+def sentence_words(text: str) -> list[list[str]]:
+    """The words of each sentence of ``sentences``, without their places."""
+    out: list[list[str]] = []
+    for line in text.split("\n"):
+        open_words: list[str] = []
+        for word in line.split():
+            if len(open_words) == PIECE:
+                out.append(open_words)
+                open_words = []
+            open_words.append(word)
+            if not word[-1].isalnum() and _STOP.search(word):
+                out.append(open_words)
+                open_words = []
+        if open_words:
+            out.append(open_words)
+    return out
+
+
+def spans_of(found: list[list[str]], run: int = RUN, words: int = WORDS) -> tuple[list[int], np.ndarray]:
+    """Hashes of the spans that start at the first sentences, in order, and where each ends."""
+    digests = [xxhash.xxh3_128_digest(" ".join(w).encode()) for w in found]
+    upto = np.concatenate([[0], np.cumsum([len(w) for w in found])])
     ends = np.maximum(np.searchsorted(upto, upto[:-1] + words, "left"), np.arange(len(found)) + run)
-    for first, end in enumerate(ends.tolist()):
-        if end <= len(found):
-            yield xxhash.xxh3_64_intdigest(b"".join(digests[first:end])), first, end - 1
+    ends = ends[ends <= len(found)]
+    digest = xxhash.xxh3_64_intdigest
+    return [digest(b"".join(digests[i:j])) for i, j in enumerate(ends.tolist())], ends - 1
 
 
 def sentence_spans(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
@@ -64,21 +82,24 @@ def sentence_spans(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataF
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
+            parts: list[tuple] = []
+            held = 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+                h, last = spans_of(sentence_words(text.as_py() or ""), run, words)
                 met: set[int] = set()
-                for x, i, j in spans_of(sentences(text.as_py() or ""), run, words):
-                    rows.append((x, doc_id, i, j, x in met))
-                    met.add(x)
-                if len(rows) > 50_000:
-                    yield batch(rows)
-                    rows = []
-            yield batch(rows)
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        h, *rest = zip(*rows) if rows else [()] * 5
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), *map(pa.array, rest, types)], ["h", "doc_id", "first", "last", "again"])
+                again = [x in met or met.add(x) is not None for x in h] if len(set(h)) < len(h) else [False] * len(h)
+                parts.append((h, np.full(len(h), doc_id), np.arange(len(h)), last, again))
+                held += len(h)
+                if held > 50_000:
+                    yield batch(parts)
+                    parts, held = [], 0
+            if parts:
+                yield batch(parts)
+
+    def batch(parts: list[tuple]) -> pa.RecordBatch:
+        kinds = (np.uint64, np.int64, np.int32, np.int32, bool)
+        columns = [np.concatenate([np.asarray(p[k], kind) for p in parts]) for k, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), *map(pa.array, columns[1:])], ["h", "doc_id", "first", "last", "again"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(spans, "h long, doc_id long, first int, last int, again boolean")
 
@@ -109,9 +130,14 @@ def remove_repeated_spans(docs: DataFrame, run: int = RUN, words: int = WORDS) -
             texts, n, removed = [], [], []
             for text, marks in zip(b.column(at), b.column(b.num_columns - 1)):
                 text, marks = text.as_py(), marks.as_py()
-                found = sentences(text or "")
+                if not marks:
+                    texts.append(text)
+                    n.append(len(sentence_words(text or "")))
+                    removed.append(0)
+                    continue
+                found = sentences(text)
                 gone = np.zeros(len(found) + 1, np.int64)
-                for m in marks or ():
+                for m in marks:
                     gone[m["first"]] += 1
                     gone[m["last"] + 1] -= 1
                 gone = np.cumsum(gone)[:-1] > 0
