@@ -248,12 +248,13 @@ def op4_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first_of_groups(docs: DataFrame) -> DataFrame:
+def keep_first_of_groups(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """One document of each near-duplicate group: the row with the group's smallest id.
 
+    ``groups`` has ``doc_id, component_id`` of every row (default: those of ``near_duplicate_groups``).
     Rows that share that id are one document; one of them stays. Rows without id are kept.
     """
-    groups = written(near_duplicate_groups(docs), "simhash-groups")
+    groups = written(near_duplicate_groups(docs) if groups is None else groups, "simhash-groups")
     ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
     ids = written(ids.where((F.col("c") != F.col("doc_id")) | (F.col("n") > 1)), "simhash-drop")
     dropped = ids.where(F.col("c") != F.col("doc_id")).select("doc_id")
