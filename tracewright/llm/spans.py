@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (after ``.``, ``!`` or ``?`` and at line ends; a sentence over
-``PIECE`` words counts as several of at most that many). At every sentence a span starts: the shortest
+``PIECE`` words counts as several of at most that many, cut where its own words say, so that the pieces
+of a passage are the same whatever stands before it but for a few words at its ends). At every sentence a span starts: the shortest
 run of at least ``RUN`` sentences with at least ``WORDS`` words. All spans of all texts are hashed,
 the hashes that occur more than once are found by a grouped minimum that combines on the map side, and
 a join marks every occurrence but the first (by ``doc_id``, then place). Sentences under a marked span
@@ -11,6 +12,7 @@ are removed.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,43 +28,76 @@ _WORD = re.compile(r"[^\s]+")
 _STOP = re.compile(r"[.!?][^\w\s]*$")
 
 
+def pieces(words: list[str]) -> list[int]:
+    """Where the pieces of a sentence end: a long one's after words whose hash is the smallest of five
+    words around them, and after ``PIECE`` words where none is."""
+    n = len(words)
+    if n <= PIECE:
+        return [n]
+    h = [zlib.crc32(w.encode()) for w in words]
+    ends, last = [], 0
+    for i in range(2, n - 2):
+        x = h[i]
+        if x < h[i - 1] and x < h[i + 1] and x < h[i - 2] and x < h[i + 2]:
+            ends += range(last + PIECE, i + 1, PIECE)
+            last = i + 1
+            ends.append(last)
+    ends += range(last + PIECE, n, PIECE)
+    ends.append(n)
+    return ends
+
+
 def sentences(text: str) -> list[tuple[int, list[str]]]:
     """Start and words of each sentence; a start is the place of its first word."""
     out: list[tuple[int, list[str]]] = []
     open_words: list[str] = []
-    start, last_end = 0, 0
+    starts: list[int] = []
+    last_end = 0
+
+    def close() -> None:
+        at = 0
+        for end in pieces(open_words):
+            out.append((starts[at], open_words[at:end]))
+            at = end
+        open_words.clear()
+        starts.clear()
+
     for m in _WORD.finditer(text):
         word = m[0]
-        if open_words and (len(open_words) == PIECE or "\n" in text[last_end : m.start()]):
-            out.append((start, open_words))
-            open_words = []
-        if not open_words:
-            start = m.start()
+        if open_words and "\n" in text[last_end : m.start()]:
+            close()
+        starts.append(m.start())
         open_words.append(word)
         last_end = m.end()
         if word[-1] in ".!?" or _STOP.search(word):
-            out.append((start, open_words))
-            open_words = []
+            close()
     if open_words:
-        out.append((start, open_words))
+        close()
     return out
 
 
 def sentence_words(text: str) -> list[list[str]]:
     """The words of each sentence of ``sentences``, without their places."""
     out: list[list[str]] = []
+
+    def close(words: list[str]) -> None:
+        if len(words) <= PIECE:
+            out.append(words)
+            return
+        at = 0
+        for end in pieces(words):
+            out.append(words[at:end])
+            at = end
+
     for line in text.split("\n"):
-        open_words: list[str] = []
-        for word in line.split():
-            if len(open_words) == PIECE:
-                out.append(open_words)
-                open_words = []
-            open_words.append(word)
+        words = line.split()
+        at = 0
+        for i, word in enumerate(words, 1):
             if not word[-1].isalnum() and _STOP.search(word):
-                out.append(open_words)
-                open_words = []
-        if open_words:
-            out.append(open_words)
+                close(words[at:i])
+                at = i
+        if at < len(words):
+            close(words[at:])
     return out
 
 
