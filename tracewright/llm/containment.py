@@ -9,8 +9,9 @@ comparable size. Each window gets a one-permutation MinHash sketch (the smallest
 verified on the shingles themselves: the exact share of the item's distinct shingles that the whole
 document holds.
 
-The items' sketches are broadcast in blocks of at most ``block_items``, whatever their number: the
-items are a query set held against all documents, one pass for each block.
+The items' sketches are broadcast in blocks of at most ``block_items`` items and ``block_bytes`` of
+text (a longer item stands alone), whatever their number: the items are a query set held against all
+documents, one pass for each block.
 """
 
 from __future__ import annotations
@@ -169,23 +170,48 @@ class ItemIndex:
         return out
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block_items: int = 20_000, slice_bytes: int = 1 << 19) -> DataFrame:
+def item_blocks(asked: DataFrame, block_items: int, block_bytes: int) -> list[DataFrame]:
+    """``item_id, text`` in blocks bounded by rows and by bytes of text.
+
+    Items are dealt to many small buckets by hash and only the buckets' sizes are collected; runs of
+    buckets make a block. A bucket over the bounds is dealt again by another hash; what is left over
+    them after four deals (one item, or copies of one) is a block.
+    """
+
+    size = F.octet_length("text").cast("long")
+
+    def cut(part: DataFrame, n: int, total: int, depth: int) -> list[DataFrame]:
+        if n <= block_items and total <= block_bytes or n == 1 or depth == 4:
+            return [part]
+        most = 16 * max(-(-n // block_items), -(-total // block_bytes))
+        bucket = F.pmod(F.xxhash64("item_id", "text", F.lit(depth)), F.lit(most))
+        sizes = part.groupBy(bucket.alias("k")).agg(F.count("*").alias("n"), F.sum(size).alias("b")).orderBy("k").collect()
+        out, first, rows, held = [], 0, 0, 0
+        for i, r in enumerate(sizes):
+            if i > first and (rows + r.n > block_items or held + r.b > block_bytes):
+                out += cut(part.where(bucket.between(sizes[first].k, sizes[i - 1].k)), rows, held, depth + 1)
+                first, rows, held = i, 0, 0
+            rows, held = rows + r.n, held + r.b
+        return out + cut(part.where(bucket.between(sizes[first].k, sizes[-1].k)), rows, held, depth + 1)
+
+    n, total = asked.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return cut(asked, n, total, 0)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block_items: int = 20_000, slice_bytes: int = 1 << 19, block_bytes: int = 4 << 20) -> DataFrame:
     """``doc_id, item_id, n_shared, n_item, containment``: each pair of a document and an item of which
     it holds at least ``threshold`` of the distinct shingles.
 
     Texts are lower-cased; words end at ASCII white space. Items without words (null, empty) match
-    nothing, items of fewer than five words are one shingle; null texts match nothing; repeated rows
-    and items are searched one by one; empty tables give an empty result.
+    nothing; items of fewer than five words are one shorter shingle, which only documents of just these
+    words hold; null texts match nothing; repeated rows and items are searched one by one; empty tables give an empty result.
     """
     spark = docs.sparkSession
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     asked = items.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).where("text != ''")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    n = asked.count()
-    blocks = max(1, -(-n // block_items))
     out = None
-    for k in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+    for block in item_blocks(asked, block_items, block_bytes):
         sent = spark.sparkContext.broadcast([(r.item_id, r.text) for r in block.collect()])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
