@@ -50,7 +50,7 @@ def test_recall_in_long_documents(size):
         noise = [word() for _ in range(rng.choice([0, 30, 4000]))]
         at = rng.randrange(len(noise) + 1)
         docs.append((k, " ".join(noise[:at] + keep + noise[at:])))
-    found = ct.ItemIndex(items).contained([t for _, t in docs], 0.8)
+    found = ct.ItemIndex(items).contained([t for _, t in docs])
     assert {(docs[t][0], k, a, b) for t, k, a, b in found} == slow(docs, items)
 
 

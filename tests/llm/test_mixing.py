@@ -68,3 +68,18 @@ def test_weights_and_odd_rows(spark):
     assert abs(n["b"] / n["a"] - 3) < 0.5 and n["c"] == 0 and n[None] > 100
     assert mixing.mix_sources(docs.limit(0), mixing.source_rates(docs.limit(0))).count() == 0
     assert mixing.mix_sources(docs, rates, small_sources=1).count() == out.count()
+
+
+def test_clashing_names_and_many_weights(spark):
+    docs = spark.createDataFrame([(i, "t", "a", i, "x", 1.0) for i in range(300)], "doc_id long, text string, source string, source_name long, draw_key string, Mix_rate_ double")
+    weights = {"a": 1.0} | {f"s{k}": 1.0 for k in range(3000)}
+    out = mixing.mix_sources(docs, mixing.source_rates(docs, weights)).collect()
+    assert len(out) > 200 and all(r.source_name == r.doc_id and r.draw_key == "x" for r in out)
+    keys = [r.mix_key for r in out]
+    assert keys == sorted(keys)
+
+
+def test_no_sampling_pass(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = mixing.mix_sources(docs, mixing.source_rates(docs))._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and plan.count("CartesianProduct") == 0

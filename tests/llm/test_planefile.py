@@ -46,7 +46,7 @@ def test_shard_round_trip(bits):
 
 def test_encoder_equals_the_library():
     texts = ["", "it's  a\n\n b <|endoftext|> c", "x<|endoftext|>", "é" * 50, "a b " * 100, "漢字　x"]
-    small = pf.Encoder(PATH, most=3)
+    small = pf.Encoder(PATH, most_bytes=1)
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in small.encode(texts)] == [LIB.encode(t, add_special_tokens=False).ids for t in texts]
 

@@ -1,4 +1,4 @@
-"""Shared helpers: the shared scratch folder, written tables and bounded text batches."""
+"""Shared helpers: the shared scratch folder, written tables, bounded batches of rows and what workers keep."""
 
 from __future__ import annotations
 
@@ -10,16 +10,20 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, one machine) a temporary folder is set.
+    Where the session names none, a temporary folder is set on a local master (tests, one machine);
+    on a cluster, where executors would not see it, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-tracewright-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -41,11 +45,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``docs`` has them (case does not count)."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 _HELD: dict = {}
 
 
 def held(key: tuple, make: Callable[[], Any]) -> Any:
-    """What a worker process keeps between tasks: one object at a time.
+    """What a worker process keeps between batches: one object at a time.
 
     Workers are reused from stage to stage, so the tables of a stage gone by would else stay in memory
     beside the next one's.
@@ -60,6 +76,11 @@ def held(key: tuple, make: Callable[[], Any]) -> Any:
 def released() -> None:
     """Give a worker's tables and free pages back, as idle workers count beside the next stage."""
     _HELD.clear()
+    trimmed()
+
+
+def trimmed() -> None:
+    """Give free pages back but keep what ``held`` holds, for the next task of the same stage."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -81,3 +102,12 @@ def text_slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the strings of column ``text`` have ``most`` bytes together at most (a
+    longer one stands alone): what is converted to Python objects at once is bounded by bytes."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()
+        for i, j in text_slices(sizes, most):
+            yield b.slice(i, j - i)

@@ -3,7 +3,9 @@
 A source's mean repetition rate is the number of its units that the target weights ask for over the
 units it has. Every document draws how often it appears by inverting the Poisson distribution of that
 mean at a uniform number hashed from its id and a seed, is exploded into as many copies, and all
-copies are put in one global random order by a hash of id, copy and seed.
+copies are put in one global random order by a hash of id, copy and seed. The hash is uniform, so a
+row's place in the order is known from it alone: it goes to the partition that the hash's share of the
+range names, without sampling the rows for range bounds first.
 
 A draw needs no other row, so it is the same for any partitioning and any retry. Means over 16 are
 drawn as sums of independent parts, which keeps the inversion exact in doubles.
@@ -14,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import partitions, written
+from tracewright.llm.common import partitions, unused, written
 
 PART = 16.0
 DEPTH = 80
+KEY_BITS = 60
 
 
 def uniform(*keys: Column) -> Column:
@@ -51,17 +54,16 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     output is its weight over the sum of weights of the sources present (0 if it has none); without,
     shares go as units to the power ``temperature``. ``total`` is the expected size of the output in
     units (default: as large as the input). A null source is a source of its own, named ``""`` in
-    ``weights``.
+    ``weights``. Null and empty texts count 1; an empty table gives no row; other columns are ignored.
     """
     units = F.greatest(F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(1)).cast("long")
     sums = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), units.alias("u")).groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("u").alias("n_units"))
     if weights is None:
-        weight = F.pow(F.col("n_units").cast("double"), F.lit(temperature))
+        sums = sums.withColumn("w", F.pow(F.col("n_units").cast("double"), F.lit(temperature)))
     else:
-        weight = F.lit(0.0)
-        for name, w in weights.items():
-            weight = F.when(F.col("source") == name, F.lit(float(w))).otherwise(weight)
-    sums = written(sums.withColumn("w", weight), "source-units")
+        given = docs.sparkSession.createDataFrame([(k, float(w)) for k, w in weights.items()], "source string, w double")
+        sums = sums.join(given, "source", "left").na.fill(0.0, ["w"])
+    sums = written(sums, "source-units")
     all_w, units = sums.agg(F.sum("w"), F.sum("n_units")).first()
     size = float(units or 0) if total is None else float(total)
     rate = F.col("w") / F.lit(all_w) * F.lit(size) / F.col("n_units") if all_w else F.lit(0.0)
@@ -76,19 +78,24 @@ def mix_sources(docs: DataFrame, rates: DataFrame, seed: int = 7, small_sources:
 
     Documents are told apart by id (null: by text); repeated rows draw alike. A source without a row
     in ``rates`` gets none; a null text is a text like any other; an empty table gives an empty result.
-    The rates are broadcast only if they have ``small_sources`` rows at most.
+    The rates are broadcast only if they have ``small_sources`` rows at most. Other columns go through,
+    whatever their names. Copies have keys of their own, so only rows equal in id share a partition.
     """
     added = ["mix_rate", "mix_copies", "mix_copy", "mix_key"]
     names = [c for c in docs.columns if c not in added]
-    source = rates.select(F.col("source").alias("__source"), F.col("rate").alias("mix_rate"))
+    of, key = unused(docs, "source_name", "draw_key")
+    source = rates.select(F.col("source").alias(of), F.col("rate").alias("mix_rate"))
     few = rates.limit(small_sources + 1).count() <= small_sources
-    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = docs.select(*names, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__source")).join(F.broadcast(source) if few else source, "__source")
-    drawn = joined.withColumn("mix_copies", poisson_count(F.col("mix_rate"), F.lit(seed), key)).where("mix_copies > 0")
-    copies = drawn.select(*names, "mix_rate", "mix_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("mix_copy"))
-    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), key, F.col("mix_copy").cast("string"), F.lit("order"))), 1, 15), 16, 10).cast("long")
+    draw = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    named = docs.select(*names, F.coalesce(F.col("source").cast("string"), F.lit("")).alias(of), draw.alias(key))
+    joined = named.join(F.broadcast(source) if few else source, of)
+    drawn = joined.withColumn("mix_copies", poisson_count(F.col("mix_rate"), F.lit(seed), F.col(key))).where("mix_copies > 0")
+    copies = drawn.select(*names, key, "mix_rate", "mix_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("mix_copy"))
+    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key), F.col("mix_copy").cast("string"), F.lit("order"))), 1, KEY_BITS // 4), 16, 10).cast("long")
     n = partitions(docs.sparkSession)
-    return copies.withColumn("mix_key", order).repartitionByRange(n, "mix_key").sortWithinPartitions("mix_key", "doc_id", "mix_copy")
+    width = -(-(1 << KEY_BITS) // n)
+    placed = copies.withColumn("mix_key", order).repartitionById(n, F.expr(f"int(mix_key div {width}L)"))
+    return placed.sortWithinPartitions("mix_key", "doc_id", "mix_copy").drop(key)
 
 
 def op2_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

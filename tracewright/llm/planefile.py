@@ -9,7 +9,8 @@ each block), found through a fixed trailer; a reader can fetch any block alone.
     magic | block planes ... | document index | chunk index | trailer
 
 Files are written by the tasks that hold the documents, in the shared folder, under a name of the
-attempt and then renamed; a retried task writes the same bytes again.
+attempt and then renamed; a retried task writes the same bytes again, and an attempt that fails removes
+what it wrote. There are as many shards as keep a file's texts near ``SHARD_BYTES``.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import held, partitions, scratch, text_slices, written
+from tracewright.llm.common import held, partitions, scratch, slices, trimmed, written
 from tracewright.llm.transducer import Splitter
 
 MAGIC = b"TWPLANE1"
 BLOCK = 65_536
+SHARD_BYTES = 256 << 20
 TRAILER = struct.Struct("<QQQQQIB8s")  # documents, their index's place and size, chunk index's place and size, blocks, planes, magic
 
 
@@ -65,8 +68,7 @@ class ShardWriter:
         self.sink, self.bits, self.at, self.held, self.waiting = sink, bits, 0, 0, []
         self.zip = zstandard.ZstdCompressor(level=level)
         self.chunks: list[tuple[int, ...]] = []
-        self.doc_ids: list[int] = []
-        self.lengths: list[int] = []
+        self.doc_ids, self.lengths, self.known = array("q"), array("q"), bytearray()
         self._put(MAGIC)
 
     def _put(self, data: bytes) -> None:
@@ -75,7 +77,8 @@ class ShardWriter:
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         """Append one document's little-endian unsigned 32-bit ids."""
-        self.doc_ids.append(doc_id)
+        self.doc_ids.append(doc_id or 0)
+        self.known.append(doc_id is not None)
         self.lengths.append(len(ids) // 4)
         self.waiting.append(ids)
         self.held += len(ids) // 4
@@ -95,9 +98,9 @@ class ShardWriter:
 
     def close(self) -> None:
         self._flush(True)
-        known = np.array([i is not None for i in self.doc_ids], bool)
-        ids = np.array([i or 0 for i in self.doc_ids], "<i8")
-        docs = self.zip.compress(ids.tobytes() + np.array(self.lengths, "<u8").tobytes() + np.packbits(known).tobytes())
+        ids = np.frombuffer(self.doc_ids, np.int64).astype("<i8")
+        lengths = np.frombuffer(self.lengths, np.int64).astype("<u8")
+        docs = self.zip.compress(ids.tobytes() + lengths.tobytes() + np.packbits(np.frombuffer(self.known, bool)).tobytes())
         docs_at = self.at
         self._put(docs)
         index = np.array(self.chunks, "<u8").tobytes()
@@ -115,8 +118,8 @@ class ShardReader:
         if magic != MAGIC:
             raise ValueError("not a plane file")
         docs = self.zip.decompress(self._get(docs_at, docs_n))
-        known = np.unpackbits(np.frombuffer(docs[16 * n :], np.uint8), count=n)
-        self.doc_ids = [i if k else None for i, k in zip(np.frombuffer(docs[: 8 * n], "<i8").tolist(), known.tolist())]
+        self.known = np.unpackbits(np.frombuffer(docs[16 * n :], np.uint8), count=n).astype(bool)
+        self.doc_ids = np.frombuffer(docs[: 8 * n], "<i8").astype(np.int64)
         self.lengths = np.frombuffer(docs[8 * n : 16 * n], "<u8").astype(np.int64)
         self.chunks = np.frombuffer(self._get(index_at, index_n), "<u8").reshape(blocks, 2 + planes).astype(np.int64)
 
@@ -133,7 +136,8 @@ class ShardReader:
     def documents(self) -> Iterator[tuple[int | None, int, int]]:
         """``doc_id, n_tokens, crc32`` of each document's ids, in order, one block in memory."""
         block, at, k = np.zeros(0, "<u4"), 0, 0
-        for doc_id, n in zip(self.doc_ids, self.lengths.tolist()):
+        for i in range(len(self.lengths)):
+            doc_id, n = int(self.doc_ids[i]) if self.known[i] else None, int(self.lengths[i])
             crc, left = 0, n
             while left:
                 if at == len(block):
@@ -146,9 +150,10 @@ class ShardReader:
 
 
 class Encoder:
-    """Ids as the tokenizers library gives them, with the pieces it has met remembered."""
+    """Ids as the tokenizers library gives them, with short pieces remembered up to ``most_bytes``
+    (reckoned with Python's overhead); pieces of 64 characters and more are not."""
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most_bytes: int = 40 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -156,7 +161,7 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.splitter = Splitter(self.library)
         self.known: dict[str, bytes] = {}
-        self.most = most
+        self.most_bytes, self.known_bytes = most_bytes, 0
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -172,8 +177,10 @@ class Encoder:
         if new:
             found = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False))}
             ids = [found[p] if i is None else i for p, i in zip(pieces, ids)]
-            if len(self.known) + len(found) <= self.most:
-                self.known.update(found)
+            if self.known_bytes < self.most_bytes:
+                short = {p: i for p, i in found.items() if len(p) < 64}
+                self.known.update(short)
+                self.known_bytes += sum(190 + len(p) + len(i) for p, i in short.items())
         edges = np.concatenate([[0], np.cumsum(n)]).tolist()
         whole = iter([b"".join(ids[a:b]) for a, b in zip(edges, edges[1:])])
         return [next(whole) if p else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, p in zip(texts, plain)]
@@ -183,10 +190,17 @@ def _open(path: str):
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, bits: bool = False, shards: int | None = None, slice_chars: int = 1 << 20) -> DataFrame:
-    """Encode ``docs`` (``doc_id``, ``text``) and write them as shards in ``folder``.
+def shard_count(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
+    """Shards for ``docs``: a file for each ``shard_bytes`` of text, and one a shuffle partition at least."""
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-total // shard_bytes))
 
-    Documents go to shards by ranges of ``doc_id``, ascending, with ties ordered by the hash of their text;
+
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, bits: bool = False, shards: int | None = None, slice_bytes: int = 1 << 20) -> DataFrame:
+    """Encode ``docs`` (``doc_id``, ``text``; other columns are ignored) and write them as shards in ``folder``.
+
+    Documents go to shards by ranges of ``doc_id``, ascending, with ties ordered by the hash of their text
+    (rows equal in both are interchangeable and may stand in neighbouring shards, whatever their number);
     ``end_id`` closes each. Returns the manifest, a row a file: ``shard, path, n_docs, n_ids, size``.
 
     ``folder`` is a URI that the executors reach and that pyarrow opens (a shared mount, or a store
@@ -201,51 +215,72 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         part = f"{base}/.{task.partitionId()}-{task.taskAttemptId()}"
         final = f"shard-{task.partitionId():06d}.planes"
         writer = sink = None
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), [x or "" for x in b.column(1).to_pylist()]
-            for i, j in text_slices([len(x) for x in texts], slice_chars):
-                for doc_id, found in zip(ids[i:j], encoder.encode(texts[i:j])):
+        try:
+            for b in slices(batches, 1, slice_bytes):
+                for doc_id, found in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist())):
                     if writer is None:
                         fs.create_dir(base, recursive=True)
                         sink = fs.open_output_stream(part)
                         writer = ShardWriter(sink, bits)
                     writer.add(doc_id, found + end)
+            if writer is not None:
+                writer.close()
+                sink.close()
+                fs.move(part, f"{base}/{final}")
+        except BaseException:
+            if sink is not None:
+                sink.close()
+                if fs.get_file_info(part).type != pafs.FileType.NotFound:
+                    fs.delete_file(part)
+            raise
         if writer is not None:
-            writer.close()
-            sink.close()
-            fs.move(part, f"{base}/{final}")
             row = [[task.partitionId()], [f"{folder}/{final}"], [len(writer.lengths)], [sum(writer.lengths)], [writer.at]]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["shard", "path", "n_docs", "n_ids", "size"])
+        trimmed()
 
-    n = shards or partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = ["doc_id", F.xxhash64("text"), "text"]
-    rows = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions(*order)
-    return rows.mapInArrow(run, "shard long, path string, n_docs long, n_ids long, size long")
+    # The last key only deals equal rows out, so that one of them repeated without end is no partition of its own.
+    keyed = rows.withColumns({"h": F.xxhash64("text"), "r": F.monotonically_increasing_id()})
+    dealt = keyed.repartitionByRange(shards or shard_count(rows), "doc_id", "h", "r").sortWithinPartitions("doc_id", "h", "text")
+    return dealt.select("doc_id", "text").mapInArrow(run, "shard long, path string, n_docs long, n_ids long, size long")
+
 
+def read_shards(manifest: DataFrame, batch_rows: int = 20_000) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32, shard`` of every document, from the files themselves.
 
-def read_shards(manifest: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32, shard`` of every document, from the files themselves."""
+    A file is read block by block and its rows go out in batches. Null ids come back as null, an empty
+    document as its end id alone; an empty manifest gives an empty result.
+    """
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "shard"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard, path, size, start in zip(*(c.to_pylist() for c in b.columns)):
                 fs, at = _open(path)
                 with fs.open_input_file(at) as source:
-                    rows = list(ShardReader(source, size).documents())
-                n = np.array([r[1] for r in rows], np.int64)
-                starts = start + np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
-                columns = [[r[0] for r in rows], starts, n, [r[2] for r in rows], [shard] * len(rows)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
-
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+                    rows: list[tuple] = []
+                    for doc_id, n, crc in ShardReader(source, size).documents():
+                        rows.append((doc_id, start, n, crc, shard))
+                        start += n
+                        if len(rows) == batch_rows:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
+                            rows = []
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
+        trimmed()
+
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # over the manifest: a row a file
     rows = manifest.select("shard", "path", "size", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
     rows = rows.repartition(partitions(manifest.sparkSession))
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
 
 
 def encoded_documents(docs: DataFrame, tokenizer: str, folder: str | None = None, **settings) -> DataFrame:
-    """Write ``docs`` as token-id shards and return what the files say of each document."""
+    """Write ``docs`` as token-id shards and return what the files say of each document (and copy).
+
+    Null ids, null and empty texts, repeated rows and empty tables are as in ``write_shards`` and
+    ``read_shards``; other columns of ``docs`` are ignored.
+    """
     spark = docs.sparkSession
     manifest = written(write_shards(docs, folder or scratch(spark, "planes"), tokenizer, **settings), "planes-manifest")
     return read_shards(manifest)
