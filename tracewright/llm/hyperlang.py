@@ -6,6 +6,11 @@ product. A text bundles (sums) its n-gram vectors over lower-cased letters, runs
 counting as one blank. A language's prototype bundles the normalised vectors of its training texts.
 A text gets the language whose prototype has the largest cosine with it.
 
+What cosine a text of a learned language reaches depends on how many different n-grams it has, so the
+filter learns a floor for each power of two of that number: half of the score that all but 1 % of the
+training texts of this size pass. A short clean text passes a low floor; a long text of another language
+falls under a high one.
+
 Everything is summed as integers, so results do not depend on how the rows are spread.
 """
 
@@ -18,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import held
+from tracewright.llm.common import held, slices, trimmed, written
 
 DIM = 1024
 UNIT = 10_000
 NONE = "und"
-MIN_SCORE = 0.0
+#: Of the floors: bins of scores, share of training texts that may fall under twice the floor, texts a
+#: size needs for a floor of its own, the part of the score that is asked for.
+BINS, UNDER, LEAST, PART = 1000, 0.01, 30, 0.5
 
 
 class Hypervectors:
@@ -72,7 +79,11 @@ class Hypervectors:
 
     def bundle(self, text: str) -> np.ndarray | None:
         """The text's vector as integers, or None without a letter; pieces of 2**20 characters."""
-        total = None
+        return self.measured(text)[0]
+
+    def measured(self, text: str) -> tuple[np.ndarray | None, int]:
+        """The text's vector and its number of different n-grams (the most in a piece)."""
+        total, different = None, 0
         for at in range(0, max(1, len(text)), 1 << 20):
             p = self._points(text[at : at + (1 << 20)])
             if len(p) < self.n:
@@ -86,7 +97,8 @@ class Hypervectors:
             grams, counts = np.unique(keys, return_counts=True)
             part = self._sum(grams.tolist(), counts)
             total = part if total is None else total + part
-        return total
+            different = max(different, len(grams))
+        return total, different
 
     def _sum(self, grams: list[int], counts: np.ndarray) -> np.ndarray:
         rows = self.rows
@@ -111,20 +123,31 @@ def _normal(v: np.ndarray) -> np.ndarray:
     return v / np.where(size == 0, 1, size)
 
 
-def prototypes(docs: DataFrame, n: int = 3, dim: int = DIM, max_docs: int = 2000) -> dict[str, np.ndarray]:
-    """Language prototypes from rows with text and ``lang``.
+def training_sample(docs: DataFrame, max_docs: int = 2000) -> DataFrame:
+    """``lang, text`` of the rows with both that train.
 
-    ``max_docs`` bounds (in expectation, by a hash of the id) the training texts of each language; a
-    vector a language and task goes to the driver, from at most eight tasks.
+    ``max_docs`` bounds (in expectation, by a hash of id and text) the texts of each language. They are
+    dealt to eight tasks by that hash, so copies of a text under several ids spread.
     """
     spark = docs.sparkSession
     usable = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rates = {r.lang: min(1.0, max_docs / r.n) for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not rates:
-        return {}
     part = spark.createDataFrame([(k, int(v * (1 << 24))) for k, v in rates.items()], "lang string, upto int")
-    sample = usable.join(F.broadcast(part), "lang").where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 24)) < F.col("upto"))
+    dealt = F.xxhash64(F.lit("language"), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
+    return usable.join(F.broadcast(part), "lang").where(F.pmod(dealt, F.lit(1 << 24)) < F.col("upto")).repartition(8, dealt).select("lang", "text")
+
+
+def prototypes(docs: DataFrame, n: int = 3, dim: int = DIM, max_docs: int = 2000) -> dict[str, np.ndarray]:
+    """Language prototypes from rows with text and ``lang`` (``training_sample``).
+
+    A vector a language and task goes to the driver, from eight tasks. Null and letterless texts and
+    null languages teach nothing; repeated rows count each; an empty table gives no language; other
+    columns are ignored.
+    """
+    return _bundled(training_sample(docs, max_docs), n, dim)
+
 
+def _bundled(sample: DataFrame, n: int, dim: int) -> dict[str, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = Hypervectors.of(n, dim), {}
         for b in batches:
@@ -135,37 +158,76 @@ def prototypes(docs: DataFrame, n: int = 3, dim: int = DIM, max_docs: int = 2000
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "v"])
 
-    found = sample.select("lang", "text").repartition(8, F.xxhash64("text")).mapInArrow(run, "lang string, v array<bigint>").collect()
     out: dict[str, np.ndarray] = {}
-    for r in found:
+    for r in sample.mapInArrow(run, "lang string, v array<bigint>").collect():
         out[r.lang] = out.get(r.lang, 0) + np.array(r.v, np.int64)
     return dict(sorted(out.items()))
 
 
+class Scorer:
+    """Language, score and size class of texts against given prototypes."""
+
+    def __init__(self, models: dict[str, np.ndarray], n: int, dim: int) -> None:
+        self.n, self.dim, self.names = n, dim, list(models)
+        self.matrix = _normal(np.array([*models.values()], np.float64)) if models else np.zeros((0, dim))
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[str, float, int]]:
+        """Of each text: the language, the cosine (not below 0) and the power of two of its number of
+        different n-grams; ``und, 0, -1`` without a letter or a language."""
+        space = Hypervectors.of(self.n, self.dim)
+        for text in texts:
+            text = text.as_py()
+            v, different = space.measured(text) if text and self.names else (None, 0)
+            if v is None:
+                yield NONE, 0.0, -1
+                continue
+            cos = self.matrix @ _normal(v)
+            best = int(cos.argmax())
+            yield self.names[best], float(min(1.0, max(0.0, cos[best]))), different.bit_length() - 1
+
+
+def score_floors(sample: DataFrame, models: dict[str, np.ndarray], n: int = 3, dim: int = DIM) -> list[float]:
+    """The floor of each size class, from the scores of ``lang, text``; a class of few texts has that
+    of the class below, the smallest have 0. A histogram a class and task goes to the driver."""
+    scorer = Scorer(models, n, dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((32, BINS), np.int64)
+        for b in batches:
+            for _, score, size in scorer(b.column(1)):
+                if size >= 0:
+                    counts[size, min(BINS - 1, int(score * BINS))] += 1
+        met = np.flatnonzero(counts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[met].tolist(), pa.list_(pa.int64()))], ["size", "n"])
+
+    total = np.zeros((32, BINS), np.int64)
+    for r in sample.mapInArrow(run, "size long, n array<bigint>").collect():
+        total[r["size"]] += np.array(r.n, np.int64)
+    return floors_of(total)
+
+
+def floors_of(counts: np.ndarray) -> list[float]:
+    out = []
+    for row in counts:
+        n = int(row.sum())
+        low = int(np.searchsorted(np.cumsum(row), UNDER * n, "right"))
+        out.append(PART * low / BINS if n >= LEAST else out[-1] if out else 0.0)
+    return out
+
+
 def predict(docs: DataFrame, models: dict[str, np.ndarray], n: int = 3, dim: int = DIM, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row, with the columns named in ``keep``.
 
     ``score`` is the cosine with the chosen prototype, not below 0. A null text and a text without a
     letter get ``und`` and 0, as does every text if no language was learned.
     """
-    names, matrix = list(models), _normal(np.array([*models.values()], np.float64)) if models else np.zeros((0, dim))
+    scorer = Scorer(models, n, dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = Hypervectors.of(n, dim)
-        for b in batches:
-            langs, scores = [], []
-            for text in b.column(0):
-                text = text.as_py()
-                v = space.bundle(text) if text and names else None
-                if v is None:
-                    langs.append(NONE)
-                    scores.append(0.0)
-                    continue
-                cos = matrix @ _normal(v)
-                best = int(cos.argmax())
-                langs.append(names[best])
-                scores.append(float(min(1.0, max(0.0, cos[best]))))
+        for b in slices(batches, 0, 1 << 22):
+            langs, scores, _ = zip(*scorer(b.column(0)))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[1:], "lang_pred", "score"])
+        trimmed()
 
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
@@ -178,25 +240,34 @@ def held_out() -> Column:
 
 
 def identify_languages(docs: DataFrame, **settings) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score``; learned from the documents not held out."""
+    """``doc_id, held_out, lang_pred, score``; learned from the documents not held out.
+
+    Null, empty and letterless texts are ``und``; null ids are not held out; repeated rows are judged one
+    by one; an empty table gives an empty result; other columns are ignored.
+    """
     models = prototypes(docs.where(~held_out()), **settings)
     return predict(docs, models).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows whose text has a language: those of ``und`` or not above ``min_score`` go."""
-    models = prototypes(docs.where(~held_out()))
-    names, matrix = list(models), _normal(np.array([*models.values()], np.float64)) if models else np.zeros((0, DIM))
+def keep_identified(docs: DataFrame, max_docs: int = 2000, n: int = 3, dim: int = DIM) -> DataFrame:
+    """The rows whose text is in a learned language: those of ``und`` and those whose score is not above
+    the floor of their size go.
+
+    Languages and floors are learned from the rows not held out. Null, empty and letterless texts go;
+    null and repeated ids and repeated rows are judged one by one; all columns go through, whatever their
+    names; an empty table, or one without a language, keeps nothing.
+    """
+    sample = written(training_sample(docs.where(~held_out()), max_docs), "language-sample")
+    models = _bundled(sample, n, dim)
+    floors, scorer = score_floors(sample, models, n, dim), Scorer(models, n, dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = Hypervectors.of(3, DIM)
-        for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for i, text in enumerate(b.column("text")):
-                text = text.as_py()
-                v = space.bundle(text) if text and names else None
-                keep[i] = v is not None and (matrix @ _normal(v)).max() > min_score
-            yield b.filter(pa.array(keep))
+        for whole in batches:
+            at = whole.schema.names.index("text")
+            for b in slices(iter([whole]), at, 1 << 22):
+                keep = [size >= 0 and score > floors[size] for _, score, size in scorer(b.column(at))]
+                yield b.filter(pa.array(keep))
+        trimmed()
 
     return docs.mapInArrow(run, docs.schema)
 
