@@ -1,14 +1,16 @@
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from tests.llm.test_containment import slow as slow_containment
 from tests.llm.test_mixing import slow_count
+from tests.llm.test_neardup import slow as slow_groups
 from tests.llm.test_planefile import want as slow_files
-from tests.llm.test_simhash import slow_components, slow_fingerprint
 from tracewright.llm import hyperlang
 
 SF = "/root/testdata/sf0.001"
@@ -34,15 +36,23 @@ def test_stages_keep_the_columns(steps):
 
 
 def test_language_stage(spark, steps):
-    said = {r.doc_id: r for r in hyperlang.predict(steps[0], hyperlang.prototypes(steps[0].where(~hyperlang.held_out()))).collect()}
-    assert [i for i, _ in pairs(steps[1])] == sorted(i for i, r in said.items() if r.lang_pred != "und" and r.score > hyperlang.MIN_SCORE)
+    train = hyperlang.training_sample(steps[0].where(~hyperlang.held_out()))
+    models = hyperlang.prototypes(steps[0].where(~hyperlang.held_out()))
+    score, counts = hyperlang.Scorer(models, 3, hyperlang.DIM), np.zeros((32, hyperlang.BINS), np.int64)
+    for _, x, size in score(pa.array([r.text for r in train.collect()])):
+        if size >= 0:
+            counts[size, min(hyperlang.BINS - 1, int(x * hyperlang.BINS))] += 1
+    floors = hyperlang.floors_of(counts)
+    rows = pairs(steps[0])
+    said = list(score(pa.array([t for _, t in rows])))
+    assert pairs(steps[1]) == [r for r, (_, x, size) in zip(rows, said) if size >= 0 and x > floors[size]]
     assert steps[1].count() >= 0.98 * steps[0].count()
 
 
 def test_near_duplicate_stage(steps):
     rows = pairs(steps[1])
-    comp = slow_components([i for i, _ in rows], [slow_fingerprint(t) for _, t in rows])
-    assert pairs(steps[2]) == [(i, t) for (i, t), c in zip(rows, comp) if c == i]
+    group = slow_groups(rows)
+    assert pairs(steps[2]) == [(i, t) for i, t in rows if group[i] == i] and steps[2].count() < steps[1].count()
 
 
 def test_decontamination_stage(spark, steps):

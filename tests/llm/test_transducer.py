@@ -63,6 +63,26 @@ def test_scan_equals_a_plain_run(counter):
     assert len(counter.splitter.starts(points, np.array([len(text)]))) == marks
 
 
+def test_chunk_maps_of_long_pre_tokens_compose():
+    rng = random.Random(9)
+    merger = td.Merger(PATH)
+    for letters in ("ab", "aeinorst", "qxz", "=", "éa"):
+        word = "".join(rng.choice(letters) for _ in range(1500)).encode()
+        maps = merger.chunk_maps(word)
+        state = total = 0
+        for k, after in enumerate(merger.scan(maps)):
+            state, n = merger.run(word[k * 256 : (k + 1) * 256], state)
+            total += n
+            assert after[0] == (state, total)
+        assert merger.count(word) == total == want(word.decode())
+
+
+def test_totals_are_those_of_the_scan():
+    for n in (0, 1, 511, 512, 513, 2000):
+        e = np.random.default_rng(n).integers(0, 9, n)
+        assert td.TokenCounter.totals(e).tolist() == [0, *np.cumsum(e).tolist()]
+
+
 def test_merger_forgets_and_stays_right():
     small = td.Merger(PATH, most=50)
     for t in ["hello", "unbelievable", "aaaaaaa", "xyzzy", "éèê", "supercalifragilistic"]:

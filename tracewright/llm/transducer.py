@@ -13,6 +13,13 @@ Two deterministic machines replace the tokenizer:
   token that ends before that start and the count there. The last token of a prefix is the only
   entry that forms a stable pair with the token before it (two tokens are stable side by side if
   BPE gives just these two for their joined bytes). States are compiled when first met.
+
+Counts come out of composed chunk maps on both levels. A long pre-token is cut in chunks of bytes; each
+chunk's map "state before -> state after, tokens emitted" is first worked out for the state that the
+chunk before leads to by itself, which is mostly the true one, then for those it is still asked for, and
+the maps compose in a prefix scan. Between pre-tokens the merger is in its start state, so the map of a
+chunk of pre-tokens is one state and a number of tokens; these compose in the same scan, and a text's
+count is the difference of the scan's totals at its two ends.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracewright.llm.common import held, text_slices
+from tracewright.llm.common import held, slices, trimmed
 
 # Character classes of the table, then the symbols that depend on what follows.
 LETTER, NUMBER, OTHER, BLANK, WHITE, END, BLANK_LAST, WHITE_LAST, SHORT_TWO, SHORT_THREE = range(10)
@@ -272,14 +279,45 @@ class Merger:
         return arc
 
     def count(self, word: bytes) -> int:
+        """Tokens of a whole pre-token: the emission of its composed chunk maps from the start state."""
         if len(self.arcs) > self.most:
             self._reset()
-        arcs, state, total = self.arcs, 0, 0
-        for b in word:
+        if len(word) <= self.CHUNK:
+            return self.run(word, 0)[1]
+        return self.scan(self.chunk_maps(word))[-1][0][1]
+
+
+    CHUNK = 256
+
+    def chunk_maps(self, word: bytes) -> list[dict[int, tuple[int, int]]]:
+        """For each chunk of bytes: state after and tokens emitted, by state before, for all states
+        before that the maps of the chunk before lead to."""
+        chunks = [word[a : a + self.CHUNK] for a in range(0, len(word), self.CHUNK)]
+        maps: list[dict[int, tuple[int, int]]] = [{0: self.run(c, 0)} for c in chunks]
+        for k in range(1, len(chunks)):
+            for state, _ in list(maps[k - 1].values()):
+                if state not in maps[k]:
+                    maps[k][state] = self.run(chunks[k], state)
+        return maps
+
+    @staticmethod
+    def scan(maps: list[dict[int, tuple[int, int]]]) -> list[dict[int, tuple[int, int]]]:
+        """Prefix products: map k leads from before chunk 0 to after chunk k."""
+        step = 1
+        while step < len(maps):
+            then = [{s: (b[t][0], n + b[t][1]) for s, (t, n) in a.items()} for a, b in zip(maps, maps[step:])]
+            maps = maps[:step] + then
+            step *= 2
+        return maps
+
+    def run(self, part: bytes, state: int) -> tuple[int, int]:
+        """State after some bytes, and tokens emitted."""
+        arcs, total = self.arcs, 0
+        for b in part:
             arc = arcs.get(state << 8 | b) or self._compile(state, b)
             state = arc[0]
             total += arc[1]
-        return total
+        return state, total
 
 
 class Counts(dict):
@@ -310,6 +348,16 @@ class TokenCounter:
         """One per worker process."""
         return held((cls, path), lambda: cls(path))
 
+    @staticmethod
+    def totals(emitted: np.ndarray) -> np.ndarray:
+        """Tokens before each pre-token and after the last, by the scan of the chunks' one-state maps."""
+        n, size = len(emitted), Splitter.CHUNK
+        chunks = max(1, -(-n // size))
+        inner = np.cumsum(np.append(emitted, np.zeros(chunks * size - n, np.int64)).reshape(chunks, size), axis=1)
+        _, after = Splitter.scan(np.zeros((chunks, 1), np.int64), inner[:, -1:])
+        inner[1:] += after[:-1]
+        return np.append(0, inner.ravel()[:n])
+
     def count(self, texts: list[str]) -> np.ndarray:
         parts: list[str] = []
         owner, total = [], np.zeros(len(texts), np.int64)
@@ -322,14 +370,13 @@ class TokenCounter:
             parts += cut
             owner += [i] * len(cut)
         pieces, n = self.splitter.pieces(parts)
-        counts = np.fromiter(map(self.counts.__getitem__, pieces), np.int64, len(pieces))
-        upto = np.concatenate([[0], np.cumsum(counts)])
+        upto = self.totals(np.fromiter(map(self.counts.__getitem__, pieces), np.int64, len(pieces)))
         edge = np.concatenate([[0], np.cumsum(n)])
         np.add.at(total, np.array(owner, np.int64), upto[edge[1:]] - upto[edge[:-1]])
         return total
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 1024, slice_chars: int = 1 << 20) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = 1024, slice_bytes: int = 1 << 20) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every row; other columns are dropped.
 
     ``path`` is a byte-level BPE tokenizer file with the usual splitting expression. A null text
@@ -339,10 +386,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, slice_chars: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TokenCounter.of(path)
-        for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            n = [counter.count(texts[i:j]) for i, j in text_slices([len(x) for x in texts], slice_chars)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], ["doc_id", "n_bytes", "n_tokens"])
+        for b in slices(batches, 1, slice_bytes):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counter.count(b.column(1).to_pylist()))], ["doc_id", "n_bytes", "n_tokens"])
+        trimmed()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
