@@ -153,7 +153,7 @@ class Encoder:
     """Ids as the tokenizers library gives them, with short pieces remembered up to ``most_bytes``
     (reckoned with Python's overhead); pieces of 64 characters and more are not."""
 
-    def __init__(self, path: str, most_bytes: int = 40 << 20) -> None:
+    def __init__(self, path: str, most_bytes: int = 24 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -196,7 +196,7 @@ def shard_count(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
     return max(partitions(docs.sparkSession), -(-total // shard_bytes))
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, bits: bool = False, shards: int | None = None, slice_bytes: int = 1 << 20) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, bits: bool = False, shards: int | None = None, slice_bytes: int = 1 << 19) -> DataFrame:
     """Encode ``docs`` (``doc_id``, ``text``; other columns are ignored) and write them as shards in ``folder``.
 
     Documents go to shards by ranges of ``doc_id``, ascending, with ties ordered by the hash of their text
