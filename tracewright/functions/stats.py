@@ -51,13 +51,42 @@ def parabola_fit(df: DataFrame, keys: list[str], t: str = "t", y: str = "y") ->
     return f.select(*keys, "n", "t0", "t1", (2 * F.col("c2")).alias("a"), F.when(ok, r2).alias("r2"), F.sqrt(F.col("res") / n).alias("rms"))
 
 
+#: Ranges in which values are ordered side by side where there is no key to part them by.
+RANGES = 64
+
+
+def before(df: DataFrame, order: str, n: str, out: str, keys: list[str] | None = None) -> DataFrame:
+    """Adds the sum of ``n`` over the rows of smaller ``order`` (distinct within ``keys``).
+
+    With keys this is a window. Without, the values are cut at approximate quantiles into ranges, each
+    range is a window partition, and the ranges' sums (a row each, so a bounded array) come before.
+    """
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.coalesce(F.sum(n).over(w), F.lit(0)))
+    cuts = df.agg(F.percentile_approx(order, [k / RANGES for k in range(1, RANGES)], 1000)).scalar()
+    ranged = df.withColumn("__cuts", cuts).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
+    sums = ranged.groupBy("__range").agg(F.sum(n).cast("double").alias("s")).agg(F.collect_list(F.struct("__range", "s"))).scalar()
+    whole = F.aggregate(F.filter("__sums", lambda s: s["__range"] < F.col("__range")), F.lit(0.0), lambda a, s: a + s["s"]).cast("long")
+    w = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.withColumn("__sums", sums).withColumn(out, whole + F.coalesce(F.sum(n).over(w), F.lit(0))).drop("__range", "__sums")
+
+
+def median_of(df: DataFrame, col: str) -> Column:
+    """The exact median of a whole column as a scalar subquery, from counts of distinct values."""
+    c = before(df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("__n")), col, "__n", "__below")
+    c = c.withColumn("__all", df.agg(F.count(col)).scalar())
+    at = lambda place: F.min(F.when(F.col("__below") + F.col("__n") >= place, F.col(col)))
+    return c.agg((at(F.floor((F.col("__all") + 1) / 2)) + at(F.floor(F.col("__all") / 2) + 1)) / 2).scalar()
+
+
 def rank_auc(df: DataFrame, score: str, positive: Column, keys: list[str] | None = None) -> DataFrame:
     """``auc, n_pos, n_neg``: chance that a positive outranks a negative, ties half; null if a side is
     empty. Mid-ranks come from counts of distinct scores, so only those are ordered."""
     keys = keys or []
     c = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumn("win", F.col("p") * (below + F.col("q") / 2))
+    c = before(c, score, "q", "below", keys)
+    c = c.withColumn("win", F.col("p") * (F.col("below") + F.col("q") / 2))
     out = c.groupBy(*keys).agg(F.sum("win").alias("w"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
     return out.select(*keys, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("w") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"), "n_pos", "n_neg")
 
@@ -66,8 +95,8 @@ def average_rank(df: DataFrame, col: str, out: str, keys: list[str] | None = Non
     """Ranks with ties averaged, from counts of distinct values."""
     keys = keys or []
     c = df.groupBy(*keys, col).agg(F.count("*").alias("__n"))
-    below = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumn(out, below + (F.col("__n") + 1) / 2).drop("__n")
+    c = before(c, col, "__n", "__below", keys)
+    c = c.withColumn(out, F.col("__below") + (F.col("__n") + 1) / 2).drop("__n", "__below")
     return df.join(c, [*keys, col])
 
 

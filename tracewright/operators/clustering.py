@@ -1,55 +1,43 @@
-"""Order-dependent clustering of small groups (one frame's points or boxes), folded in Arrow groups."""
+"""Order-dependent clustering of small groups (one frame's points or boxes), as folds over sorted arrays."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def leader_clusters(points: DataFrame, keys: list[str], distance: float) -> DataFrame:
     """Leader clustering in order of ``track_id``: a point joins the first seed closer than
     ``distance``, else it seeds a cluster. Members are held against seeds only."""
+    kind = "struct<seeds:array<struct<x:double,y:double>>,out:array<struct<track_id:bigint,cluster:bigint>>>"
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("track_id")
-        seeds: list[tuple[float, float]] = []
-        out = []
-        for x, y in zip(pdf["x"], pdf["y"]):
-            for k, (sx, sy) in enumerate(seeds):
-                if (x - sx) ** 2 + (y - sy) ** 2 < distance**2:
-                    break
-            else:
-                k = len(seeds)
-                seeds.append((x, y))
-            out.append(k)
-        return pdf[[*keys, "track_id"]].assign(cluster=out)
+    def step(a: Column, p: Column) -> Column:
+        near = F.transform(a["seeds"], lambda s: (p["x"] - s["x"]) * (p["x"] - s["x"]) + (p["y"] - s["y"]) * (p["y"] - s["y"]) < distance**2)
+        at = F.array_position(near, F.lit(True))
+        seeds = F.when(at > 0, a["seeds"]).otherwise(F.array_append(a["seeds"], F.struct(p["x"].alias("x"), p["y"].alias("y"))))
+        cluster = F.when(at > 0, at - 1).otherwise(F.size(a["seeds"]).cast("long"))
+        return F.struct(seeds.alias("seeds"), F.array_append(a["out"], F.struct(p["track_id"].alias("track_id"), cluster.alias("cluster"))).alias("out"))
 
-    schema = ", ".join(f"{k} long" for k in [*keys, "track_id", "cluster"])
-    return points.select(*keys, "track_id", "x", "y").groupBy(*keys).applyInPandas(fold, schema)
+    rows = F.sort_array(F.collect_list(F.struct(F.col("track_id").cast("long").alias("track_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))))
+    start = F.from_json(F.lit('{"seeds":[],"out":[]}'), kind)
+    return points.groupBy(*keys).agg(rows.alias("__p")).select(*keys, F.inline(F.aggregate("__p", start, step, lambda a: a["out"])))
 
 
 def greedy_nms(boxes: DataFrame, keys: list[str], iou: float = 0.6) -> DataFrame:
     """Boxes by falling score (ties: id); one is kept if its overlap with all kept ones is under ``iou``."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "track_id"], ascending=[False, True])
-        kept: list[tuple] = []
-        for r in pdf.itertuples(index=False):
-            ok = True
-            for k in kept:
-                w, h = min(r.x1, k.x1) - max(r.x0, k.x0), min(r.y1, k.y1) - max(r.y0, k.y0)
-                inter = max(w, 0.0) * max(h, 0.0)
-                union = (r.x1 - r.x0) * (r.y1 - r.y0) + (k.x1 - k.x0) * (k.y1 - k.y0) - inter
-                if union > 1e-6 and inter / union >= iou:
-                    ok = False
-                    break
-            if ok:
-                kept.append(r)
-        return pd.DataFrame([{**{k: getattr(r, k) for k in keys}, "track_id": r.track_id} for r in kept], columns=[*keys, "track_id"])
-
-    schema = ", ".join(f"{k} long" for k in [*keys, "track_id"])
-    return boxes.select(*keys, "track_id", "score", "x0", "y0", "x1", "y1").groupBy(*keys).applyInPandas(fold, schema)
+    zero = F.lit(0.0)
+
+    def over(p: Column, k: Column) -> Column:
+        w, h = F.least(p["x1"], k["x1"]) - F.greatest(p["x0"], k["x0"]), F.least(p["y1"], k["y1"]) - F.greatest(p["y0"], k["y0"])
+        inter = F.greatest(w, zero) * F.greatest(h, zero)
+        union = (p["x1"] - p["x0"]) * (p["y1"] - p["y0"]) + (k["x1"] - k["x0"]) * (k["y1"] - k["y0"]) - inter
+        return (union > 1e-6) & (inter / union >= iou)
+
+    row = F.struct((-F.col("score")).cast("double").alias("s"), F.col("track_id").cast("long").alias("track_id"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    start = F.array().cast("array<struct<s:double,track_id:bigint,x0:double,y0:double,x1:double,y1:double>>")
+    step = lambda kept, p: F.when(F.exists(kept, lambda k: over(p, k)), kept).otherwise(F.array_append(kept, p))
+    kept = F.aggregate("__p", start, step, lambda a: F.transform(a, lambda k: k["track_id"]))
+    return boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("__p")).select(*keys, F.explode(kept).alias("track_id"))
 
 
 def number_labels(df: DataFrame, key: str, label: str, order: str) -> DataFrame:

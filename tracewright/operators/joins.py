@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 
 
 def track_pairs(df: DataFrame, keep: list[str], keys: tuple[str, ...] = ("video_id", "frame")) -> DataFrame:
-    """Pairs of tracks on common frames, ``track_a < track_b``; kept columns get ``_a`` and ``_b``."""
-    side = lambda s: df.select(*keys, F.col("track_id").alias(f"track_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in keep])
-    return side("a").join(side("b"), list(keys)).where("track_a < track_b")
+    """Pairs of tracks on common frames, ``track_a < track_b``; kept columns get ``_a`` and ``_b``.
+
+    A frame's tracks meet in one grouped pass (``df`` is computed and shuffled once, not for each side of
+    a self-join); every track then unfolds its later partners.
+    """
+    side = lambda r, s: [r["track_id"].alias(f"track_{s}"), *[r[c].alias(f"{c}_{s}") for c in keep]]
+    frames = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("track_id", *keep))).alias("__m")).where(F.size("__m") > 1)
+    each = frames.select(*keys, "__m", F.posexplode("__m").alias("__i", "__a"))
+    later = F.transform(F.slice("__m", F.col("__i") + 2, F.size("__m")), lambda b: F.struct(*side(b, "b")))
+    return each.select(*keys, *side(F.col("__a"), "a"), F.inline(later)).where("track_a < track_b")
 
 
 def in_blocks(df: DataFrame, low, high, size: int, out: str = "__block") -> DataFrame:
@@ -21,10 +28,21 @@ def in_blocks(df: DataFrame, low, high, size: int, out: str = "__block") -> Data
 def near_events(points: DataFrame, events: DataFrame, keys: list[str], slack: int, how: str, block: int = 256) -> DataFrame:
     """Points (``frame``) with (``left_semi``) or without (``left_anti``) an event whose range
     ``f_start - slack .. f_end + slack`` holds them."""
-    ranges = in_blocks(events.select(*keys, (F.col("f_start") - slack).alias("__lo"), (F.col("f_end") + slack).alias("__hi")), F.col("__lo"), F.col("__hi"), block)
-    p = points.withColumn("__block", F.floor(F.col("frame") / block).cast("long"))
-    cond = [p[k] == ranges[k] for k in [*keys, "__block"]] + [p["frame"] >= ranges["__lo"], p["frame"] <= ranges["__hi"]]
-    return p.join(ranges, cond, how).drop("__block")
+    near = flag_near_events(points, events, keys, slack, "__near", block)
+    return near.where("__near" if how == "left_semi" else "NOT __near").drop("__near")
+
+
+def flag_near_events(points: DataFrame, events: DataFrame, keys: list[str], slack: int, out: str, block: int = 256) -> DataFrame:
+    """Points with a flag: whether an event's range ``f_start - slack .. f_end + slack`` holds them.
+
+    The ranges of a block are gathered first, so every point meets one row and the flag answers both the
+    semi and the anti join.
+    """
+    ranges = in_blocks(events.select(*keys, (F.col("f_start") - slack).alias("lo"), (F.col("f_end") + slack).alias("hi")), F.col("lo"), F.col("hi"), block)
+    ranges = ranges.groupBy(*keys, "__block").agg(F.collect_set(F.struct("lo", "hi")).alias("__ranges"))
+    p = points.withColumn("__block", F.floor(F.col("frame") / block).cast("long")).join(ranges, [*keys, "__block"], "left")
+    held = F.exists("__ranges", lambda r: F.col("frame").between(r["lo"], r["hi"]))
+    return p.withColumn(out, F.coalesce(held, F.lit(False))).drop("__block", "__ranges")
 
 
 def nearest(points: DataFrame, others: DataFrame, keys: list[str], window: int, id_col: str) -> DataFrame:

@@ -53,16 +53,23 @@ def episodes(df: DataFrame, keys: list[str], value: str, gap: Column) -> DataFra
 
 def chain_dedupe(df: DataFrame, keys: list[str], window: int) -> DataFrame:
     """In order of frame, a row within ``window`` of the row kept last stands for it if its score is
-    larger (the kept frame moves with it), else it goes. A fold over each key's rows, as every step
-    depends on the one before; ties in frame go by score."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col("frame").cast("long").alias("frame"), F.col("score").cast("double").alias("score"))))
-    kind = "array<struct<frame:bigint,score:double>>"
-
-    def step(kept: Column, row: Column) -> Column:
-        last = F.get(kept, F.size(kept) - 1)
-        near = (F.size(kept) > 0) & (row["frame"] - last["frame"] <= window)
-        swapped = F.concat(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), F.array(row))
-        return F.when(near & (row["score"] > last["score"]), swapped).when(near, kept).otherwise(F.concat(kept, F.array(row)))
+    larger (the kept frame moves with it), else it goes; ties in frame go by score.
 
-    folded = df.groupBy(*keys).agg(rows.alias("__rows")).select(*keys, F.aggregate("__rows", F.array().cast(kind), step).alias("kept"))
-    return folded.select(*keys, F.inline("kept"))
+    Every step depends on the one before, but no chain crosses a step over ``window`` between neighbours:
+    the rows are cut there, and only the short pieces between are folded. A fold's state is the row kept
+    last; those before it are set aside once.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(F.col("frame").cast("long").alias("frame"), F.col("score").cast("double").alias("score"))))
+    kind = "struct<last:struct<frame:bigint,score:double>,done:array<struct<frame:bigint,score:double>>>"
+    start = F.from_json(F.lit('{"done":[]}'), kind)
+
+    def step(a: Column, row: Column) -> Column:
+        last = a["last"]
+        near = row["frame"] - last["frame"] <= window
+        moved = F.when(last.isNull() | (near & (row["score"] > last["score"])) | ~near, row).otherwise(last)
+        done = F.when(last.isNull() | near, a["done"]).otherwise(F.array_append(a["done"], last))
+        return F.struct(moved.alias("last"), done.alias("done"))
+
+    pieces = sessionize(df, keys, "frame", F.lit(window), "__piece")
+    folded = pieces.groupBy(*keys, "__piece").agg(rows.alias("__rows"))
+    return folded.select(*keys, F.inline(F.aggregate("__rows", start, step, lambda a: F.array_append(a["done"], a["last"]))))

@@ -127,8 +127,10 @@ edge AS (SELECT * FROM (SELECT touch.*, r, lag(r) OVER (PARTITION BY touch.video
 EDGE_VIEWS = (T.OBS, T.GRID, M.PAIRS, M.IOU, TOUCH, EDGE)
 
 
-def touching(spark, sf):
-    p = M.pairs(spark, sf).withColumns({"iou": G.box_iou(*M._boxes()), "gap": G.box_gap(*M._boxes())})
+def touching(spark, sf, points=None, keep=()):
+    """Pairs of boxes that overlap or nearly do; ``points`` (default: the grid) may carry more columns."""
+    p = J.track_pairs(T.grid(spark, sf) if points is None else points, ["x", "y", *keep])
+    p = p.withColumns({"iou": G.box_iou(*M._boxes()), "gap": G.box_gap(*M._boxes())})
     return p.where("iou > 0 OR gap <= 6")
 
 
@@ -171,9 +173,9 @@ GFLAG = """gz AS (SELECT * FROM kin WHERE accel > 40)"""
 
 
 def participants(spark, sf):
-    e = contact_episodes(spark, sf)
-    side = lambda a, b: e.select("video_id", F.col(a).alias("track_id"), F.col(b).alias("partner_id"), "f_start", "f_end")
-    return side("track_a", "track_b").unionByName(side("track_b", "track_a"))
+    """Each episode once for either of its tracks."""
+    side = lambda a, b: F.struct(F.col(a).alias("track_id"), F.col(b).alias("partner_id"), "f_start", "f_end")
+    return contact_episodes(spark, sf).select("video_id", F.inline(F.array(side("track_a", "track_b"), side("track_b", "track_a"))))
 
 
 def jolts(spark, sf):
@@ -195,10 +197,8 @@ def _(spark, sf):
 
 @query("contact_gating", f"SELECT video_id, track_id, frame, {NEARBY} AS explained FROM gz g", *EPI_VIEWS, PART, M.GKIN, GFLAG)
 def _(spark, sf):
-    """Flags on a contact turn into impacts, the rest stay: a semi and an anti join."""
-    j, p = jolts(spark, sf), participants(spark, sf)
-    part = lambda how, said: J.near_events(j, p, T.TRACK, 72, how).select(*T.TRACK, "frame", F.lit(said).alias("explained"))
-    return part("left_semi", True).unionByName(part("left_anti", False))
+    """Flags on a contact turn into impacts, the rest stay: one join answers both."""
+    return J.flag_near_events(jolts(spark, sf), participants(spark, sf), T.TRACK, 72, "explained").select(*T.TRACK, "frame", "explained")
 
 
 @query("nearest_impactor", """

@@ -53,20 +53,21 @@ r AS (SELECT doc_id, quality, row_number() OVER (ORDER BY quality, doc_id) - 1 A
 SELECT doc_id, quality FROM r WHERE n <= 60 OR i IN (SELECT CASE WHEN k = 59 THEN n - 1 ELSE CAST(trunc(k * ((n - 1)::DOUBLE / 59)) AS BIGINT) END FROM (SELECT count(*) AS n FROM labels), (SELECT unnest(range(60)) AS k))
 """.strip())
 def _(spark, sf):
-    """60 rows evenly spaced over the order of (quality, id). Ranks come from counts of each quality and
-    a rank within it, so that no task holds all rows of the table."""
+    """60 rows evenly spaced over the order of (quality, id), as truncated steps. An order's place is the count
+    of the rows in the ranges before (an array of a few sums) and a rank within the range, so no task holds
+    all rows and nothing runs before the query does."""
     labels = T.table(spark, sf, "labels").select("doc_id", "quality")
-    groups = [(r.quality, r.n) for r in labels.groupBy("quality").agg(F.count("*").alias("n")).orderBy("quality").collect()]
-    n, k, before, out = sum(c for _, c in groups), 60, 0, None
-    places = list(range(n)) if n <= k else [n - 1 if i == k - 1 else int(i * ((n - 1) / (k - 1))) for i in range(k)]
-    for quality, count in groups:
-        own = [p - before for p in places if before <= p < before + count]
-        before += count
-        if own:
-            ranked = labels.where(F.col("quality").eqNullSafe(quality)).orderBy("doc_id").limit(own[-1] + 1).withColumn("__i", F.row_number().over(Window.orderBy("doc_id")) - 1)
-            part = ranked.where(F.col("__i").isin(own)).select("doc_id", "quality")
-            out = part if out is None else out.unionByName(part)
-    return labels.limit(0) if out is None else out
+    per = labels.groupBy("quality").agg(F.percentile_approx("doc_id", [k / 16 for k in range(1, 16)], 1000).alias("cuts"))
+    cuts = per.agg(F.collect_list(F.struct("quality", "cuts"))).scalar()
+    own = F.flatten(F.transform(F.filter("cuts", lambda c: c["quality"] == F.col("quality")), lambda c: c["cuts"]))
+    ranged = labels.withColumn("cuts", cuts).withColumn("range", F.struct("quality", F.size(F.filter(own, lambda c: c < F.col("doc_id"))).alias("k")))
+    sums = ranged.groupBy("range").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("range", "n"))).scalar()
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, s: x + s["n"])
+    below = total(F.filter("sums", lambda s: s["range"] < F.col("range")))
+    placed = ranged.withColumn("sums", sums).withColumns({"i": below + F.row_number().over(Window.partitionBy("range").orderBy("doc_id")) - 1, "n": total(F.col("sums"))})
+    step = (F.col("n") - 1).cast("double") / 59
+    picks = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda k: F.when(k == 59, F.col("n") - 1).otherwise((k * step).cast("long")))
+    return placed.where((F.col("n") <= 60) | F.array_contains(picks, F.col("i"))).select("doc_id", "quality")
 
 
 @query("time_grid_remap", "SELECT video_id, track_id, frame, greatest(0, least(CAST(round_even((t - t0) * 30, 0) AS BIGINT), 299)) AS grid_frame FROM (SELECT *, min(t) OVER (PARTITION BY video_id, track_id) AS t0 FROM obs)", T.OBS)

@@ -148,7 +148,7 @@ c AS (SELECT video_id, ta, tb, corr(u, v) AS r FROM s GROUP BY 1, 2, 3 HAVING co
 SELECT video_id, round(median(r), 9) AS coherence, count(*) AS n FROM c GROUP BY 1
 """, T.OBS, T.GRID, M.GKIN)
 def _(spark, sf):
-    p = J.track_pairs(C.grid_kin(spark, sf), ["vx", "vy"])
+    p = J.track_pairs(C.grid_kin(spark, sf), ["vx", "vy"])  # grid and kinematics once, a frame's tracks paired in place
     s = p.select("video_id", "track_a", "track_b", F.inline(F.array(F.struct(F.col("vx_a").alias("u"), F.col("vx_b").alias("v")), F.struct(F.col("vy_a").alias("u"), F.col("vy_b").alias("v")))))
     c = s.groupBy("video_id", "track_a", "track_b").agg(F.corr("u", "v").alias("r"), F.count("*").alias("m"), F.stddev_pop("u").alias("su"), F.stddev_pop("v").alias("sv")).where("m >= 12 AND su > 1e-6 AND sv > 1e-6")
     return c.groupBy("video_id").agg(F.round(F.median("r"), 9).alias("coherence"), F.count("*").alias("n"))
@@ -164,17 +164,15 @@ PP_VIEWS = (*C.EPI_VIEWS, C.PART, M.GKIN, PREPOST)
 def before_after(spark, sf):
     """Median velocities of the last three samples before and the first three after each episode.
 
-    Each sample carries the three before and after it, so an episode only meets the samples around its
-    ends: an equality join on the ends, no range join over the track."""
+    Each grid sample carries the three before and after it into the pairs, and an episode takes those of
+    its first and last frame: grid and kinematics are computed once and nothing is joined back."""
     w = T.track_window()
-    k = C.grid_kin(spark, sf)
-    k = k.withColumns({
-        "last3": F.collect_list(F.struct("vx", "vy")).over(w.rowsBetween(-3, -1)), "next3": F.collect_list(F.struct("vx", "vy")).over(w.rowsBetween(1, 3)),
-    })
-    e = C.participants(spark, sf)
-    pre = k.select(*T.TRACK, F.col("frame").alias("f_start"), F.col("last3").alias("pre"))
-    post = k.select(*T.TRACK, F.col("frame").alias("f_end"), F.col("next3").alias("post"))
-    j = e.join(pre, [*T.TRACK, "f_start"]).join(post, [*T.TRACK, "f_end"]).where(F.size("pre") > 0).where(F.size("post") > 0)
+    k = C.grid_kin(spark, sf).select(*T.TRACK, "frame", "x", "y", F.collect_list(F.struct("vx", "vy")).over(w.rowsBetween(-3, -1)).alias("pre"), F.collect_list(F.struct("vx", "vy")).over(w.rowsBetween(1, 3)).alias("post"))
+    s = N.sessionize(C.touching(spark, sf, k, ("pre", "post")), ["video_id", "track_a", "track_b"], "frame", F.lit(48))
+    first, last = (lambda c: F.min_by(c, "frame").alias(c)), (lambda c: F.max_by(c, "frame").alias(c))
+    e = s.groupBy("video_id", "track_a", "track_b", "session").agg(F.min("frame").alias("f_start"), F.max("frame").alias("f_end"), first("pre_a"), last("post_a"), first("pre_b"), last("post_b"))
+    side = lambda x, y: F.struct(F.col(f"track_{x}").alias("track_id"), F.col(f"track_{y}").alias("partner_id"), "f_start", "f_end", F.col(f"pre_{x}").alias("pre"), F.col(f"post_{x}").alias("post"))
+    j = e.select("video_id", F.inline(F.array(side("a", "b"), side("b", "a")))).where((F.size("pre") > 0) & (F.size("post") > 0))
 
     def mid(col: str, part: str):
         v = F.array_sort(F.transform(F.col(col), lambda s: s[part]))

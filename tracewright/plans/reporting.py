@@ -173,8 +173,7 @@ SELECT round(sum(CASE WHEN a.model > b.model THEN 1 WHEN a.model = b.model THEN
 """, T.SCORED)
 def _(spark, sf):
     s = T.scored(spark, sf)
-    m = s.agg(F.median("score").alias("m")).first().m
-    a = S.rank_auc(s.withColumn("model", (F.col("doc_id") % 97).cast("double")), "model", F.col("score") > F.lit(m))
+    a = S.rank_auc(s.withColumn("model", (F.col("doc_id") % 97).cast("double")), "model", F.col("score") > S.median_of(s, "score"))
     return a.select(F.round("auc", 9).alias("auc"))
 
 
@@ -284,9 +283,7 @@ def _(spark, sf):
 
 @query("status_counts_rollup", "SELECT stage, status, count(*) AS n FROM tests WHERE NOT excluded GROUP BY GROUPING SETS ((stage, status), (status))", T.TESTS)
 def _(spark, sf):
-    t = T.tests(spark, sf).where("NOT excluded")
-    t.createOrReplaceTempView("tracewright_tests")
-    return spark.sql("SELECT stage, status, count(*) AS n FROM tracewright_tests GROUP BY GROUPING SETS ((stage, status), (status))")
+    return T.tests(spark, sf).where("NOT excluded").groupingSets([["stage", "status"], ["status"]], "stage", "status").agg(F.count("*").alias("n"))
 
 
 LABELLED = "CASE WHEN s >= 75 THEN 'critical' WHEN s >= 50 THEN 'high' WHEN s >= 25 THEN 'medium' ELSE 'low' END"
@@ -371,12 +368,26 @@ def _(spark, sf):
     return L.number_labels(T.table(spark, sf, "part"), "p_brand", "p_type", "p_partkey").select("p_partkey", "numbered")
 
 
-@query("leader_clusters")
+@query("leader_clusters", """
+r AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame ORDER BY track_id) AS i FROM grid),
+c AS (SELECT video_id, frame, i, track_id, [{'x': x, 'y': y}] AS seeds, CAST(0 AS BIGINT) AS cluster FROM r WHERE i = 1
+  UNION ALL SELECT video_id, frame, i, track_id, CASE WHEN met > 0 THEN seeds ELSE list_append(seeds, {'x': x, 'y': y}) END, CASE WHEN met > 0 THEN met - 1 ELSE len(seeds) END FROM (
+    SELECT r.*, c.seeds, coalesce(list_position(list_transform(c.seeds, lambda s: (r.x - s.x) * (r.x - s.x) + (r.y - s.y) * (r.y - s.y) < 1600), true), 0) AS met
+    FROM c JOIN r ON r.video_id = c.video_id AND r.frame = c.frame AND r.i = c.i + 1))
+SELECT video_id, frame, track_id, CAST(cluster AS BIGINT) AS cluster FROM c
+""", "RECURSIVE " + T.OBS, T.GRID)
 def _(spark, sf):
     return L.leader_clusters(T.grid(spark, sf), ["video_id", "frame"], 40.0)
 
 
-@query("greedy_nms")
+@query("greedy_nms", """
+r AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame ORDER BY x DESC, track_id) AS i FROM grid),
+c AS (SELECT video_id, frame, i, track_id, true AS ok, [{'x': x, 'y': y}] AS kept FROM r WHERE i = 1
+  UNION ALL SELECT video_id, frame, i, track_id, n = 0, CASE WHEN n = 0 THEN list_append(kept, {'x': x, 'y': y}) ELSE kept END FROM (
+    SELECT r.*, c.kept, len(list_filter(c.kept, lambda k: greatest(30 - abs(r.x - k.x), 0) * greatest(30 - abs(r.y - k.y), 0) / (1800 - greatest(30 - abs(r.x - k.x), 0) * greatest(30 - abs(r.y - k.y), 0)) >= 0.6)) AS n
+    FROM c JOIN r ON r.video_id = c.video_id AND r.frame = c.frame AND r.i = c.i + 1))
+SELECT video_id, frame, track_id FROM c WHERE ok
+""", "RECURSIVE " + T.OBS, T.GRID)
 def _(spark, sf):
     x0, y0, x1, y1 = G.box_around(F.col("x"), F.col("y"), 15.0)
     boxes = T.grid(spark, sf).select("video_id", "frame", "track_id", F.col("x").alias("score"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
