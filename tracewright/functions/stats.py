@@ -51,6 +51,42 @@ def parabola_fit(df: DataFrame, keys: list[str], t: str = "t", y: str = "y") ->
     return f.select(*keys, "n", "t0", "t1", (2 * F.col("c2")).alias("a"), F.when(ok, r2).alias("r2"), F.sqrt(F.col("res") / n).alias("rms"))
 
 
+def parabola_rows(df: DataFrame, keys: list[str], t: str = "t", y: str = "y") -> DataFrame:
+    """Every row with its segment's fit (``a, r2, rms, n, t0, t1, vspan``) and its own residual ``res``.
+    All moments are windows over one partitioning; rows of segments without a fit are left out."""
+    w = Window.partitionBy(*keys)
+    u = df.withColumns({"__u": F.col(t) - F.min(t).over(w), "__y": F.col(y) - F.avg(y).over(w)})
+    power = lambda k: F.sum(F.pow("__u", F.lit(float(k)))).over(w)
+    u = u.withColumns({
+        "n": F.count("*").over(w), "t0": F.min(t).over(w), "t1": F.max(t).over(w), "vspan": F.greatest(F.max(y).over(w) - F.min(y).over(w), F.lit(1.0)),
+        **{f"__s{k}": power(k) for k in range(1, 5)}, "__y0": F.sum("__y").over(w), "__y1": F.sum(F.col("__u") * F.col("__y")).over(w),
+        "__y2": F.sum(F.col("__u") * F.col("__u") * F.col("__y")).over(w), "__yy": F.sum(F.col("__y") * F.col("__y")).over(w),
+    })
+    n, s1, s2, s3, s4, y0, y1, y2 = (F.col(c) for c in ("n", "__s1", "__s2", "__s3", "__s4", "__y0", "__y1", "__y2"))
+    det = n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)
+    u = u.withColumn("__det", det).where("n >= 3 AND abs(__det) > 1e-12").withColumns({
+        "__c0": (y0 * (s2 * s4 - s3 * s3) - s1 * (y1 * s4 - y2 * s3) + s2 * (y1 * s3 - y2 * s2)) / F.col("__det"),
+        "__c1": (n * (y1 * s4 - y2 * s3) - y0 * (s1 * s4 - s2 * s3) + s2 * (s1 * y2 - s2 * y1)) / F.col("__det"),
+        "__c2": (n * (s2 * y2 - s3 * y1) - s1 * (s1 * y2 - s2 * y1) + y0 * (s1 * s3 - s2 * s2)) / F.col("__det"),
+    })
+    u = u.withColumn("res", F.col("__y") - F.col("__c0") - F.col("__c1") * F.col("__u") - F.col("__c2") * F.col("__u") * F.col("__u"))
+    u = u.withColumn("__sq", F.sum(F.col("res") * F.col("res")).over(w))
+    r2 = F.when(F.col("__yy") > 1e-9, 1 - F.col("__sq") / F.col("__yy")).when(F.col("__sq") < 1e-6, F.lit(1.0)).otherwise(F.lit(0.0))
+    u = u.withColumns({"a": 2 * F.col("__c2"), "r2": r2, "rms": F.sqrt(F.col("__sq") / n), "res_step": F.abs(F.col("res") - F.lag("res").over(w.orderBy(t)))})
+    return u.drop(*[c for c in u.columns if c.startswith("__")])
+
+
+def parabola_quality(df: DataFrame, keys: list[str], t: str = "t", y: str = "y") -> DataFrame:
+    """``n, t0, t1, a, r2, rms, rms_frac, jump_frac, t_worst``: the fit of each segment, its residuals'
+    size and largest step over the span of ``y``, and the time of the largest."""
+    f = parabola_rows(df, keys, t, y)
+    one = lambda c: F.first(c).alias(c)
+    return f.groupBy(*keys).agg(
+        *map(one, ("n", "t0", "t1", "a", "r2", "rms")), (F.first("rms") / F.first("vspan")).alias("rms_frac"),
+        (F.coalesce(F.max("res_step"), F.lit(0.0)) / F.first("vspan")).alias("jump_frac"), F.max_by(t, F.struct(F.round(F.abs("res"), 9), -F.col(t))).alias("t_worst"),
+    )
+
+
 #: Ranges in which values are ordered side by side where there is no key to part them by.
 RANGES = 64
 

@@ -1,6 +1,6 @@
 """Every registered query with its SQL oracle."""
 
-from tracewright.plans import contacts, extras, motion, physics, reporting, streams  # noqa: F401
+from tracewright.plans import contacts, extras, motion, physics, reporting, streams, violations  # noqa: F401
 from tracewright.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

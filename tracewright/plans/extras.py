@@ -70,10 +70,27 @@ def _(spark, sf):
     return s.groupBy("video_id", "track_id").agg(size("x0", "x1").alias("w"), size("y0", "y1").alias("h"))
 
 
-@query("mass_weights", "SELECT video_id, track_id, m / avg(m) OVER (PARTITION BY video_id) AS weight FROM (SELECT video_id, track_id, median(area) AS m FROM shape GROUP BY 1, 2)", *PIX_VIEWS, SHAPE)
-def _(spark, sf):
+MASS = """mass0 AS (SELECT video_id, track_id, m / avg(m) OVER (PARTITION BY video_id) AS w FROM (SELECT video_id, track_id, median(area) AS m FROM shape GROUP BY 1, 2)),
+told_mass AS (SELECT user_id AS track_id, arg_min(value, event_id) / 50 AS told FROM events GROUP BY 1),
+mass1 AS (SELECT m.*, w * CASE WHEN told BETWEEN 0.05 AND 20 THEN least(greatest(told, 0.1), 10) ELSE 1 END AS lifted FROM mass0 m LEFT JOIN told_mass t ON t.track_id = m.track_id),
+mass AS (SELECT video_id, track_id, w AS by_area, lifted / avg(lifted) OVER (PARTITION BY video_id) AS weight FROM mass1)"""
+
+
+def mass_weights(spark, sf):
+    """Weights of a video's tracks around 1: the median mask area, times what a model told of the mass if
+    that is sensible (clipped), normalised again."""
+    v = Window.partitionBy("video_id")
     m = K.mask_shape(pixels(spark, sf)).groupBy("video_id", "track_id").agg(F.median("area").alias("m"))
-    return m.select("video_id", "track_id", (F.col("m") / F.avg("m").over(Window.partitionBy("video_id"))).alias("weight"))
+    told = T.table(spark, sf, "events").groupBy(F.col("user_id").alias("track_id")).agg((F.min_by("value", "event_id") / 50).alias("told"))
+    m = m.withColumn("by_area", F.col("m") / F.avg("m").over(v)).join(told, "track_id", "left")
+    lift = F.when(F.col("told").between(0.05, 20), F.least(F.greatest("told", F.lit(0.1)), F.lit(10.0))).otherwise(F.lit(1.0))
+    m = m.withColumn("lifted", F.col("by_area") * lift)
+    return m.select("video_id", "track_id", "by_area", (F.col("lifted") / F.avg("lifted").over(v)).alias("weight"))
+
+
+@query("mass_weights", "SELECT video_id, track_id, round(by_area, 9) AS by_area, round(weight, 9) AS weight FROM mass", *PIX_VIEWS, SHAPE, MASS)
+def _(spark, sf):
+    return mass_weights(spark, sf).select("video_id", "track_id", F.round("by_area", 9).alias("by_area"), F.round("weight", 9).alias("weight"))
 
 
 @query("verification_budget", "SELECT video_id, id, severity FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY severity DESC, id) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t_start, lane, frame_start) - 1 AS id FROM mark)) WHERE rn <= 3", *C.MARK_VIEWS)
@@ -87,34 +104,27 @@ def _(spark, sf):
 VERD = "verd AS (SELECT user_id AS track_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) % 3 AS v, value / 200 AS conf FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1)"
 
 
+def verdicts(spark, sf):
+    """What a model said of each track: 0 confirmed, 1 rejected, 2 unsure, with its confidence."""
+    e = T.table(spark, sf, "events")
+    first = e.groupBy(F.col("user_id").alias("track_id")).agg(F.min_by(F.struct("props", "value"), "event_id").alias("e"))
+    return first.select("track_id", (F.regexp_extract("e.props", "[0-9]+", 0).cast("long") % 3).alias("v"), (F.col("e.value") / 200).alias("conf"))
+
+
 @query("verdict_fold", """
 SELECT g.video_id, g.track_id, g.frame, CASE v WHEN 0 THEN true WHEN 1 THEN false END AS confirmed, CASE v WHEN 0 THEN greatest(least(accel / 100, 1), conf) WHEN 1 THEN least(accel / 100, 1) * 0.25 ELSE least(accel / 100, 1) END AS score
 FROM gz g LEFT JOIN verd ON verd.track_id = g.track_id
 """, T.OBS, T.GRID, M.GKIN, C.GFLAG, VERD)
 def _(spark, sf):
     """Verdicts of a model fold into scores: confirmed lifts, rejected keeps a quarter, unknown stays."""
-    e = T.table(spark, sf, "events")
-    first = e.groupBy(F.col("user_id").alias("track_id")).agg(F.min_by(F.struct("props", "value"), "event_id").alias("e"))
-    verdict = first.select("track_id", (F.regexp_extract("e.props", "[0-9]+", 0).cast("long") % 3).alias("v"), (F.col("e.value") / 200).alias("conf"))
-    j = C.jolts(spark, sf).join(verdict, "track_id", "left").withColumn("s", F.least(F.col("accel") / 100, F.lit(1.0)))
+    j = C.jolts(spark, sf).join(verdicts(spark, sf), "track_id", "left").withColumn("s", F.least(F.col("accel") / 100, F.lit(1.0)))
     score = F.when(F.col("v") == 0, F.greatest("s", "conf")).when(F.col("v") == 1, F.col("s") * 0.25).otherwise(F.col("s"))
     return j.select("video_id", "track_id", "frame", F.when(F.col("v") == 0, True).when(F.col("v") == 1, False).alias("confirmed"), score.alias("score"))
 
 
-@query("corroboration", f"""
-SELECT f.video_id, f.track_id, f.t0, count(*) AS n_flags, round(least(1, 0.5::DOUBLE + 0.1::DOUBLE), 3) AS score FROM fv f JOIN gz g ON g.track_id = f.track_id AND g.t BETWEEN f.t0 AND f.t1 WHERE verdict != 'none' GROUP BY 1, 2, 3
-""", *P.FIT_VIEWS, P.VERDICT, M.GKIN, C.GFLAG)
-def _(spark, sf):
-    """Flags inside a suspicious flight segment lift its score once."""
-    f = P.flight_verdict(P.flight_fits(spark, sf)).where("verdict != 'none'").select("video_id", "track_id", "t0", "t1")
-    g = C.grid_kin(spark, sf).where("accel > 40").select("video_id", "track_id", "t")
-    j = f.join(g, ["video_id", "track_id"]).where("t BETWEEN t0 AND t1")
-    return j.groupBy("video_id", "track_id", "t0").agg(F.count("*").alias("n_flags")).withColumn("score", F.round(F.least(F.lit(1.0), F.lit(0.5) + 0.1), 3))
-
-
-@query("absolute_gravity", "SELECT video_id, track_id, t0, round(a / 12 / 9.81::DOUBLE, 6) AS g_ratio FROM fv WHERE verdict = 'ballistic'", *P.FIT_VIEWS, P.VERDICT)
+@query("absolute_gravity", "SELECT video_id, track_id, t0, round(a / 12 / 9.81::DOUBLE, 6) AS g_ratio FROM fv WHERE ballistic", *P.FIT_VIEWS, P.VERDICT)
 def _(spark, sf):
-    return P.flight_verdict(P.flight_fits(spark, sf)).where("verdict = 'ballistic'").select("video_id", "track_id", "t0", F.round(F.col("a") / 12 / 9.81, 6).alias("g_ratio"))
+    return P.flight_verdict(P.flight_fits(spark, sf)).where("ballistic").select("video_id", "track_id", "t0", F.round(F.col("a") / 12 / 9.81, 6).alias("g_ratio"))
 
 
 @query("hang_time", f"""

@@ -42,7 +42,20 @@ def parabola_sql(source: str, name: str, keys: str = "video_id, track_id, run")
 {name} AS (SELECT {keys}, CAST(n AS BIGINT) AS n, t0, t1, 2*c2 AS a, CASE WHEN yy > 1e-9 THEN 1 - res/yy WHEN res < 1e-6 THEN 1 ELSE 0 END AS r2, sqrt(res/n) AS rms FROM {name}4)"""
 
 
-FIT = parabola_sql("flight", "fit")
+def quality_sql(source: str, name: str, keys: str = "video_id, track_id, run") -> str:
+    """``parabola_sql`` with the residuals' terms: ``{name}r`` has the rows, ``{name}`` the segments."""
+    k = f"OVER (PARTITION BY {keys})"
+    return f"""{name}0 AS (SELECT *, t - min(t) {k} AS u, y - avg(y) {k} AS yc FROM {source}),
+{name}1 AS (SELECT *, CAST(count(*) {k} AS DOUBLE) AS n, min(t) {k} AS t0, max(t) {k} AS t1, greatest(max(y) {k} - min(y) {k}, 1) AS vspan, sum(u) {k} AS s1, sum(u*u) {k} AS s2, sum(u*u*u) {k} AS s3, sum(u*u*u*u) {k} AS s4, sum(yc) {k} AS y0, sum(u*yc) {k} AS y1, sum(u*u*yc) {k} AS y2, sum(yc*yc) {k} AS yy FROM {name}0),
+{name}2 AS (SELECT *, n*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2) AS det FROM {name}1),
+{name}3 AS (SELECT *, (y0*(s2*s4-s3*s3) - s1*(y1*s4-y2*s3) + s2*(y1*s3-y2*s2))/det AS c0, (n*(y1*s4-y2*s3) - y0*(s1*s4-s2*s3) + s2*(s1*y2-s2*y1))/det AS c1, (n*(s2*y2-s3*y1) - s1*(s1*y2-s2*y1) + y0*(s1*s3-s2*s2))/det AS c2 FROM {name}2 WHERE n >= 3 AND abs(det) > 1e-12),
+{name}4 AS (SELECT *, yc - c0 - c1*u - c2*u*u AS res FROM {name}3),
+{name}5 AS (SELECT *, sum(res*res) {k} AS sq, abs(res - lag(res) OVER (PARTITION BY {keys} ORDER BY t)) AS res_step FROM {name}4),
+{name}r AS (SELECT *, 2*c2 AS a, CASE WHEN yy > 1e-9 THEN 1 - sq/yy WHEN sq < 1e-6 THEN 1 ELSE 0 END AS r2, sqrt(sq/n) AS rms FROM {name}5),
+{name} AS (SELECT {keys}, CAST(any_value(n) AS BIGINT) AS n, any_value(t0) AS t0, any_value(t1) AS t1, any_value(a) AS a, any_value(r2) AS r2, any_value(rms) AS rms, any_value(rms) / any_value(vspan) AS rms_frac, coalesce(max(res_step), 0) / any_value(vspan) AS jump_frac, arg_max(t, (round(abs(res), 9), -t)) AS t_worst FROM {name}r GROUP BY {keys})"""
+
+
+FIT = quality_sql("flight", "fit")
 FIT_VIEWS = (T.OBS, T.GRID, FLIGHT, FIT)
 
 
@@ -53,13 +66,13 @@ def flights(spark, sf):
 
 
 def flight_fits(spark, sf):
-    return S.parabola_fit(flights(spark, sf), [*T.TRACK, "run"]).where("a IS NOT NULL")
+    return S.parabola_quality(flights(spark, sf), [*T.TRACK, "run"])
 
 
-@query("parabola_fit", "SELECT video_id, track_id, n, t0, t1, round(a, 6) AS a, round(r2, 6) AS r2, round(rms, 6) AS rms FROM fit", *FIT_VIEWS)
+@query("parabola_fit", "SELECT video_id, track_id, n, t0, t1, round(a, 6) AS a, round(r2, 6) AS r2, round(rms, 6) AS rms, round(rms_frac, 6) AS rms_frac, round(jump_frac, 6) AS jump_frac, t_worst FROM fit", *FIT_VIEWS)
 def _(spark, sf):
     f = flight_fits(spark, sf)
-    return f.select(*T.TRACK, "n", "t0", "t1", *[F.round(c, 6).alias(c) for c in ("a", "r2", "rms")])
+    return f.select(*T.TRACK, "n", "t0", "t1", *[F.round(c, 6).alias(c) for c in ("a", "r2", "rms", "rms_frac", "jump_frac")], "t_worst")
 
 
 #: Curvature under FLAT over a segment says nothing; see the rules in ``flight_verdict``.
@@ -68,27 +81,29 @@ FLAT, R2_MIN, HOVER = 2.0, 0.6, 24.0
 
 def flight_verdict(f):
     """Score of a free-flight segment: upward curvature that is clear and fits well is anti-gravity, no or
-    weak curvature over a long time a float, downward curvature that fits badly not a parabola."""
+    weak curvature over a long time a float, downward curvature whose fit, residuals or largest residual
+    step are bad not a parabola. ``ballistic``: it falls, and fits, whatever its residuals."""
     span = F.col("t1") - F.col("t0")
     f = f.withColumn("curv", F.abs("a") * span * span / 8)
+    q = F.greatest((F.lit(R2_MIN) - F.col("r2")) / 0.25, (F.col("rms_frac") - 0.06) / 0.1, (F.col("jump_frac") - 0.08) / 0.1)
     floaty = F.least(F.lit(0.85), 0.45 + 0.15 * span / HOVER)
     kind = (
         F.when((F.col("curv") < FLAT) & (span >= HOVER), "float").when(F.col("curv") < FLAT, "none")
         .when((F.col("a") < 0) & (F.col("curv") >= 3 * FLAT) & (F.col("r2") >= 0.7), "anti_gravity")
         .when((F.col("a") < 0) & (span >= HOVER), "float").when(F.col("a") < 0, "none")
-        .when((F.lit(R2_MIN) - F.col("r2")) / 0.25 > 0.05, "non_parabolic_fall").otherwise("ballistic")
+        .when(q > 0.05, "non_parabolic_fall").otherwise("ballistic")
     )
-    score = F.when(kind == "float", floaty).when(kind == "anti_gravity", F.lit(0.85)).when(kind == "non_parabolic_fall", F.least(F.lit(1.0), (F.lit(R2_MIN) - F.col("r2")) / 0.25)).otherwise(F.lit(0.0))
-    return f.withColumns({"verdict": kind, "score": score})
+    score = F.when(kind == "float", floaty).when(kind == "anti_gravity", F.lit(0.85)).when(kind == "non_parabolic_fall", F.least(F.lit(1.0), q)).otherwise(F.lit(0.0))
+    return f.withColumns({"verdict": kind, "score": score, "ballistic": (F.col("curv") >= FLAT) & (F.col("a") > 0) & (F.col("r2") >= R2_MIN)})
 
 
-VERDICT = """fv AS (SELECT *, CASE WHEN curv < 2 AND span >= 24 THEN 'float' WHEN curv < 2 THEN 'none' WHEN a < 0 AND curv >= 6 AND r2 >= 0.7 THEN 'anti_gravity'
-  WHEN a < 0 AND span >= 24 THEN 'float' WHEN a < 0 THEN 'none' WHEN (0.6::DOUBLE - r2) / 0.25 > 0.05 THEN 'non_parabolic_fall' ELSE 'ballistic' END AS verdict
-  FROM (SELECT *, t1 - t0 AS span, abs(a) * (t1 - t0) * (t1 - t0) / 8 AS curv FROM fit))"""
+VERDICT = """fv0 AS (SELECT *, t1 - t0 AS span, abs(a) * (t1 - t0) * (t1 - t0) / 8 AS curv, greatest((0.6::DOUBLE - r2) / 0.25::DOUBLE, (rms_frac - 0.06::DOUBLE) / 0.1::DOUBLE, (jump_frac - 0.08::DOUBLE) / 0.1::DOUBLE) AS q FROM fit),
+fv1 AS (SELECT *, CASE WHEN curv < 2 AND span >= 24 THEN 'float' WHEN curv < 2 THEN 'none' WHEN a < 0 AND curv >= 6 AND r2 >= 0.7 THEN 'anti_gravity'
+  WHEN a < 0 AND span >= 24 THEN 'float' WHEN a < 0 THEN 'none' WHEN q > 0.05 THEN 'non_parabolic_fall' ELSE 'ballistic' END AS verdict, curv >= 2 AND a > 0 AND r2 >= 0.6 AS ballistic FROM fv0),
+fv AS (SELECT *, CASE verdict WHEN 'float' THEN least(0.85, 0.45::DOUBLE + 0.15::DOUBLE * span / 24) WHEN 'anti_gravity' THEN 0.85 WHEN 'non_parabolic_fall' THEN least(1, q) ELSE 0 END::DOUBLE AS score FROM fv1)"""
 
 
-@query("free_flight_checks", """SELECT video_id, track_id, t0, t1, verdict, round(CASE verdict WHEN 'float' THEN least(0.85, 0.45::DOUBLE + 0.15::DOUBLE * span / 24) WHEN 'anti_gravity' THEN 0.85
-  WHEN 'non_parabolic_fall' THEN least(1, (0.6::DOUBLE - r2) / 0.25) ELSE 0 END::DOUBLE, 6) AS score FROM fv""", *FIT_VIEWS, VERDICT)
+@query("free_flight_checks", "SELECT video_id, track_id, t0, t1, verdict, round(score, 6) AS score FROM fv", *FIT_VIEWS, VERDICT)
 def _(spark, sf):
     return flight_verdict(flight_fits(spark, sf)).select(*T.TRACK, "t0", "t1", "verdict", F.round("score", 6).alias("score"))
 
@@ -124,34 +139,40 @@ def _(spark, sf):
 
 
 @query("galileo_pairs", """
-b AS (SELECT * FROM fv WHERE verdict = 'ballistic')
-SELECT p.video_id, p.track_id AS track_a, q.track_id AS track_b, round(greatest(p.a, q.a) / least(p.a, q.a), 6) AS ratio FROM b p JOIN b q ON p.video_id = q.video_id AND p.track_id < q.track_id
+b AS (SELECT * FROM fv WHERE ballistic)
+SELECT p.video_id, p.track_id AS track_a, q.track_id AS track_b, round(greatest(p.a, q.a) / least(p.a, q.a), 6) AS ratio, round(least(1, 0.3::DOUBLE + 0.7::DOUBLE * (greatest(p.a, q.a) / least(p.a, q.a) - 1.5) / 3), 6) AS score FROM b p JOIN b q ON p.video_id = q.video_id AND p.track_id < q.track_id
   AND least(p.t1, q.t1) - greatest(p.t0, q.t0) >= 0.25 WHERE least(p.a, q.a) > 0 AND greatest(p.a, q.a) / least(p.a, q.a) > 1.5
 """, *FIT_VIEWS, VERDICT)
 def _(spark, sf):
     """Two falls at once must share their acceleration; overlapping pairs meet by video and day."""
     day = 24
-    b = flight_verdict(flight_fits(spark, sf)).where("verdict = 'ballistic' AND a > 0").select(*T.TRACK, "t0", "t1", "a")
+    b = flight_verdict(flight_fits(spark, sf)).where("ballistic").select(*T.TRACK, "t0", "t1", "a")
     s = J.in_blocks(b, F.col("t0"), F.col("t1"), day)
     p, q = (s.select("video_id", "__block", *[F.col(c).alias(f"{c}_{x}") for c in ("track_id", "t0", "t1", "a")]) for x in "pq")
     overlap = F.least("t1_p", "t1_q") - F.greatest("t0_p", "t0_q")
     j = p.join(q, ["video_id", "__block"]).where((F.col("track_id_p") < F.col("track_id_q")) & (overlap >= 0.25))
     j = j.where(F.floor(F.greatest("t0_p", "t0_q") / day) == F.col("__block"))  # each pair in its first common block only
     ratio = F.greatest("a_p", "a_q") / F.least("a_p", "a_q")
-    return j.where(ratio > 1.5).select("video_id", F.col("track_id_p").alias("track_a"), F.col("track_id_q").alias("track_b"), F.round(ratio, 6).alias("ratio"))
+    return j.where(ratio > 1.5).select("video_id", F.col("track_id_p").alias("track_a"), F.col("track_id_q").alias("track_b"), F.round(ratio, 6).alias("ratio"), F.round(F.least(F.lit(1.0), 0.3 + 0.7 * (ratio - 1.5) / 3), 6).alias("score"))
 
 
-@query("coherence_corr", """
-p AS (SELECT a.video_id, a.track_id AS ta, b.track_id AS tb, a.vx AS xa, b.vx AS xb, a.vy AS ya, b.vy AS yb FROM kin a JOIN kin b ON a.video_id = b.video_id AND a.frame = b.frame AND a.track_id < b.track_id),
-s AS (SELECT video_id, ta, tb, xa AS u, xb AS v FROM p UNION ALL SELECT video_id, ta, tb, ya, yb FROM p),
-c AS (SELECT video_id, ta, tb, corr(u, v) AS r FROM s GROUP BY 1, 2, 3 HAVING count(*) >= 12 AND stddev_pop(u) > 1e-6 AND stddev_pop(v) > 1e-6)
-SELECT video_id, round(median(r), 9) AS coherence, count(*) AS n FROM c GROUP BY 1
-""", T.OBS, T.GRID, M.GKIN)
-def _(spark, sf):
+COHERENCE = """cp AS (SELECT a.video_id, a.track_id AS ta, b.track_id AS tb, a.vx AS xa, b.vx AS xb, a.vy AS ya, b.vy AS yb FROM kin a JOIN kin b ON a.video_id = b.video_id AND a.frame = b.frame AND a.track_id < b.track_id),
+cs AS (SELECT video_id, ta, tb, xa AS u, xb AS v FROM cp UNION ALL SELECT video_id, ta, tb, ya, yb FROM cp),
+cc AS (SELECT video_id, ta, tb, corr(u, v) AS r FROM cs GROUP BY 1, 2, 3 HAVING count(*) >= 12 AND stddev_pop(u) > 1e-6 AND stddev_pop(v) > 1e-6),
+coh AS (SELECT video_id, median(r) AS coherence, count(*) AS n FROM cc GROUP BY 1)"""
+
+
+def coherence(spark, sf):
+    """The median over pairs of tracks of the correlation of their velocities (x and y as one series)."""
     p = J.track_pairs(C.grid_kin(spark, sf), ["vx", "vy"])  # grid and kinematics once, a frame's tracks paired in place
     s = p.select("video_id", "track_a", "track_b", F.inline(F.array(F.struct(F.col("vx_a").alias("u"), F.col("vx_b").alias("v")), F.struct(F.col("vy_a").alias("u"), F.col("vy_b").alias("v")))))
     c = s.groupBy("video_id", "track_a", "track_b").agg(F.corr("u", "v").alias("r"), F.count("*").alias("m"), F.stddev_pop("u").alias("su"), F.stddev_pop("v").alias("sv")).where("m >= 12 AND su > 1e-6 AND sv > 1e-6")
-    return c.groupBy("video_id").agg(F.round(F.median("r"), 9).alias("coherence"), F.count("*").alias("n"))
+    return c.groupBy("video_id").agg(F.median("r").alias("coherence"), F.count("*").alias("n"))
+
+
+@query("coherence_corr", "SELECT video_id, round(coherence, 9) AS coherence, n FROM coh", T.OBS, T.GRID, M.GKIN, COHERENCE)
+def _(spark, sf):
+    return coherence(spark, sf).withColumn("coherence", F.round("coherence", 9))
 
 
 PREPOST = """side AS (SELECT e.video_id, e.track_id, e.partner_id, e.f_start, e.f_end, k.frame < e.f_start AS pre, k.vx, k.vy,
@@ -244,13 +265,6 @@ def _c(x: str) -> str:
     return f"least(greatest({x}, 0), 1)"
 
 
-@query("momentum_score", f"SELECT video_id, track_id, round(100 * (0.30::DOUBLE * {_c('vmax / 150')} + 0.20::DOUBLE * {_c('vavg / 50')} + 0.15::DOUBLE * {_c('1 / 3.0::DOUBLE')} + 0.15::DOUBLE * {_c('amax / 800')} + 0.10::DOUBLE * {_c('path / 300')} + 0.05::DOUBLE * {_c('curvature / 45')} + 0.05::DOUBLE * smoothness), 5) AS score FROM fp", T.OBS, M.KIN, FINGER)
-def _(spark, sf):
-    f = F.col
-    s = 0.30 * clip01(f("vmax") / 150) + 0.20 * clip01(f("vavg") / 50) + 0.15 * clip01(F.lit(1 / 3.0)) + 0.15 * clip01(f("amax") / 800) + 0.10 * clip01(f("path") / 300) + 0.05 * clip01(f("curvature") / 45) + 0.05 * f("smoothness")
-    return fingerprints(spark, sf).select(*T.TRACK, F.round(100 * s, 5).alias("score"))
-
-
 JUMP = f"""mj AS (SELECT *, row_number() {GW} - 1 AS i, count(*) {GP} AS n, abs(speed - lag(speed) {GW}) / greatest(median(speed) {GP}, 0.15::DOUBLE * max(speed) {GP}, 2) AS jump, lag(vy) {GW} AS bvy FROM kin)"""
 INNER = "i >= 2 AND i < n - 1 AND NOT (x < 3 OR x > 97 OR y < 3 OR y > 97)"
 
@@ -297,7 +311,7 @@ def _(spark, sf):
 
 
 SEG = f"""seg0 AS (SELECT video_id, track_id, run, min(frame) AS f0, max(frame) AS f1, min(t) AS t0, max(t) AS t1, count(*) AS n, avg(speed) AS avg_speed, avg(y) AS avg_y, avg(vy) AS avg_vy, arg_max(vy, frame) >= arg_min(vy, frame) AS rising,
-  CASE WHEN max(t) - min(t) > 1e-9 THEN regr_slope(speed, t) ELSE 0 END AS slope FROM brk WHERE valid GROUP BY 1, 2, 3 HAVING count(*) >= 5 AND avg(speed) >= 2),
+  CASE WHEN max(t) - min(t) > 1e-9 THEN regr_slope(speed, t) ELSE 0 END AS slope, CASE WHEN max(t) - min(t) > 1e-9 THEN greatest(0, least(1, coalesce(regr_r2(speed, t), 0))) ELSE 0 END::DOUBLE AS r2 FROM brk WHERE valid GROUP BY 1, 2, 3 HAVING count(*) >= 5 AND avg(speed) >= 2),
 seg AS (SELECT *, slope / greatest(avg_speed, 2) AS slope_norm, CASE WHEN avg_vy > 2 AND rising THEN 'accelerate' WHEN avg_y > 50 THEN 'decelerate' ELSE 'constant' END AS expected FROM seg0)"""
 SEG_VIEWS = (*C.COAST_VIEWS, SEG)
 
@@ -307,6 +321,7 @@ def segments(spark, sf):
     g = C.coasts(spark, sf).groupBy(*T.TRACK, "run").agg(
         F.min("frame").alias("f0"), F.max("frame").alias("f1"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.count("*").alias("n"), F.avg("speed").alias("avg_speed"), F.avg("y").alias("avg_y"),
         F.avg("vy").alias("avg_vy"), (F.max_by("vy", "frame") >= F.min_by("vy", "frame")).alias("rising"), F.when(F.max("t") - F.min("t") > 1e-9, F.regr_slope("speed", "t")).otherwise(F.lit(0.0)).alias("slope"),
+        F.when(F.max("t") - F.min("t") > 1e-9, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.regr_r2("speed", "t"), F.lit(0.0))))).otherwise(F.lit(0.0)).alias("r2"),
     ).where("n >= 5 AND avg_speed >= 2")
     expected = F.when((F.col("avg_vy") > 2) & F.col("rising"), "accelerate").when(F.col("avg_y") > 50, "decelerate").otherwise("constant")
     return g.withColumns({"slope_norm": F.col("slope") / F.greatest("avg_speed", F.lit(2.0)), "expected": expected})
@@ -444,14 +459,45 @@ def _(spark, sf):
     return sync_reversals(spark, sf).select("video_id", "frame", "n_rev", "n_act")
 
 
+#: Rules in order: the type of event that stands for a model's answer, whether geometry answers too.
+CAUSAL = [("effect_before_cause", "error", "ebc"), ("time_reversal", "click", "sync"), ("temporal_discontinuity", "signup", None), ("cause_without_effect", "purchase", None), ("spontaneous_change", "view", None)]
+ANSWERS = "answers AS (SELECT user_id // 10 AS video_id, event_type, least(arg_max(value, event_id) / 100, 1) AS p FROM events GROUP BY 1, 2)"
+RULES_FIRED = f"""cr AS (SELECT * FROM (VALUES {", ".join(f"('{r}', '{e}', '{g or 'none'}')" for r, e, g in CAUSAL)}) v(rule, event_type, geom)),
+cg AS (SELECT video_id, 'ebc' AS geom, count(*) AS g FROM ebc WHERE near - frame < -3 GROUP BY 1 UNION ALL SELECT video_id, 'sync', count(*) FROM sync GROUP BY 1),
+cf AS (SELECT v.video_id, cr.rule, p, coalesce(g, 0) AS g, greatest(coalesce(p, 0), CASE WHEN g > 0 THEN 0.6::DOUBLE + least(0.35, 0.1::DOUBLE * g) ELSE 0 END) AS score, coalesce(p >= 0.5, false) AS said, coalesce(g > 0, false) AS seen
+  FROM (SELECT DISTINCT video_id FROM grid) v JOIN cr ON true LEFT JOIN answers a ON a.video_id = v.video_id AND a.event_type = cr.event_type LEFT JOIN cg ON cg.video_id = v.video_id AND cg.geom = cr.geom)"""
+CAUSAL_VIEWS = (*EBC_VIEWS, REVS, SYNC, ANSWERS, RULES_FIRED)
+
+
+def causal_rules(spark, sf):
+    """Every rule of every video: a model's probability, the geometric events, the score and what fired."""
+    e = T.table(spark, sf, "events").withColumn("video_id", F.floor(F.col("user_id") / 10).cast("long"))
+    said = e.groupBy("video_id", "event_type").agg(F.least(F.max_by("value", "event_id") / 100, F.lit(1.0)).alias("p"))
+    n = effects_before_causes(spark, sf).select("video_id", "track_id", "frame").distinct().groupBy("video_id").agg(F.count("*").alias("g")).withColumn("geom", F.lit("ebc"))
+    n = n.unionByName(sync_reversals(spark, sf).groupBy("video_id").agg(F.count("*").alias("g")).withColumn("geom", F.lit("sync")))
+    rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(t).alias("event_type"), F.lit(g or "none").alias("geom")) for r, t, g in CAUSAL])
+    v = e.select("video_id").distinct().select("video_id", F.inline(rules)).join(said, ["video_id", "event_type"], "left").join(n, ["video_id", "geom"], "left")
+    g = F.coalesce("g", F.lit(0))
+    score = F.greatest(F.coalesce("p", F.lit(0.0)), F.when(g > 0, 0.6 + F.least(F.lit(0.35), 0.1 * g)).otherwise(F.lit(0.0)))
+    return v.select("video_id", "rule", "p", g.alias("g"), score.alias("score"), F.coalesce(F.col("p") >= 0.5, F.lit(False)).alias("said"), (g > 0).alias("seen"))
+
+
+@query("causality_rules", "SELECT video_id, rule, p, g, round(score, 6) AS score, said, seen FROM cf", *CAUSAL_VIEWS)
+def _(spark, sf):
+    return causal_rules(spark, sf).withColumn("score", F.round("score", 6))
+
+
 @query("causality_severity", """
-v AS (SELECT DISTINCT video_id FROM grid), e AS (SELECT video_id, count(*) AS g FROM ebc WHERE near - frame < -3 GROUP BY 1), s AS (SELECT video_id, count(*) AS g FROM sync GROUP BY 1),
-p AS (SELECT v.video_id, CASE WHEN e.g > 0 THEN 0.6::DOUBLE + least(0.35, 0.1::DOUBLE * e.g) ELSE 0 END AS p1, CASE WHEN s.g > 0 THEN 0.6::DOUBLE + least(0.35, 0.1::DOUBLE * s.g) ELSE 0 END AS p2 FROM v LEFT JOIN e USING (video_id) LEFT JOIN s USING (video_id))
-SELECT video_id, round((least(1, p1) + least(1, p2)) / (0.8::DOUBLE * 5) * 100, 6) AS severity, CASE WHEN (p1 + p2) / 4 * 100 >= 50 THEN 'violated' WHEN (p1 + p2) / 4 * 100 >= 25 THEN 'suspect' ELSE 'consistent' END AS verdict FROM p
-""", *C.EDGE_VIEWS, SELF, SELF_Z, EBC, REVS, SYNC)
+w AS (SELECT video_id, sum(CASE WHEN said OR seen THEN least(1, score * CASE WHEN said AND seen THEN 1.15::DOUBLE ELSE 1 END) ELSE 0 END) AS weight, bool_or(said OR seen) AS fired, max(score) AS top FROM cf GROUP BY 1),
+s AS (SELECT *, CAST(trunc(round(least(100, CASE WHEN fired THEN 100 * weight / (0.8::DOUBLE * 5) ELSE 100 * top * 0.4::DOUBLE END), 6)) AS BIGINT) AS severity FROM w)
+SELECT video_id, severity, CASE WHEN severity >= 50 THEN 'confirmed' WHEN severity >= 25 THEN 'suspected' ELSE 'rejected' END AS verdict FROM s
+""", *CAUSAL_VIEWS)
 def _(spark, sf):
-    v = T.grid(spark, sf).select("video_id").distinct()
-    lifted = lambda df, name: df.groupBy("video_id").agg((0.6 + F.least(F.lit(0.35), 0.1 * F.count("*"))).alias(name))
-    p = v.join(lifted(effects_before_causes(spark, sf).select("video_id", "track_id", "frame").distinct(), "p1"), "video_id", "left").join(lifted(sync_reversals(spark, sf), "p2"), "video_id", "left").na.fill(0.0)
-    total = (F.col("p1") + F.col("p2")) / 4 * 100
-    return p.select("video_id", F.round((F.least(F.lit(1.0), "p1") + F.least(F.lit(1.0), "p2")) / (0.8 * 5) * 100, 6).alias("severity"), F.when(total >= 50, "violated").when(total >= 25, "suspect").otherwise("consistent").alias("verdict"))
+    """Fired rules' scores over four fifths of all rules (x1.15 where model and geometry agree, 1 at most);
+    with none fired, two fifths of the largest."""
+    hit = F.col("said") | F.col("seen")
+    one = F.least(F.lit(1.0), F.col("score") * F.when(F.col("said") & F.col("seen"), 1.15).otherwise(F.lit(1.0)))
+    w = causal_rules(spark, sf).groupBy("video_id").agg(F.sum(F.when(hit, one).otherwise(F.lit(0.0))).alias("weight"), F.max(hit).alias("fired"), F.max("score").alias("top"))
+    raw = F.when(F.col("fired"), 100 * F.col("weight") / (0.8 * len(CAUSAL))).otherwise(100 * F.col("top") * 0.4)
+    s = w.withColumn("severity", F.round(F.least(F.lit(100.0), raw), 6).cast("long"))
+    return s.select("video_id", "severity", F.when(F.col("severity") >= 50, "confirmed").when(F.col("severity") >= 25, "suspected").otherwise("rejected").alias("verdict"))

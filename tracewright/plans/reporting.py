@@ -271,16 +271,6 @@ def _(spark, sf):
     return C.markers(spark, sf).withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("video_id", F.round((F.col("t_start") + F.col("t_end")) / 2, 2).alias("t")).distinct()
 
 
-@query("severity_caps", """
-g AS (SELECT stage, test, round(max(severity), 6) AS raw, bool_or(status = 'error') AS confirmed, count(*) AS n FROM tests GROUP BY 1, 2)
-SELECT stage, test, raw, CASE WHEN n >= 400 AND raw > 50 AND test < 'F' THEN 50 WHEN NOT confirmed THEN least(raw, 70) ELSE least(raw, 100) END AS severity FROM g
-""", T.TESTS)
-def _(spark, sf):
-    g = T.tests(spark, sf).groupBy("stage", "test").agg(F.round(F.max("severity"), 6).alias("raw"), F.max(F.col("status") == "error").alias("confirmed"), F.count("*").alias("n"))
-    capped = F.when((F.col("n") >= 400) & (F.col("raw") > 50) & (F.col("test") < "F"), F.lit(50.0)).when(~F.col("confirmed"), F.least("raw", F.lit(70.0))).otherwise(F.least("raw", F.lit(100.0)))
-    return g.select("stage", "test", "raw", capped.alias("severity"))
-
-
 @query("status_counts_rollup", "SELECT stage, status, count(*) AS n FROM tests WHERE NOT excluded GROUP BY GROUPING SETS ((stage, status), (status))", T.TESTS)
 def _(spark, sf):
     return T.tests(spark, sf).where("NOT excluded").groupingSets([["stage", "status"], ["status"]], "stage", "status").agg(F.count("*").alias("n"))
