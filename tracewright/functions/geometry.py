@@ -12,13 +12,14 @@ def box_around(x: Column, y: Column, half: float = 5.0) -> Box:
     return x - half, y - half, x + half, y + half
 
 
-def box_iou(a: Box, b: Box) -> Column:
+def box_iou(a: Box, b: Box, least_union: float = 1e-6) -> Column:
+    """Overlap over union, 0 where the union is not over ``least_union``."""
     zero = F.lit(0.0)
     w = F.greatest(F.least(a[2], b[2]) - F.greatest(a[0], b[0]), zero)
     h = F.greatest(F.least(a[3], b[3]) - F.greatest(a[1], b[1]), zero)
     inter = w * h
     union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
-    return F.when(union > 1e-6, inter / union).otherwise(zero)
+    return F.when(union > least_union, inter / union).otherwise(zero)
 
 
 def box_gap(a: Box, b: Box) -> Column:

@@ -10,10 +10,11 @@ EXTENSIONS = ("mp4", "mov", "avi", "mkv", "webm", "m4v", "mpg", "mpeg", "wmv", "
 
 
 def parse_reply(df):
-    """Adds ``suspicion_score, suspected_failure, confidence, parsed`` for a column ``raw``.
+    """Adds ``suspicion_score, suspected_failure, explanation, confidence, parsed`` for a column ``raw``.
 
     The outermost braces are parsed as JSON; where that gives nothing, single fields are recovered by
-    pattern. A missing score is null (no signal), a missing confidence 0.
+    pattern, numbers also without a leading digit, texts also if the reply ends inside them. A missing
+    score is null (no signal), a missing confidence 0.
     """
     body = F.regexp_extract("raw", r"(?s)\{.*\}", 0)
     parsed = df.withColumn("__j", F.from_json(F.nullif(body, F.lit("")), REPLY))
@@ -21,17 +22,48 @@ def parse_reply(df):
     return parsed.withColumns({
         "suspicion_score": score,
         "suspected_failure": F.coalesce(F.col("__j.suspected_failure"), _text("suspected_failure")),
+        "explanation": F.coalesce(F.col("__j.explanation"), _text("explanation")),
         "confidence": F.coalesce(F.col("__j.confidence"), _number("confidence"), F.lit(0.0)),
         "parsed": score.isNotNull(),
     }).drop("__j")
 
 
 def _number(name: str) -> Column:
-    return F.regexp_extract("raw", rf'"{name}"\s*:\s*(-?[0-9]+[.]?[0-9]*)', 1).try_cast("double")
+    return F.regexp_extract("raw", rf'"{name}"\s*:\s*(-?[0-9]*[.]?[0-9]+)', 1).try_cast("double")
 
 
 def _text(name: str) -> Column:
-    return F.nullif(F.regexp_extract("raw", rf'"{name}"\s*:\s*"([^"]*)"', 1), F.lit(""))
+    empty = F.lit("")
+    whole = F.nullif(F.regexp_extract("raw", rf'"{name}"\s*:\s*"([^"]*)"', 1), empty)
+    return F.coalesce(whole, F.nullif(F.trim(F.regexp_extract("raw", rf'"{name}"\s*:\s*"([^"]+)$', 1)), empty))
+
+
+SIGNAL = "struct<frame:double,t:double,signal_type:string,score:double>"
+ENVELOPE = f"struct<source:string,fps:double,severity:double,signals:array<{SIGNAL}>>"
+
+
+def signal_payload(df, fps: float, frames: int):
+    """``source, t, frame, signal_type, score, severity`` of every signal of the JSON in ``raw``: a list of
+    signals, a list of envelopes, or a map from source to envelope. Signals without a place are left out."""
+    bare = F.struct(F.lit(None).cast("string").alias("source"), F.lit(fps).alias("fps"), F.lit(None).cast("double").alias("severity"), F.from_json("raw", f"array<{SIGNAL}>").alias("signals"))
+    named = F.transform(F.map_entries(F.from_json("raw", f"map<string,{ENVELOPE}>")), lambda e: F.struct(F.coalesce(e["value"]["source"], e["key"]).alias("source"), e["value"]["fps"].alias("fps"), e["value"]["severity"].alias("severity"), e["value"]["signals"].alias("signals")))
+    is_map, has_signals = F.startswith(F.ltrim("raw"), F.lit("{")), F.contains("raw", F.lit('"signals"'))
+    envelopes = F.when(is_map, named).when(has_signals, F.from_json("raw", f"array<{ENVELOPE}>")).otherwise(F.array(bare))
+    each = df.withColumn("__e", F.explode(envelopes)).select("*", F.explode("__e.signals").alias("__s")).where("__s.t IS NOT NULL OR __s.frame IS NOT NULL")
+    t = F.coalesce("__s.t", F.col("__s.frame") / F.greatest(F.coalesce("__e.fps", F.lit(fps)), F.lit(1e-6)))
+    frame = F.greatest(F.lit(0), F.least(F.bround(F.round(t * fps, 6)).cast("long"), F.lit(frames - 1)))
+    return each.select(
+        *[c for c in df.columns if c != "raw"], F.coalesce("__e.source", F.lit("Stage 1 test")).alias("source"), F.round(t, 9).alias("t"), frame.cast("long").alias("frame"),
+        F.coalesce("__s.signal_type", F.lit("anomaly")).alias("signal_type"), F.coalesce("__s.score", F.lit(1.0)).alias("score"), F.col("__e.severity").alias("severity"),
+    )
+
+
+def sanitised_plan(raw: Column, tools: list[str], most: int) -> Column:
+    """The known tools that a reply's ``run`` names, in the order of ``tools``; empty if it says that
+    there is enough, null if it has no list."""
+    said = F.from_json(raw, "struct<sufficient:boolean,run:array<string>>")
+    known = F.slice(F.filter(F.array(*map(F.lit, tools)), lambda x: F.array_contains(said["run"], x)), 1, most)
+    return F.when(said["sufficient"], F.array().cast("array<string>")).when(said["run"].isNotNull(), known)
 
 
 def percent(c: Column) -> Column:
