@@ -64,3 +64,48 @@ def test_odd_rows(spark):
     left = ct.drop_contaminated(docs, items)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 2]
     assert ct.contaminated(docs.limit(0), items).count() == 0 and ct.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_many_short_texts_against_a_long_item():
+    """A class of large items allocates nothing for texts that cannot hold its items."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    index = ct.ItemIndex([(1, " ".join(f"w{rng.randrange(10**6)}" for _ in range(3000)))])
+    texts = [f"one line text number {k} of some words" for k in range(10_000)]
+    tracemalloc.start()
+    assert list(index.contained(texts)) == []
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20, peak
+
+
+def test_common_headers_make_no_candidates():
+    header = "this is the common header of every one of all these items here"
+    items = [(k, header + f" then a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k} i{k}") for k in range(3000)]
+    index = ct.ItemIndex(items)
+    texts = [header + f" and other words follow here {k}" for k in range(200)]
+    hashes, counts = ct.shingle_hashes([t.encode() for t in texts])
+    assert len(index.candidates(hashes, counts)) == 0
+    assert [x[1] for x in index.contained([items[7][1]])] == [7]
+
+
+def test_clashing_names_and_equal_items(spark):
+    docs = spark.createDataFrame([(7, "lead a b c d e f g tail", 1, 2), (8, "none of it", 3, 4), (7, "another text", 5, 6)], "doc_id long, text string, low int, __key int")
+    items = spark.createDataFrame([(1, "A b c d e f g"), (2, "a b c d e f g"), (3, None)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in ct.contaminated(docs, items).collect()) == [(7, 1), (7, 2)]
+    assert ct.contaminated_classes(docs, ct._asked(items)).count() == 1
+    for settings in ({}, {"block_items": 1}):
+        assert sorted((r.doc_id, r.low, r["__key"]) for r in ct.drop_contaminated(docs, items, **settings).collect()) == [(7, 5, 6), (8, 3, 4)]
+
+
+def test_long_texts_in_pieces():
+    words = [f"w{k}" for k in range(200_000)]
+    text = " ".join(words)
+    assert len(text) > 2 * ct.PIECE
+    h, n = ct.shingle_hashes([b"x", text.encode(), b"y z"])
+    assert n.tolist() == [1, 199_996, 1]
+    part, _ = ct.shingle_hashes([" ".join(words[100_000:100_005]).encode()])
+    assert h[1 + 100_000] == part[0]
+    assert [x[:2] for x in ct.ItemIndex([(5, " ".join(words[150_000:150_100]))]).contained([text])] == [(0, 5)]
+    assert ct.shingle_hashes([b"q" * (ct.PIECE + 10)])[1].tolist() == [1]

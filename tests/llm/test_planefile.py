@@ -68,3 +68,21 @@ def test_query_against_the_library(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted(tuple(r)[:4] for r in pf.op8_bit_plane_files(spark, sf).collect())
     assert got == sorted(want(rows))
+
+
+def test_shards_follow_the_input_and_long_words(spark, tmp_path):
+    rows = [(k, "w" * 5000 + f" {k}") for k in range(40)] + [(7, "same")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pf.shard_count(docs, 20_000) == 11 and pf.shard_count(docs) == 4 and pf.shard_count(docs.limit(0)) == 4
+    out = pf.encoded_documents(docs, PATH, folder=f"file://{tmp_path}/x", shards=9)
+    assert sorted(tuple(r)[:4] for r in out.collect()) == sorted(want(rows))
+    encoder = pf.Encoder(PATH)
+    encoder.encode(["v" * 5000])
+    assert not any(len(p) >= 64 for p in encoder.known)
+
+
+def test_failed_attempts_leave_no_file(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(Exception):
+        pf.write_shards(docs, f"file://{tmp_path}/y", PATH, end_id=-1, shards=1).collect()
+    assert not [f for f in (tmp_path / "y").glob(".*")] if (tmp_path / "y").exists() else True

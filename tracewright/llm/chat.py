@@ -90,17 +90,18 @@ def format_conversations(messages: DataFrame, loss_role: str = "assistant") -> D
     })
     bodies = F.col("visited")
 
-    def upto(i: Column, measure) -> Column:
-        """Length of the bodies before part ``i``."""
-        return F.aggregate(F.slice(bodies, F.lit(1), i), F.lit(0).cast("long"), lambda a, v: a + measure(v["body"]).cast("long"))
-
     def spans() -> Column:
-        def span(v: Column, i: Column) -> Column:
-            start = F.col("at") + F.length("head") + upto(i, F.length)
-            byte = F.col("byte_at") + F.octet_length("head") + upto(i, F.octet_length)
-            return F.struct(start.alias("start"), (start + F.length(v["body"])).alias("end"), byte.alias("byte_start"), (byte + F.octet_length(v["body"])).alias("byte_end"), v["is_text"].alias("is_text"))
+        """Places of the text parts, by running lengths: each body is measured once."""
+        kind = "array<struct<start:bigint,end:bigint,byte_start:bigint,byte_end:bigint,is_text:boolean>>"
+        start = F.struct((F.col("at") + F.length("head")).cast("long").alias("c"), (F.col("byte_at") + F.octet_length("head")).cast("long").alias("b"), F.array().cast(kind).alias("out"))
+
+        def step(a: Column, v: Column) -> Column:
+            end, byte_end = a["c"] + F.length(v["body"]), a["b"] + F.octet_length(v["body"])
+            span = F.struct(a["c"].alias("start"), end.alias("end"), a["b"].alias("byte_start"), byte_end.alias("byte_end"), v["is_text"].alias("is_text"))
+            return F.struct(end.alias("c"), byte_end.alias("b"), F.array_append(a["out"], span).alias("out"))
 
-        return F.when(F.col("role") == loss_role, F.filter(F.transform(bodies, span), lambda s: s["is_text"])).otherwise(F.slice(F.transform(bodies, span), 1, 0))
+        found = F.aggregate(bodies, start, step, lambda a: F.filter(a["out"], lambda s: s["is_text"]))
+        return F.when(F.col("role") == loss_role, found).otherwise(F.array().cast(kind))
 
     files = F.transform(F.filter(bodies, lambda v: ~v["is_text"]), lambda v: F.struct(F.col("turn"), v["kind"].alias("kind"), v["ref"].alias("ref"), v["tokens"].alias("tokens")))
     each = rows.select("conv_id", F.struct("at", "segment", spans().alias("spans"), files.alias("files")).alias("m"))

@@ -146,7 +146,11 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, cuts: int, longest: int) ->
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, held: np.ndarray, min_precision: float = 0.9, min_support: int = 5, cuts: int = 40, longest: int = 4, most: int = 20) -> list[Rule]:
-    """The ordered rules for rejecting; ``held`` marks the rows kept back for pruning."""
+    """The ordered rules for rejecting; ``held`` marks the rows kept back for pruning.
+
+    Learning ends with the first rule that is not precise on the held rows, at the latest after ``most``
+    rules, of ``longest`` conditions at most: bounds of the learned list, not of the rows it judges.
+    """
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
     while len(rules) < most:
