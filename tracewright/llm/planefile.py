@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import held, partitions, scratch, slices, trimmed, written
-from tracewright.llm.transducer import Splitter
+from tracewright.llm.transducer import Splitter, byte_characters
 
 MAGIC = b"TWPLANE1"
 BLOCK = 65_536
@@ -160,6 +160,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.splitter = Splitter(self.library)
+        self.model, self.letters = self.library.model, {b: c for c, b in byte_characters().items()}  # a piece needs no more than the merges
         self.known: dict[str, bytes] = {}
         self.most_bytes, self.known_bytes = most_bytes, 0
 
@@ -175,7 +176,8 @@ class Encoder:
         ids = list(map(self.known.get, pieces))
         new = list({p for p, i in zip(pieces, ids) if i is None})
         if new:
-            found = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False))}
+            letters, tokenize = self.letters, self.model.tokenize
+            found = {p: array("I", [t.id for t in tokenize((p if p.isascii() else p.encode().decode("latin-1")).translate(letters))]).tobytes() for p in new}
             ids = [found[p] if i is None else i for p, i in zip(pieces, ids)]
             if self.known_bytes < self.most_bytes:
                 short = {p: i for p, i in found.items() if len(p) < 64}
@@ -196,7 +198,7 @@ def shard_count(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
     return max(partitions(docs.sparkSession), -(-total // shard_bytes))
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, bits: bool = False, shards: int | None = None, slice_bytes: int = 1 << 19) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, bits: bool = False, shards: int | None = None, slice_bytes: int = 1 << 20) -> DataFrame:
     """Encode ``docs`` (``doc_id``, ``text``; other columns are ignored) and write them as shards in ``folder``.
 
     Documents go to shards by ranges of ``doc_id``, ascending, with ties ordered by the hash of their text

@@ -66,7 +66,7 @@ def _splitter() -> tuple[np.ndarray, np.ndarray]:
 class Splitter:
     """Pre-token starts for a tokenizer with the byte-level regular expression."""
 
-    CHUNK = 512
+    CHUNK, TAIL = 512, 64
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         self.pieces_of = tokenizer.pre_tokenizer.pre_tokenize_str
@@ -142,9 +142,12 @@ class Splitter:
         n, size = len(sym), self.CHUNK
         chunks = -(-n // size)
         sym = np.ascontiguousarray(np.append(sym, np.full(chunks * size - n, END, np.uint8)).reshape(chunks, size).T)
-        state, _ = self.scan(*self.chunk_maps(sym)) if chunks > 1 else (None, None)
         now = np.zeros(chunks, np.int64)
         if chunks > 1:
+            state, emitted = self.chunk_maps(sym[-self.TAIL :])  # a constant map of a chunk's end is the chunk's map
+            if (state != state[:, :1]).any():
+                state, emitted = self.chunk_maps(sym)
+            state, _ = self.scan(state, emitted)
             now[1:] = state[:-1, FRESH]
         marks = np.empty(sym.shape, np.uint8)
         go, mark = self.go.ravel().astype(np.int64), self.mark.ravel()
@@ -172,7 +175,7 @@ class Splitter:
         return [p for p in out if p], n
 
 
-def _byte_characters() -> dict[str, int]:
+def byte_characters() -> dict[str, int]:
     """The printable stand-in of each byte in a byte-level vocabulary, inverted."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -184,7 +187,7 @@ class Merger:
 
     def __init__(self, path: str, most: int = 500_000) -> None:
         model = json.load(open(path, encoding="utf-8"))["model"]
-        of = _byte_characters()
+        of = byte_characters()
         self.ids = {bytes(of[c] for c in w): i for w, i in model["vocab"].items() if all(c in of for c in w)}
         self.rank: dict[tuple[int, int], int] = {}
         self.made_of: dict[int, tuple[int, tuple[int, int]]] = {}
