@@ -11,8 +11,22 @@ SF = "/root/testdata/sf0.001"
 def test_no_nested_loops(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
-    if name not in ("leader_clusters", "greedy_nms"):
-        assert "Python" not in plan and "Pandas" not in plan
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+#: Windows and sorts need a key; only whole-table totals (a row) and top lists of a feature meet in one task.
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - {"stream_sessions"}))
+def test_no_window_over_all_rows(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        if "Window [" in line:
+            assert "windowspecdefinition(specifiedwindowframe" not in line.replace(" ", "") and not line.rstrip().endswith("], []"), line
+
+
+@pytest.mark.parametrize("name,most", [("restitution", 3), ("contact_gating", 5), ("near_event_semi", 5), ("near_event_anti", 5), ("coherence_corr", 4)])
+def test_exchanges(spark, name, most):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= most, plan.count("Exchange hashpartitioning")
 
 
 def test_pushdown(spark):

@@ -1,10 +1,12 @@
-"""``python -m tracewright list`` or ``python -m tracewright run NAME SF_DIR [--out DIR]``."""
+"""``python -m tracewright list`` or
+``python -m tracewright run NAME SF_DIR [--set ID=VALUE ...] [--prereq] [--out DIR]``."""
 
 import argparse
 
 
 def main(argv: list[str] | None = None) -> None:
-    from tracewright.operators.registry import OPERATORS
+    from tracewright.operators import evidence
+    from tracewright.operators.registry import OPERATORS, find
     from tracewright.plans import catalog
 
     p = argparse.ArgumentParser(prog="tracewright")
@@ -13,7 +15,9 @@ def main(argv: list[str] | None = None) -> None:
     run = sub.add_parser("run")
     run.add_argument("name", help="an operator or a query")
     run.add_argument("sf_dir")
-    run.add_argument("--out", help="write JSON lines here instead of printing 20 rows")
+    run.add_argument("--set", action="append", default=[], metavar="ID=VALUE", help="a setting of the operator; may be repeated")
+    run.add_argument("--prereq", action="store_true", help="run the operators first that this one reads from")
+    run.add_argument("--out", help="write JSON lines in a folder here for each operator instead of printing 20 rows")
     a = p.parse_args(argv)
     if a.command == "list":
         for o in OPERATORS:
@@ -22,10 +26,19 @@ def main(argv: list[str] | None = None) -> None:
         return
     from pyspark.sql import SparkSession
 
-    name = next((o.query for o in OPERATORS if o.id == a.name), a.name)
+    given = dict(x.partition("=")[::2] for x in a.set)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    df = catalog.QUERIES[name](spark, a.sf_dir)
-    df.write.mode("overwrite").json(a.out) if a.out else df.show(20, False)
+    known = {o.id for o in OPERATORS}
+    if a.name not in known and given:
+        p.error("settings belong to operators; a query has none")
+    for name in [*(evidence.plan(a.name, set(), most=len(known)) if a.prereq else []), a.name]:
+        settings = given if name == a.name else {}
+        df = find(name).run(spark, a.sf_dir, settings) if name in known else catalog.QUERIES[name](spark, a.sf_dir)
+        if a.out:
+            df.write.mode("overwrite").json(f"{a.out}/{name}")
+        else:
+            print(name)
+            df.show(20, False)
 
 
 if __name__ == "__main__":

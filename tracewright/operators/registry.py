@@ -40,24 +40,32 @@ class Operator:
         given = given or {}
         return {s.id: s.read(given.get(s.id)) for s in self.settings}
 
+    def run(self, spark, sf_dir: str, given: dict | None = None):
+        """The operator's rows under the given settings; unknown ones are an error."""
+        from tracewright.plans import catalog
+
+        if unknown := set(given or {}) - {s.id for s in self.settings}:
+            raise KeyError(f"{self.id} has no setting {', '.join(sorted(unknown))}")
+        return catalog.QUERIES[self.query](spark, sf_dir, **self.configure(given))
+
 
 OPERATORS = [
-    Operator("temporal_smoothness", 1, "track_velocity_accel", (Setting("threshold", "float", 40000.0, 0, 1e6), Setting("fps", "float", 30.0, 1, 240))),
-    Operator("optical_flow", 1, "direction_consistency", (Setting("floor", "float", 0.2, 0, 1),)),
-    Operator("camera_motion", 1, "jitter_score", (Setting("jitter_px", "float", 3.0, 0.1, 50), Setting("window", "int", 9, 3, 61))),
+    Operator("temporal_smoothness", 1, "acceleration_frames", (Setting("threshold", "float", 40.0, 0.001, 1e6),)),
+    Operator("optical_flow", 1, "flow_signals", (Setting("spike", "float", 60.0, 0.001, 1e6), Setting("floor", "float", 0.35, 0, 1))),
+    Operator("camera_motion", 1, "inlier_gate", (Setting("min_inliers", "float", 0.75, 0, 1),)),
     Operator("embedding_biomarkers", 1, "latent_accel_flags", (Setting("threshold", "float", 2.4, 0, 10),)),
-    Operator("trajectory_extractor", 2, "impact_reconcile", (Setting("z_threshold", "float", 3.5, 1, 10),)),
-    Operator("object_tracker", 2, "contact_rising_edges", (Setting("use_masks", "bool", True),)),
+    Operator("trajectory_extractor", 2, "self_motion_signals", (Setting("z_threshold", "float", 3.5, 1, 10),)),
+    Operator("object_tracker", 2, "contact_rising_edges", (Setting("near_px", "float", 6.0, 0, 100),)),
     Operator("event_localizer", 2, "event_markers", (Setting("merge_frames", "int", 30, 1, 600),)),
     Operator("physics_hypothesis_generator", 2, "hypothesis_merge", (Setting("top", "int", 3, 1, 7),)),
     Operator("gravity", 3, "free_flight_checks", (Setting("r2_min", "float", 0.6, 0, 1),)),
     Operator("collision", 3, "restitution", (Setting("restitution_max", "float", 1.1, 0.5, 3),)),
     Operator("momentum", 3, "momentum_jump", (Setting("tolerance", "float", 0.6, 0.1, 5),)),
     Operator("friction", 3, "no_friction", (Setting("tolerance", "float", 0.1, 0.01, 1),)),
-    Operator("fluid", 3, "flow_jump", (Setting("tolerance", "float", 2.0, 0.1, 20),)),
+    Operator("fluid", 3, "flow_discontinuity", (Setting("tolerance", "float", 2.0, 0.1, 20),)),
     Operator("deformation", 3, "change_points", (Setting("spike", "float", 1.25, 0, 2),)),
-    Operator("causality", 3, "causality_severity"),
-    Operator("diagnostic_report", 4, "findings_timeline", (Setting("use_llm_summary", "bool", False),)),
+    Operator("causality", 3, "causality_severity", (Setting("fire_threshold", "float", 0.5, 0, 1),)),
+    Operator("diagnostic_report", 4, "findings_timeline"),
 ]
 
 

@@ -34,9 +34,9 @@ MARK = f"""mark AS (SELECT video_id, signal_type, {LANE} AS lane, min(frame) AS
 MARK_VIEWS = (T.OBS, T.SIG, SESS, MARK)
 
 
-def markers(spark, sf):
+def markers(spark, sf, merge_frames=MERGE):
     """Signals of one type merged into event windows with a severity."""
-    s = N.sessionize(T.signals(spark, sf), ["video_id", "signal_type"], "frame", F.lit(MERGE))
+    s = N.sessionize(T.signals(spark, sf), ["video_id", "signal_type"], "frame", F.lit(merge_frames))
     severity = F.least(F.lit(100.0), 20 + 12 * F.count("*") + 25 * F.least(F.max("score"), F.lit(2.0))).cast("long")
     return s.groupBy("video_id", "signal_type", "session").agg(
         F.min("frame").alias("frame_start"), F.max("frame").alias("frame_end"), F.min("t").alias("t_start"), F.max("t").alias("t_end"),
@@ -45,9 +45,9 @@ def markers(spark, sf):
 
 
 @query("event_markers", "SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY t_start, lane, frame_start) - 1 AS id, signal_type, lane, frame_start, frame_end, t_start, t_end, n_signals, peak, severity FROM mark", *MARK_VIEWS)
-def _(spark, sf):
+def _(spark, sf, merge_frames=MERGE):
     w = Window.partitionBy("video_id").orderBy("t_start", "lane", "frame_start")
-    return markers(spark, sf).withColumn("id", (F.row_number().over(w) - 1).cast("long")).select("video_id", "id", "signal_type", "lane", "frame_start", "frame_end", "t_start", "t_end", "n_signals", "peak", "severity")
+    return markers(spark, sf, merge_frames).withColumn("id", (F.row_number().over(w) - 1).cast("long")).select("video_id", "id", "signal_type", "lane", "frame_start", "frame_end", "t_start", "t_end", "n_signals", "peak", "severity")
 
 
 @query("lane_order", "SELECT signal_type, lane, count(*) AS n FROM mark GROUP BY 1, 2", *MARK_VIEWS)
@@ -127,20 +127,20 @@ edge AS (SELECT * FROM (SELECT touch.*, r, lag(r) OVER (PARTITION BY touch.video
 EDGE_VIEWS = (T.OBS, T.GRID, M.PAIRS, M.IOU, TOUCH, EDGE)
 
 
-def touching(spark, sf, points=None, keep=()):
-    """Pairs of boxes that overlap or nearly do; ``points`` (default: the grid) may carry more columns."""
+def touching(spark, sf, points=None, keep=(), near_px=6.0):
+    """Pairs of boxes that overlap or lie within ``near_px``; ``points`` (default: the grid) may carry more columns."""
     p = J.track_pairs(T.grid(spark, sf) if points is None else points, ["x", "y", *keep])
     p = p.withColumns({"iou": G.box_iou(*M._boxes()), "gap": G.box_gap(*M._boxes())})
-    return p.where("iou > 0 OR gap <= 6")
+    return p.where((F.col("iou") > 0) | (F.col("gap") <= near_px))
 
 
-def contacts(spark, sf):
-    return N.rising_edges(touching(spark, sf), T.grid(spark, sf), "video_id", ["track_a", "track_b"])
+def contacts(spark, sf, near_px=6.0):
+    return N.rising_edges(touching(spark, sf, near_px=near_px), T.grid(spark, sf), "video_id", ["track_a", "track_b"])
 
 
 @query("contact_rising_edges", "SELECT video_id, frame, track_a, track_b, iou FROM edge", *EDGE_VIEWS)
-def _(spark, sf):
-    return contacts(spark, sf).select("video_id", "frame", "track_a", "track_b", "iou")
+def _(spark, sf, near_px=6.0):
+    return contacts(spark, sf, near_px).select("video_id", "frame", "track_a", "track_b", "iou")
 
 
 @query("proximity_contacts", """

@@ -79,13 +79,13 @@ def _(spark, sf):
 FLAT, R2_MIN, HOVER = 2.0, 0.6, 24.0
 
 
-def flight_verdict(f):
+def flight_verdict(f, r2_min=R2_MIN):
     """Score of a free-flight segment: upward curvature that is clear and fits well is anti-gravity, no or
     weak curvature over a long time a float, downward curvature whose fit, residuals or largest residual
     step are bad not a parabola. ``ballistic``: it falls, and fits, whatever its residuals."""
     span = F.col("t1") - F.col("t0")
     f = f.withColumn("curv", F.abs("a") * span * span / 8)
-    q = F.greatest((F.lit(R2_MIN) - F.col("r2")) / 0.25, (F.col("rms_frac") - 0.06) / 0.1, (F.col("jump_frac") - 0.08) / 0.1)
+    q = F.greatest((F.lit(r2_min) - F.col("r2")) / 0.25, (F.col("rms_frac") - 0.06) / 0.1, (F.col("jump_frac") - 0.08) / 0.1)
     floaty = F.least(F.lit(0.85), 0.45 + 0.15 * span / HOVER)
     kind = (
         F.when((F.col("curv") < FLAT) & (span >= HOVER), "float").when(F.col("curv") < FLAT, "none")
@@ -94,7 +94,7 @@ def flight_verdict(f):
         .when(q > 0.05, "non_parabolic_fall").otherwise("ballistic")
     )
     score = F.when(kind == "float", floaty).when(kind == "anti_gravity", F.lit(0.85)).when(kind == "non_parabolic_fall", F.least(F.lit(1.0), q)).otherwise(F.lit(0.0))
-    return f.withColumns({"verdict": kind, "score": score, "ballistic": (F.col("curv") >= FLAT) & (F.col("a") > 0) & (F.col("r2") >= R2_MIN)})
+    return f.withColumns({"verdict": kind, "score": score, "ballistic": (F.col("curv") >= FLAT) & (F.col("a") > 0) & (F.col("r2") >= r2_min)})
 
 
 VERDICT = """fv0 AS (SELECT *, t1 - t0 AS span, abs(a) * (t1 - t0) * (t1 - t0) / 8 AS curv, greatest((0.6::DOUBLE - r2) / 0.25::DOUBLE, (rms_frac - 0.06::DOUBLE) / 0.1::DOUBLE, (jump_frac - 0.08::DOUBLE) / 0.1::DOUBLE) AS q FROM fit),
@@ -104,8 +104,8 @@ fv AS (SELECT *, CASE verdict WHEN 'float' THEN least(0.85, 0.45::DOUBLE + 0.15:
 
 
 @query("free_flight_checks", "SELECT video_id, track_id, t0, t1, verdict, round(score, 6) AS score FROM fv", *FIT_VIEWS, VERDICT)
-def _(spark, sf):
-    return flight_verdict(flight_fits(spark, sf)).select(*T.TRACK, "t0", "t1", "verdict", F.round("score", 6).alias("score"))
+def _(spark, sf, r2_min=R2_MIN):
+    return flight_verdict(flight_fits(spark, sf), r2_min).select(*T.TRACK, "t0", "t1", "verdict", F.round("score", 6).alias("score"))
 
 
 HALF = "half AS (SELECT video_id, track_id, run * 2 + CASE WHEN k < size // 2 THEN 0 ELSE 1 END AS run, t, y FROM flight WHERE size >= 8)"
@@ -209,9 +209,9 @@ def _(spark, sf):
 
 
 @query("restitution", "SELECT video_id, track_id, partner_id, f_start, abs(vy_out) / greatest(abs(vy_in), 1e-6) AS e, abs(vy_out) / greatest(abs(vy_in), 1e-6) > 1.1 AS energy_gain, least(1, abs(vy_out) / greatest(abs(vy_in), 1e-6) - 1) AS score FROM pp WHERE vy_in >= 2 AND vy_out <= -0.4", *PP_VIEWS)
-def _(spark, sf):
+def _(spark, sf, restitution_max=1.1):
     e = F.abs("vy_out") / F.greatest(F.abs("vy_in"), F.lit(1e-6))
-    return before_after(spark, sf).where("vy_in >= 2 AND vy_out <= -0.4").select(*T.TRACK, "partner_id", "f_start", e.alias("e"), (e > 1.1).alias("energy_gain"), F.least(F.lit(1.0), e - 1).alias("score"))
+    return before_after(spark, sf).where("vy_in >= 2 AND vy_out <= -0.4").select(*T.TRACK, "partner_id", "f_start", e.alias("e"), (e > restitution_max).alias("energy_gain"), F.least(F.lit(1.0), e - 1).alias("score"))
 
 
 @query("phantom_bounce", f"""
@@ -270,12 +270,12 @@ INNER = "i >= 2 AND i < n - 1 AND NOT (x < 3 OR x > 97 OR y < 3 OR y > 97)"
 
 
 @query("momentum_jump", f"SELECT video_id, track_id, frame, jump, 0.8::DOUBLE * {_c('jump / 1.2')} AS score FROM mj g WHERE jump > 0.6 AND {INNER} AND NOT (vy > 2 AND vy >= bvy AND bvy > 0) AND NOT {C.NEARBY}", *C.EPI_VIEWS, C.PART, M.GKIN, JUMP)
-def _(spark, sf):
+def _(spark, sf, tolerance=0.6):
     w, p = T.track_window(), T.track()
     k = C.grid_kin(spark, sf).withColumns({
         "i": F.row_number().over(w) - 1, "n": F.count("*").over(p), "bvy": F.lag("vy").over(w),
         "jump": F.abs(F.col("speed") - F.lag("speed").over(w)) / F.greatest(F.median("speed").over(p), 0.15 * F.max("speed").over(p), F.lit(2.0)),
-    }).where(f"jump > 0.6 AND {INNER} AND NOT (vy > 2 AND vy >= bvy AND bvy > 0)")
+    }).where(f"jump > {float(tolerance)}D AND {INNER} AND NOT (vy > 2 AND vy >= bvy AND bvy > 0)")
     return J.near_events(k, C.participants(spark, sf), T.TRACK, 72, "left_anti").select(*T.TRACK, "frame", "jump", (0.8 * clip01(F.col("jump") / 1.2)).alias("score"))
 
 
@@ -333,9 +333,9 @@ def _(spark, sf):
 
 
 @query("no_friction", f"SELECT * FROM (SELECT video_id, track_id, f0, f1, round(0.8::DOUBLE * {_c('1 - abs(slope_norm) / 0.1')} * {_c('(t1 - t0) / 1')} * {_c('avg_speed / 6')}, 6) AS score FROM seg WHERE expected = 'decelerate' AND abs(slope_norm) < 0.1 AND avg_speed >= 6) WHERE score >= 0.12", *SEG_VIEWS)
-def _(spark, sf):
-    s = segments(spark, sf).where("expected = 'decelerate' AND abs(slope_norm) < 0.1 AND avg_speed >= 6")
-    score = 0.8 * clip01(1 - F.abs("slope_norm") / 0.1) * clip01(F.col("t1") - F.col("t0")) * clip01(F.col("avg_speed") / 6)
+def _(spark, sf, tolerance=0.1):
+    s = segments(spark, sf).where(f"expected = 'decelerate' AND abs(slope_norm) < {float(tolerance)}D AND avg_speed >= 6")
+    score = 0.8 * clip01(1 - F.abs("slope_norm") / tolerance) * clip01(F.col("t1") - F.col("t0")) * clip01(F.col("avg_speed") / 6)
     return s.select(*T.TRACK, "f0", "f1", F.round(score, 6).alias("score")).where("score >= 0.12")
 
 
@@ -405,8 +405,8 @@ def self_motion(spark, sf):
 
 
 @query("self_motion_signals", "SELECT video_id, track_id, frame, z FROM mz WHERE z > 3.5", *SPIKE_VIEWS)
-def _(spark, sf):
-    return self_motion(spark, sf).where("z > 3.5").select(*T.TRACK, "frame", "z")
+def _(spark, sf, z_threshold=3.5):
+    return self_motion(spark, sf).where(F.col("z") > z_threshold).select(*T.TRACK, "frame", "z")
 
 
 REVS = f"""rev AS (SELECT * FROM (SELECT *, sx * lag(sx) {GW} + sy * lag(sy) {GW} AS d, lag(sp) {GW} AS bsp, greatest(1, 0.4::DOUBLE * coalesce(median(CASE WHEN sp > 0 THEN sp END) {GP}, 0)) AS fl FROM mz) WHERE d < 0 AND sp > fl AND bsp > fl)"""
@@ -469,7 +469,7 @@ cf AS (SELECT v.video_id, cr.rule, p, coalesce(g, 0) AS g, greatest(coalesce(p,
 CAUSAL_VIEWS = (*EBC_VIEWS, REVS, SYNC, ANSWERS, RULES_FIRED)
 
 
-def causal_rules(spark, sf):
+def causal_rules(spark, sf, fire_threshold=0.5):
     """Every rule of every video: a model's probability, the geometric events, the score and what fired."""
     e = T.table(spark, sf, "events").withColumn("video_id", F.floor(F.col("user_id") / 10).cast("long"))
     said = e.groupBy("video_id", "event_type").agg(F.least(F.max_by("value", "event_id") / 100, F.lit(1.0)).alias("p"))
@@ -479,7 +479,7 @@ def causal_rules(spark, sf):
     v = e.select("video_id").distinct().select("video_id", F.inline(rules)).join(said, ["video_id", "event_type"], "left").join(n, ["video_id", "geom"], "left")
     g = F.coalesce("g", F.lit(0))
     score = F.greatest(F.coalesce("p", F.lit(0.0)), F.when(g > 0, 0.6 + F.least(F.lit(0.35), 0.1 * g)).otherwise(F.lit(0.0)))
-    return v.select("video_id", "rule", "p", g.alias("g"), score.alias("score"), F.coalesce(F.col("p") >= 0.5, F.lit(False)).alias("said"), (g > 0).alias("seen"))
+    return v.select("video_id", "rule", "p", g.alias("g"), score.alias("score"), F.coalesce(F.col("p") >= fire_threshold, F.lit(False)).alias("said"), (g > 0).alias("seen"))
 
 
 @query("causality_rules", "SELECT video_id, rule, p, g, round(score, 6) AS score, said, seen FROM cf", *CAUSAL_VIEWS)
@@ -492,12 +492,12 @@ w AS (SELECT video_id, sum(CASE WHEN said OR seen THEN least(1, score * CASE WHE
 s AS (SELECT *, CAST(trunc(round(least(100, CASE WHEN fired THEN 100 * weight / (0.8::DOUBLE * 5) ELSE 100 * top * 0.4::DOUBLE END), 6)) AS BIGINT) AS severity FROM w)
 SELECT video_id, severity, CASE WHEN severity >= 50 THEN 'confirmed' WHEN severity >= 25 THEN 'suspected' ELSE 'rejected' END AS verdict FROM s
 """, *CAUSAL_VIEWS)
-def _(spark, sf):
+def _(spark, sf, fire_threshold=0.5):
     """Fired rules' scores over four fifths of all rules (x1.15 where model and geometry agree, 1 at most);
     with none fired, two fifths of the largest."""
     hit = F.col("said") | F.col("seen")
     one = F.least(F.lit(1.0), F.col("score") * F.when(F.col("said") & F.col("seen"), 1.15).otherwise(F.lit(1.0)))
-    w = causal_rules(spark, sf).groupBy("video_id").agg(F.sum(F.when(hit, one).otherwise(F.lit(0.0))).alias("weight"), F.max(hit).alias("fired"), F.max("score").alias("top"))
+    w = causal_rules(spark, sf, fire_threshold).groupBy("video_id").agg(F.sum(F.when(hit, one).otherwise(F.lit(0.0))).alias("weight"), F.max(hit).alias("fired"), F.max("score").alias("top"))
     raw = F.when(F.col("fired"), 100 * F.col("weight") / (0.8 * len(CAUSAL))).otherwise(100 * F.col("top") * 0.4)
     s = w.withColumn("severity", F.round(F.least(F.lit(100.0), raw), 6).cast("long"))
     return s.select("video_id", "severity", F.when(F.col("severity") >= 50, "confirmed").when(F.col("severity") >= 25, "suspected").otherwise("rejected").alias("verdict"))

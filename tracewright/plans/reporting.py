@@ -47,11 +47,11 @@ d AS (SELECT clip, frame, CASE WHEN p IS NOT NULL THEN list_transform(list_zip(z
 a AS (SELECT clip, frame, v, lag(v) OVER (PARTITION BY clip ORDER BY frame) AS pv FROM d)
 SELECT clip, frame, round(sqrt(list_sum(list_transform(list_zip(v, pv), lambda q: (q[1] - q[2]) * (q[1] - q[2])))), 9) AS accel FROM a WHERE pv IS NOT NULL AND sqrt(list_sum(list_transform(list_zip(v, pv), lambda q: (q[1] - q[2]) * (q[1] - q[2])))) > 2.4
 """, T.DESC)
-def _(spark, sf):
+def _(spark, sf, threshold=2.4):
     w = _clip()
     d = T.descriptors(spark, sf).withColumn("p", F.lag("z").over(w)).withColumn("v", F.when(F.col("p").isNotNull(), V.minus(F.col("z"), F.col("p"))))
     a = d.withColumn("pv", F.lag("v").over(w)).where("pv IS NOT NULL").withColumn("accel", V.l2(V.minus(F.col("v"), F.col("pv"))))
-    return a.where("accel > 2.4").select("clip", "frame", F.round("accel", 9).alias("accel"))
+    return a.where(F.col("accel") > threshold).select("clip", "frame", F.round("accel", 9).alias("accel"))
 
 
 DRIFT = f"""drift AS (SELECT clip, frame, CASE WHEN p IS NULL THEN 0 ELSE 1 - {_dot('z', 'p')} END AS step_drift, 1 - {_dot('z', 'f')} AS ref_drift FROM (
@@ -79,10 +79,10 @@ s AS (SELECT clip, frame FROM drift WHERE step_drift > 1.25),
 r AS (SELECT clip, arg_max(frame, (ref_drift, -frame)) AS frame FROM drift GROUP BY clip HAVING max(ref_drift) > 0.9)
 SELECT clip, frame FROM s UNION ALL SELECT clip, frame FROM r WHERE clip NOT IN (SELECT clip FROM s)
 """, T.DESC, DRIFT)
-def _(spark, sf):
+def _(spark, sf, spike=1.25):
     """All spikes of step drift; for a clip without one the largest drift from its start, if large."""
     d = drifts(spark, sf)
-    spikes = d.where("step_drift > 1.25").select("clip", "frame")
+    spikes = d.where(F.col("step_drift") > spike).select("clip", "frame")
     top = d.groupBy("clip").agg(F.max_by("frame", F.struct("ref_drift", -F.col("frame"))).alias("frame"), F.max("ref_drift").alias("m")).where("m > 0.9").select("clip", "frame")
     return spikes.unionByName(top.join(spikes.select("clip").distinct(), "clip", "left_anti"))
 
@@ -257,9 +257,9 @@ def hypotheses(spark, sf):
 
 
 @query("hypothesis_merge", "SELECT video_id, specialist, confidence, source, CAST(row_number() OVER (PARTITION BY video_id ORDER BY confidence DESC, specialist) AS BIGINT) AS place FROM hyp QUALIFY place <= 3", *HYPO_VIEWS)
-def _(spark, sf):
+def _(spark, sf, top=3):
     w = Window.partitionBy("video_id").orderBy(F.desc("confidence"), "specialist")
-    return hypotheses(spark, sf).withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3")
+    return hypotheses(spark, sf).withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= top)
 
 
 @query("keyframe_times", """

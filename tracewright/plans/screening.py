@@ -40,23 +40,23 @@ def _(spark, sf):
 SELECT video_id, frame, 'flow_spike' AS signal_type, round(mag / 60, 6) AS score FROM flow WHERE mag > 60
 UNION ALL SELECT video_id, frame, 'flow_chaos', round(1 - consistency, 6) FROM flow WHERE round(consistency, 9) < 0.35 AND mag > 2
 """, *FLOW_VIEWS)
-def _(spark, sf):
+def _(spark, sf, spike=60.0, floor=0.35):
     """Spikes of size, and motion without a direction."""
     f = flow_series(spark, sf)
-    spike = f.where("mag > 60").select("video_id", "frame", F.lit("flow_spike").alias("signal_type"), F.round(F.col("mag") / 60, 6).alias("score"))
-    return spike.unionByName(f.where("round(consistency, 9) < 0.35 AND mag > 2").select("video_id", "frame", F.lit("flow_chaos").alias("signal_type"), F.round(1 - F.col("consistency"), 6).alias("score")))
+    fast = f.where(F.col("mag") > spike).select("video_id", "frame", F.lit("flow_spike").alias("signal_type"), F.round(F.col("mag") / spike, 6).alias("score"))
+    return fast.unionByName(f.where(f"round(consistency, 9) < {float(floor)}D AND mag > 2").select("video_id", "frame", F.lit("flow_chaos").alias("signal_type"), F.round(1 - F.col("consistency"), 6).alias("score")))
 
 
 @query("inlier_gate", "SELECT video_id, frame, round(inliers, 6) AS inliers, CASE WHEN inliers >= 0.75 THEN round(mag, 6) END AS residual FROM flow", *FLOW_VIEWS)
-def _(spark, sf):
+def _(spark, sf, min_inliers=0.75):
     """A frame's residual counts only where enough of its points fit."""
-    return flow_series(spark, sf).select("video_id", "frame", F.round("inliers", 6).alias("inliers"), F.when(F.col("inliers") >= 0.75, F.round("mag", 6)).alias("residual"))
+    return flow_series(spark, sf).select("video_id", "frame", F.round("inliers", 6).alias("inliers"), F.when(F.col("inliers") >= min_inliers, F.round("mag", 6)).alias("residual"))
 
 
 @query("acceleration_frames", "SELECT video_id, track_id, frame + 2 AS flagged, round(max(accel) / 40, 6) AS score FROM gz GROUP BY 1, 2, 3", T.OBS, T.GRID, M.GKIN, C.GFLAG)
-def _(spark, sf):
+def _(spark, sf, threshold=40.0):
     """Frames over the plain threshold, two after the sample that shows it."""
-    return C.jolts(spark, sf).groupBy(*T.TRACK, (F.col("frame") + 2).alias("flagged")).agg(F.round(F.max("accel") / 40, 6).alias("score"))
+    return C.grid_kin(spark, sf).where(F.col("accel") > threshold).groupBy(*T.TRACK, (F.col("frame") + 2).alias("flagged")).agg(F.round(F.max("accel") / threshold, 6).alias("score"))
 
 
 @query("signal_formulas", """

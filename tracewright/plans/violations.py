@@ -267,12 +267,12 @@ def _(spark, sf):
 SELECT video_id, frame, round(0.75::DOUBLE * {clip_sql('jump / 4')}, 6) AS score FROM rj r WHERE jump > 2
   AND NOT EXISTS (SELECT 1 FROM splash s WHERE s.video_id = r.video_id AND abs(s.frame - r.frame) <= 6) AND NOT EXISTS (SELECT 1 FROM imp i WHERE i.video_id = r.video_id AND i.frame = r.frame)
 """, *REGION_VIEWS)
-def _(spark, sf):
+def _(spark, sf, tolerance=2.0):
     """Jumps of the bulk flow that no splash nearby and no contact at the time explains."""
     r = region(spark, sf)
     at = lambda df: df.select("video_id", F.col("frame").alias("f_start"), F.col("frame").alias("f_end"))
-    free = J.near_events(r.where("jump > 2"), at(splashes(r)), ["video_id"], 6, "left_anti")
-    return free.join(C.contacts(spark, sf).select("video_id", "frame"), ["video_id", "frame"], "left_anti").select("video_id", "frame", F.round(0.75 * P.clip01(F.col("jump") / 4), 6).alias("score"))
+    free = J.near_events(r.where(F.col("jump") > tolerance), at(splashes(r)), ["video_id"], 6, "left_anti")
+    return free.join(C.contacts(spark, sf).select("video_id", "frame"), ["video_id", "frame"], "left_anti").select("video_id", "frame", F.round(0.75 * P.clip01(F.col("jump") / (2 * tolerance)), 6).alias("score"))
 
 
 @query("ballistic_arc", f"""

@@ -31,10 +31,10 @@ def hours(ts: str = "ts"):
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    """Partitioned by track, as all ordered work on it is: that work shuffles no more."""
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 10).cast("long").alias("video_id"), F.col("user_id").alias("track_id"), "ts", "event_id", "value", "props", "event_type")
     return e.select(
-        F.floor(F.col("user_id") / 10).cast("long").alias("video_id"), F.col("user_id").alias("track_id"),
-        (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("frame"),
+        *TRACK, (F.row_number().over(Window.partitionBy(*TRACK).orderBy("ts", "event_id")) - 1).cast("long").alias("frame"),
         hours().alias("t"), F.col("value").alias("x"), F.regexp_extract("props", "[0-9]+", 0).cast("double").alias("y"), "event_type",
     )
 
