@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 GAP = "30 minutes"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where one machine runs all."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="spark-stream-")
+
+
 def session_counts(events: DataFrame, gap: str = GAP, late: str = "1 day") -> DataFrame:
     """Sessions of each user with count and largest value; works on streams and tables alike."""
     e = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
@@ -35,8 +45,7 @@ def streamed_sessions(spark: SparkSession, folder: str, out: str, gap: str = GAP
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table, copied into a folder of files with the sentinel, as a finished stream."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")).rstrip("/")
-    base = f"{base}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "value")
     e.repartitionByRange(4, "ts").write.parquet(f"{base}/in")
     for year in (2098, 2099):
