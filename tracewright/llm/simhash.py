@@ -239,6 +239,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = 3, radius: int = 3, shar
     label = components(links)
     moved = nodes.join(label, "node").select("fp", F.col("component").alias("component_id"))
     first = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
+    first = written(first, "simhash-first")  # a table of its own: the join has two plain exchanges, and a frequent fingerprint's rows can be split
     return fps.join(first, "fp").select("doc_id", "fp", "component_id")
 
 
