@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tracewright.llm import chat, containment, decision_list, hyperlang, mixing, planefile, simhash, spans, toxicity, transducer
+from tracewright.llm import chat, containment, decision_list, hyperlang, mixing, planefile, resampling, simhash, spans, toxicity, transducer
 
 QUERIES = {
     "op1_token_transducer": transducer.op1_token_transducer,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_bit_plane_files": planefile.op8_bit_plane_files,
     "op9_hyperdimensional": hyperlang.op9_hyperdimensional,
     "op10_decision_list": decision_list.op10_decision_list,
+    "op11_byte_automaton": resampling.op11_byte_automaton,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op2_poisson_mixture": mixing.OP2_SQL,
     "op3_containment": containment.OP3_SQL,
     "op7_typed_parts": chat.OP7_SQL,
+    "op11_byte_automaton": resampling.OP11_SQL,
 }
