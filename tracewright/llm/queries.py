@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tracewright.llm import chat, containment, decision_list, hyperlang, mixing, planefile, resampling, simhash, spans, toxicity, transducer
+from tracewright.llm import chat, containment, decision_list, hyperlang, mixing, phrases, planefile, resampling, simhash, spans, toxicity, transducer, urlmodel
 
 QUERIES = {
     "op1_token_transducer": transducer.op1_token_transducer,
@@ -17,6 +17,8 @@ QUERIES = {
     "op9_hyperdimensional": hyperlang.op9_hyperdimensional,
     "op10_decision_list": decision_list.op10_decision_list,
     "op11_byte_automaton": resampling.op11_byte_automaton,
+    "op12_suffix_sigma": phrases.op12_suffix_sigma,
+    "op13_url_markov": urlmodel.op13_url_markov,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -25,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op3_containment": containment.OP3_SQL,
     "op7_typed_parts": chat.OP7_SQL,
     "op11_byte_automaton": resampling.OP11_SQL,
+    "op12_suffix_sigma": phrases.OP12_SQL,
 }
