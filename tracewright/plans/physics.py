@@ -276,7 +276,7 @@ def _(spark, sf, tolerance=0.6):
         "i": F.row_number().over(w) - 1, "n": F.count("*").over(p), "bvy": F.lag("vy").over(w),
         "jump": F.abs(F.col("speed") - F.lag("speed").over(w)) / F.greatest(F.median("speed").over(p), 0.15 * F.max("speed").over(p), F.lit(2.0)),
     }).where(f"jump > {float(tolerance)}D AND {INNER} AND NOT (vy > 2 AND vy >= bvy AND bvy > 0)")
-    return J.near_events(k, C.participants(spark, sf), T.TRACK, 72, "left_anti").select(*T.TRACK, "frame", "jump", (0.8 * clip01(F.col("jump") / 1.2)).alias("score"))
+    return J.near_events(k, C.participants(spark, sf), T.TRACK, 72, "left_anti").select(*T.TRACK, "frame", "jump", (0.8 * clip01(F.col("jump") / (2 * tolerance))).alias("score"))
 
 
 @query("abrupt_stop", f"""
@@ -471,12 +471,11 @@ CAUSAL_VIEWS = (*EBC_VIEWS, REVS, SYNC, ANSWERS, RULES_FIRED)
 
 def causal_rules(spark, sf, fire_threshold=0.5):
     """Every rule of every video: a model's probability, the geometric events, the score and what fired."""
-    e = T.table(spark, sf, "events").withColumn("video_id", F.floor(F.col("user_id") / 10).cast("long"))
-    said = e.groupBy("video_id", "event_type").agg(F.least(F.max_by("value", "event_id") / 100, F.lit(1.0)).alias("p"))
+    said = T.answers(spark, sf)
     n = effects_before_causes(spark, sf).select("video_id", "track_id", "frame").distinct().groupBy("video_id").agg(F.count("*").alias("g")).withColumn("geom", F.lit("ebc"))
     n = n.unionByName(sync_reversals(spark, sf).groupBy("video_id").agg(F.count("*").alias("g")).withColumn("geom", F.lit("sync")))
     rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(t).alias("event_type"), F.lit(g or "none").alias("geom")) for r, t, g in CAUSAL])
-    v = e.select("video_id").distinct().select("video_id", F.inline(rules)).join(said, ["video_id", "event_type"], "left").join(n, ["video_id", "geom"], "left")
+    v = T.videos(spark, sf).select("video_id", F.inline(rules)).join(said, ["video_id", "event_type"], "left").join(n, ["video_id", "geom"], "left")
     g = F.coalesce("g", F.lit(0))
     score = F.greatest(F.coalesce("p", F.lit(0.0)), F.when(g > 0, 0.6 + F.least(F.lit(0.35), 0.1 * g)).otherwise(F.lit(0.0)))
     return v.select("video_id", "rule", "p", g.alias("g"), score.alias("score"), F.coalesce(F.col("p") >= fire_threshold, F.lit(False)).alias("said"), (g > 0).alias("seen"))

@@ -18,6 +18,9 @@ SCHEMAS = {
     "descriptors": "video_id string, track_id long, frame long, t double, model string, z array<float>",
     "flow_stats": "video_id string, frame long, t double, mean_mag double, consistency double, vx_med double, vy_med double, resid double, inlier_ratio double, zone array<double>",
     "region_flow": "video_id string, i long, frame long, t double, speed double, vec_x double, vec_y double, div_norm double, jump_norm double",
+    "signals": "video_id string, track_id long, signal_type string, frame long, t double, score double",
+    "answers": "video_id string, event_type string, p double",
+    "tests": "run_id long, stage string, test string, status string, severity double, excluded boolean",
     "replies": "video_id string, stage_id string, raw string",
 }
 

@@ -1,4 +1,4 @@
-"""Driver tables as the engine's canonical views.
+"""The engine's canonical views, over driver tables (a folder) or a user's own (``bindings.Bound``).
 
 ``observations``: a user's events are a track, ten users a video; ``x`` is the value, ``y`` the number
 in ``props``; the frame is the place in time, ``t`` hours since the epoch.
@@ -9,12 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewright.sources.bindings import Bound
+
 TRACK = ["video_id", "track_id"]
 #: Frame size of the observation space.
 WIDTH = HEIGHT = 100.0
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str | Bound, name: str) -> DataFrame:
+    if isinstance(sf_dir, Bound):
+        return sf_dir.table(name)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,8 +34,10 @@ def hours(ts: str = "ts"):
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', CAST({ts} AS timestamp_ntz))") / F.lit(3.6e9)
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def observations(spark: SparkSession, sf_dir: str | Bound) -> DataFrame:
     """Partitioned by track, as all ordered work on it is: that work shuffles no more."""
+    if isinstance(sf_dir, Bound):
+        return sf_dir.observations()
     e = table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 10).cast("long").alias("video_id"), F.col("user_id").alias("track_id"), "ts", "event_id", "value", "props", "event_type")
     return e.select(
         *TRACK, (F.row_number().over(Window.partitionBy(*TRACK).orderBy("ts", "event_id")) - 1).cast("long").alias("frame"),
@@ -46,8 +52,12 @@ OBS = """obs AS (
   FROM events)"""
 
 
-def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One observation for each track and hour (the earliest), so that tracks share frames."""
+def grid(spark: SparkSession, sf_dir: str | Bound) -> DataFrame:
+    """One observation for each track and hour (the earliest), so that tracks share frames; a user's
+    observations have shared frames, of which each track keeps its earliest row."""
+    if isinstance(sf_dir, Bound):
+        before = F.lag("frame").over(Window.partitionBy(*TRACK).orderBy("frame", "t", "x", "y"))
+        return sf_dir.observations().withColumn("before", before).where("before IS NULL OR before < frame").select(*TRACK, "frame", "t", "x", "y")
     o = observations(spark, sf_dir).withColumn("hour", F.floor("t").cast("long"))
     g = o.groupBy("video_id", "track_id", "hour").agg(F.min_by(F.struct("t", "x", "y"), "frame").alias("o"))
     return g.select("video_id", "track_id", F.col("hour").alias("frame"), "o.t", "o.x", "o.y")
@@ -58,7 +68,9 @@ GRID = """grid AS (
   FROM obs GROUP BY video_id, track_id, CAST(floor(t) AS BIGINT))"""
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signals(spark: SparkSession, sf_dir: str | Bound) -> DataFrame:
+    if isinstance(sf_dir, Bound):
+        return sf_dir.signals()
     o = observations(spark, sf_dir)
     return o.select("video_id", "track_id", F.col("event_type").alias("signal_type"), F.floor(F.col("t") * 60).cast("long").alias("frame"), "t", (F.col("x") / 100).alias("score"))
 
@@ -66,7 +78,24 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 SIG = """sig AS (SELECT video_id, track_id, event_type AS signal_type, CAST(floor(t * 60) AS BIGINT) AS frame, t, x / 100 AS score FROM obs)"""
 
 
-def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def answers(spark: SparkSession, sf_dir: str | Bound) -> DataFrame:
+    """``video_id, event_type, p``: a model's probability that a kind of event is in a video."""
+    if isinstance(sf_dir, Bound):
+        return sf_dir.answers()
+    e = table(spark, sf_dir, "events").withColumn("video_id", F.floor(F.col("user_id") / 10).cast("long"))
+    return e.groupBy("video_id", "event_type").agg(F.least(F.max_by("value", "event_id") / 100, F.lit(1.0)).alias("p"))
+
+
+def videos(spark: SparkSession, sf_dir: str | Bound) -> DataFrame:
+    """Every video with an observation."""
+    if isinstance(sf_dir, Bound):
+        return sf_dir.observations().select("video_id").distinct()
+    return table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 10).cast("long").alias("video_id")).distinct()
+
+
+def descriptors(spark: SparkSession, sf_dir: str | Bound) -> DataFrame:
+    if isinstance(sf_dir, Bound):
+        return sf_dir.descriptors()
     e = table(spark, sf_dir, "embeddings")
     w = Window.partitionBy("label").orderBy("vec_id")
     return e.select(F.col("label").cast("long").alias("clip"), (F.row_number().over(w) - 1).cast("long").alias("frame"), F.col("embedding").cast("array<double>").alias("z"))
@@ -90,8 +119,11 @@ SERIES = """series AS (
   FROM lineitem GROUP BY 1, 2, 4)"""
 
 
-def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as test results: region is the stage, nation the test."""
+def tests(spark: SparkSession, sf_dir: str | Bound) -> DataFrame:
+    """Orders as test results: region is the stage, nation the test; of a user's own, those not said to be
+    excluded are included."""
+    if isinstance(sf_dir, Bound):
+        return sf_dir.table("tests").withColumn("excluded", F.coalesce("excluded", F.lit(False)))
     o, c, n, r = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation", "region"))
     status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "running").otherwise("error")
     j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
