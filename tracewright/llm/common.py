@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -14,6 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+_MADE: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -32,7 +36,23 @@ def shared_root(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables and files that ``scratch`` names inside are deleted at the end, when whoever read them has
+    written its own result. Those of a DataFrame that is still to be read must be made outside."""
+    mark = len(_MADE)
+    try:
+        yield
+    finally:
+        hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+        for path in _MADE[mark:]:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(hadoop).delete(at, True)
+        del _MADE[mark:]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

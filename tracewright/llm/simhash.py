@@ -17,7 +17,7 @@ group. The forest's components come from rounds of minimum-label star contractio
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import written
+from tracewright.llm.common import unused, written
+from tracewright.llm.spans import numbered
 
 SEED = 42
 _ONE = np.uint64(1)
@@ -249,19 +250,17 @@ def op4_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first_of_groups(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """One document of each near-duplicate group: the row with the group's smallest id.
+def keep_first_of_groups(docs: DataFrame, groups_of: Callable[[DataFrame], DataFrame] = near_duplicate_groups) -> DataFrame:
+    """One row of each near-duplicate group: the one with the smallest id (null last), of those with one id
+    the one whose text hash is smallest.
 
-    ``groups`` has ``doc_id, component_id`` of every row (default: those of ``near_duplicate_groups``).
-    Rows that share that id are one document; one of them stays. Rows without id are kept.
+    ``groups_of`` gives ``doc_id, component_id`` of every row of ``doc_id, text``. Every row is a document
+    of its own, whether its id is repeated or null: a row goes only if an earlier row of its own group
+    stays. Null, empty and blank texts are copies of each other; all columns go through, whatever their
+    names; an empty table gives an empty result.
     """
-    groups = written(near_duplicate_groups(docs) if groups is None else groups, "simhash-groups")
-    ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
-    ids = written(ids.where((F.col("c") != F.col("doc_id")) | (F.col("n") > 1)), "simhash-drop")
-    dropped = ids.where(F.col("c") != F.col("doc_id")).select("doc_id")
-    twice = ids.where((F.col("c") == F.col("doc_id")) & (F.col("n") > 1)).select("doc_id")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    if twice.isEmpty():
-        return kept
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    (row,) = unused(docs, "row")
+    rows = numbered(docs, row)
+    groups = written(groups_of(rows.select(F.col(row).alias("doc_id"), "text")), "simhash-groups")
+    copies = groups.where("component_id != doc_id").select(F.col("doc_id").alias(row))
+    return rows.join(copies, row, "left_anti").select(docs.columns)
