@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import partitions, unused, written
 
 PART = 16.0
+#: Characters of mixed text that a partition sorts.
+PARTITION = 64 << 20
 DEPTH = 80
 KEY_BITS = 60
 
@@ -70,6 +72,17 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     return sums.select("source", "n_docs", "n_units", rate.alias("rate"))
 
 
+def mixture_parts(docs: DataFrame, rates: DataFrame) -> int:
+    """Partitions for the mixture: by the text that the rates are expected to give, at least the session's
+    number of shuffle partitions."""
+    if "n_units" in rates.columns:
+        size = rates.agg(F.sum(F.col("n_units") * F.col("rate"))).first()[0]
+    else:
+        units = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).agg(F.sum(F.length(F.col("text").cast("string"))).alias("n"))
+        size = units.join(rates.select("source", "rate"), "source").agg(F.sum(F.col("n") * F.col("rate"))).first()[0]
+    return max(partitions(docs.sparkSession), int((size or 0) // PARTITION) + 1)
+
+
 def mix_sources(docs: DataFrame, rates: DataFrame, seed: int = 7, small_sources: int = 100_000) -> DataFrame:
     """``docs`` replicated by their sources' rates, in a global random order.
 
@@ -92,7 +105,7 @@ def mix_sources(docs: DataFrame, rates: DataFrame, seed: int = 7, small_sources:
     drawn = joined.withColumn("mix_copies", poisson_count(F.col("mix_rate"), F.lit(seed), F.col(key))).where("mix_copies > 0")
     copies = drawn.select(*names, key, "mix_rate", "mix_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("mix_copy"))
     order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key), F.col("mix_copy").cast("string"), F.lit("order"))), 1, KEY_BITS // 4), 16, 10).cast("long")
-    n = partitions(docs.sparkSession)
+    n = mixture_parts(docs, rates)
     width = -(-(1 << KEY_BITS) // n)
     placed = copies.withColumn("mix_key", order).repartitionById(n, F.expr(f"int(mix_key div {width}L)"))
     return placed.sortWithinPartitions("mix_key", "doc_id", "mix_copy").drop(key)
