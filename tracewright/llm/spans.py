@@ -86,8 +86,8 @@ def starts_of(text: str, found: list[list[str]]) -> list[int]:
     return out
 
 
-def spans_of(found: list[list[str]], run: int = RUN, words: int = WORDS) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Hashes of the spans by their first sentence, which that is, and which is the last."""
+def spans_of(found: list[list[str]], run: int = RUN, words: int = WORDS) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """128-bit hashes of the spans by their first sentence, which that is, and which is the last."""
     n = len(found)
     digests = [xxhash.xxh3_128_digest(" ".join(w).encode()) for w in found]
     upto = np.concatenate([[0], np.cumsum([len(w) for w in found])]).astype(np.int64)
@@ -96,31 +96,32 @@ def spans_of(found: list[list[str]], run: int = RUN, words: int = WORDS) -> tupl
     starts = np.minimum(np.searchsorted(upto, upto[1:] - words, "right") - 1, at + 1 - run)
     pairs = np.concatenate([(at * (n + 1) + ends)[ends <= n], (starts * (n + 1) + at + 1)[starts >= 0]])
     first, end = np.divmod(np.unique(pairs), n + 1)
-    digest = xxhash.xxh3_64_intdigest
+    digest = xxhash.xxh3_128_digest
     return [digest(b"".join(digests[i:j])) for i, j in zip(first.tolist(), end.tolist())], first, end - 1
 
 
 def sentence_spans(rows: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
-    """``h, row, first, last, again`` of every span of every text of ``row, text``; ``again``: the
-    same span stands earlier in the text."""
+    """``h, g, row, first, last, again`` of every span of every text of ``row, text``; ``h`` and ``g`` are
+    the halves of its hash, ``again``: the same span stands earlier in the text."""
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1, 1 << 20):
             parts: list[tuple] = []
             for row, text in zip(b.column(0).to_pylist(), b.column(1)):
                 h, first, last = spans_of(sentences(text.as_py() or ""), run, words)
-                met: set[int] = set()
+                met: set[bytes] = set()
                 again = [x in met or met.add(x) is not None for x in h] if len(set(h)) < len(h) else [False] * len(h)
-                parts.append((h, np.full(len(h), row), first, last, again))
+                halves = np.frombuffer(b"".join(h), "<i8").reshape(-1, 2)
+                parts.append((halves[:, 0], halves[:, 1], np.full(len(h), row), first, last, again))
             yield batch(parts)
         trimmed()
 
     def batch(parts: list[tuple]) -> pa.RecordBatch:
-        kinds = (np.uint64, np.int64, np.int32, np.int32, bool)
+        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, bool)
         columns = [np.concatenate([np.asarray(p[k], kind) for p in parts]) for k, kind in enumerate(kinds)]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), *map(pa.array, columns[1:])], ["h", "row", "first", "last", "again"])
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["h", "g", "row", "first", "last", "again"])
 
-    return rows.mapInArrow(spans, "h long, row long, first int, last int, again boolean")
+    return rows.mapInArrow(spans, "h long, g long, row long, first int, last int, again boolean")
 
 
 def numbered(docs: DataFrame, row: str) -> DataFrame:
@@ -143,9 +144,9 @@ def numbered(docs: DataFrame, row: str) -> DataFrame:
 def repeated_spans(rows: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
     """``row, first, last`` of every occurrence but the first of every repeated span of ``row, text``."""
     spans = sentence_spans(rows, run, words)
-    first = spans.groupBy("h").agg(F.min("row").alias("origin"), F.count("*").alias("n")).where("n > 1").select("h", "origin")
+    first = spans.groupBy("h", "g").agg(F.min("row").alias("origin"), F.count("*").alias("n")).where("n > 1").select("h", "g", "origin")
     first = written(first, "repeated-spans")  # as a table of its own, the join has two plain exchanges and a frequent span's rows can be split
-    return spans.join(first, "h").where("again or row != origin").select("row", "first", "last")
+    return spans.join(first, ["h", "g"]).where("again or row != origin").select("row", "first", "last")
 
 
 def remove_repeated_spans(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
