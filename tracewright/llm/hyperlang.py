@@ -27,6 +27,8 @@ from tracewright.llm.common import held, slices, trimmed, written
 
 DIM = 1024
 UNIT = 10_000
+#: Languages that are learned at most: a vector each goes to the driver and to the tasks.
+LANGUAGES = 1000
 NONE = "und"
 #: Of the floors: bins of scores, share of training texts that may fall under twice the floor, texts a
 #: size needs for a floor of its own, the part of the score that is asked for.
@@ -127,11 +129,13 @@ def training_sample(docs: DataFrame, max_docs: int = 2000) -> DataFrame:
     """``lang, text`` of the rows with both that train.
 
     ``max_docs`` bounds (in expectation, by a hash of id and text) the texts of each language. They are
-    dealt to eight tasks by that hash, so copies of a text under several ids spread.
+    dealt to eight tasks by that hash, so copies of a text under several ids spread. Of more than
+    ``LANGUAGES`` different values of ``lang`` those with most rows train (ties: by name); texts in others
+    are judged like any text, by the languages learned.
     """
     spark = docs.sparkSession
     usable = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    rates = {r.lang: min(1.0, max_docs / r.n) for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rates = {r.lang: min(1.0, max_docs / r.n) for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     part = spark.createDataFrame([(k, int(v * (1 << 24))) for k, v in rates.items()], "lang string, upto int")
     dealt = F.xxhash64(F.lit("language"), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
     return usable.join(F.broadcast(part), "lang").where(F.pmod(dealt, F.lit(1 << 24)) < F.col("upto")).repartition(8, dealt).select("lang", "text")
@@ -159,8 +163,10 @@ def _bundled(sample: DataFrame, n: int, dim: int) -> dict[str, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "v"])
 
     out: dict[str, np.ndarray] = {}
-    for r in sample.mapInArrow(run, "lang string, v array<bigint>").collect():
-        out[r.lang] = out.get(r.lang, 0) + np.array(r.v, np.int64)
+    got = sample.mapInArrow(run, "lang string, v array<bigint>").toArrow().combine_chunks()
+    vectors = got.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim) if len(got) else []
+    for lang, v in zip(got.column("lang").to_pylist(), vectors):
+        out[lang] = out.get(lang, 0) + v
     return dict(sorted(out.items()))
 
 
