@@ -20,8 +20,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import written
+from tracewright.llm.common import unused, written
 
+#: Columns that the models read and write on their way: words, features, raw scores, probabilities, predictions.
+HELPERS = ["__words", "__x", "__raw", "__p", "__said"]
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
 
@@ -55,24 +57,34 @@ class ToxicityChain:
     models: list[tuple[str, LogisticRegressionModel | float]]
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` needs ``tokens``; adds ``p_<category>`` for each category in order."""
-        out = _vectors(docs, self.words)
+        """``docs`` (with ``tokens``, none where null) and ``p_<category>`` for each category in order.
+
+        Columns under these names give way, all others go through, whatever their names; rows are scored
+        one by one, those without a learned word by the models' base rates; an empty table gives an empty
+        result.
+        """
+        docs = docs.drop(*[f"p_{name}" for name, _ in self.models])
+        docs = docs.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+        helpers = unused(docs, *HELPERS)
+        out = _vectors(docs, self.words, helpers[0])
         before: list[str] = []
         for name, model in self.models:
-            out = _probability(out, model, before, f"p_{name}")
+            out = _probability(out, model, before, f"p_{name}", helpers)
             before.append(f"p_{name}")
-        return out.drop("__words")
+        return out.drop(helpers[0])
 
 
-def _vectors(docs: DataFrame, words: list[str]) -> DataFrame:
-    return CountVectorizerModel.from_vocabulary(words or ["\0"], "tokens", "__words", binary=True, minTF=0.0).transform(docs)
+def _vectors(docs: DataFrame, words: list[str], out: str = HELPERS[0]) -> DataFrame:
+    return CountVectorizerModel.from_vocabulary(words or ["\0"], "tokens", out, binary=True, minTF=0.0).transform(docs)
 
 
-def _probability(rows: DataFrame, model: LogisticRegressionModel | float, before: list[str], name: str) -> DataFrame:
+def _probability(rows: DataFrame, model: LogisticRegressionModel | float, before: list[str], name: str, helpers: list[str] = HELPERS) -> DataFrame:
     if isinstance(model, float):
         return rows.withColumn(name, F.lit(model))
-    joined = VectorAssembler(inputCols=["__words", *before], outputCol="__x").transform(rows)
-    return model.transform(joined).withColumn(name, vector_to_array("__p")[1]).drop("__x", "__raw", "__p", "__said")
+    words, x, raw, p, said = helpers
+    joined = VectorAssembler(inputCols=[words, *before], outputCol=x).transform(rows)
+    model = model.copy().setFeaturesCol(x).setRawPredictionCol(raw).setProbabilityCol(p).setPredictionCol(said)
+    return model.transform(joined).withColumn(name, vector_to_array(p)[1]).drop(x, raw, p, said)
 
 
 def _fit(rows: DataFrame, label: str, before: list[str], reg: float) -> LogisticRegressionModel | float:
