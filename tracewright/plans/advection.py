@@ -1,82 +1,178 @@
-"""Particles carried by a flow field, frame after frame, with re-seeding: one fold a video."""
+"""Particles carried by a flow field, frame after frame, inside each frame's mask, with re-seeding.
+
+A frame's field and mask are one bounded row. Rows are dealt by video and sorted by frame, and a task folds
+them as they come: its state is the particles now alive (``POINTS`` at most) and the last mask, a point of a
+path is put out as soon as it is certain, and nothing else of a video is held, however long it is.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.plans import motion as M
+from tracewright.functions import stats as S
 from tracewright.plans.base import T, query
+from tracewright.sources import tables
 
-SIDE, LOW, HIGH, POINTS = 20, 10, 90, 12
-_SEEDS = [(float(x), float(y)) for y in range(SIDE, HIGH, SIDE) for x in range(SIDE, HIGH, SIDE)]
-_PARTICLE = "struct<id:bigint,i0:bigint,n:bigint,x:double,y:double,px:double,py:double>"
+#: Cells of the field and of the mask, spacing of the seeds, particles kept alive, points of a path at least.
+SIDE, MASK_SIDE, SPACING, POINTS, LEAST = 20, 10, 20, 12, 3
+EXTENT = 100
+SEEDS = [(float(x), float(y), y // MASK_SIDE * (EXTENT // MASK_SIDE) + x // MASK_SIDE) for y in range(0, EXTENT, SPACING) for x in range(0, EXTENT, SPACING)]
 
 
 def cell(x: Column, y: Column) -> Column:
     """The field's cell at the nearest pixel, clamped to the frame."""
     at = lambda v: F.floor(F.least(F.greatest(F.bround(v, 0), F.lit(0.0)), F.lit(99.0)) / SIDE)
-    return at(y) * 5 + at(x)
-
-
-def seeds(count: Column, first: Column, i0: Column) -> Column:
-    """``count`` new particles at evenly spaced points of the seed grid, numbered from ``first``."""
-    grid = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in _SEEDS])
-    last = len(_SEEDS) - 1
-
-    def at(j: Column) -> Column:
-        pick = F.when(count == 1, 0).when(j == count - 1, last).otherwise((j * (F.lit(float(last)) / (count - 1))).cast("int"))
-        p = F.get(grid, pick)
-        return F.struct((first + j).alias("id"), i0.alias("i0"), F.lit(1).cast("long").alias("n"), p.x.alias("x"), p.y.alias("y"), p.x.alias("px"), p.y.alias("py"))
+    return (at(y) * (EXTENT // SIDE) + at(x)).cast("int")
+
+
+def frames(observations: DataFrame) -> DataFrame:
+    """``video_id, frame, flow, mask``: the motion that leads to each frame, by the cell it starts from (of
+    several tracks the first one's), and the cells of the mask: those of observed places, errors apart, and
+    their neighbours."""
+    w = tables.track_window()
+    o = observations.select("*", F.lag("x").over(w).alias("px"), F.lag("y").over(w).alias("py"))
+    n = EXTENT // MASK_SIDE
+    at = lambda c: F.floor(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(99.0)) / MASK_SIDE).cast("int")
+    around = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    near = F.array_compact(F.array(*[F.when((at("x") + dx).between(0, n - 1) & (at("y") + dy).between(0, n - 1), (at("y") + dy) * n + at("x") + dx) for dx, dy in around]))
+    seen = F.when(~F.col("event_type").eqNullSafe("error"), near)
+    moves = F.when(F.col("px").isNotNull(), F.struct(cell(F.col("px"), F.col("py")).alias("cell"), "track_id", (F.col("x") - F.col("px")).alias("dx"), (F.col("y") - F.col("py")).alias("dy")))
+    return o.groupBy("video_id", "frame").agg(F.array_sort(F.collect_list(moves)).alias("flow"), F.array_distinct(F.flatten(F.collect_list(seen))).alias("mask"))
+
+
+class Video:
+    """The particles alive in one video; ``step`` moves them to the next frame."""
+
+    def __init__(self) -> None:
+        self.alive: list[tuple] = []  # id, first step, its first points until they are enough, x, y
+        self.next, self.i, self.mask = 0, -1, None
+
+    def seed(self, mask: set[int]) -> None:
+        places = [(x, y) for x, y, c in SEEDS if c in mask]
+        missing = POINTS - len(self.alive)
+        if missing < len(places):
+            pace = (len(places) - 1) / (missing - 1) if missing > 1 else 0.0
+            places = [places[len(places) - 1 if j and j == missing - 1 else int(j * pace)] for j in range(missing)]
+        for x, y in places:
+            self.alive.append((self.next, [(self.i, x, y)], x, y))
+            self.next += 1
+
+    def step(self, flow: list[dict], mask: list[int]) -> Iterator[tuple[int, int, float, float]]:
+        """The points (particle, step, x, y) that have become certain: those of paths of ``LEAST`` points."""
+        own = set(mask) if mask else None
+        region = own or self.mask
+        self.i += 1
+        field: dict[int, dict] = {}
+        for f in flow:
+            field.setdefault(f["cell"], f)
+        kept = []
+        for number, first, x, y in self.alive:
+            moved = field.get(int(min(max(round(y), 0), EXTENT - 1)) // SIDE * (EXTENT // SIDE) + int(min(max(round(x), 0), EXTENT - 1)) // SIDE)
+            if moved:
+                x, y = x + moved["dx"], y + moved["dy"]
+            if region and 0 <= x < EXTENT and 0 <= y < EXTENT and int(y) // MASK_SIDE * (EXTENT // MASK_SIDE) + int(x) // MASK_SIDE in region:
+                if first is not None and len(first) + 1 >= LEAST:
+                    yield from ((number, *p) for p in first)
+                    first = None
+                if first is None:
+                    yield number, self.i, x, y
+                else:
+                    first = [*first, (self.i, x, y)]
+                kept.append((number, first, x, y))
+        self.alive, self.mask = kept, own
+        if region and len(kept) < POINTS:
+            self.seed(region)
+
+
+def carried(batches: Iterator[pa.RecordBatch], most: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Points of the paths of ``video_id, flow, mask``, rows of one video together and in order of frame."""
+    names = ["video_id", "particle", "step", "x", "y"]
+    video, state, out = None, Video(), []
+    for b in batches:
+        kind = b.schema.field(0).type
+        for v, flow, mask in zip(*(c.to_pylist() for c in b.columns)):
+            if v != video:
+                video, state = v, Video()
+            out += ((v, *p) for p in state.step(flow, mask))
+            if len(out) >= most:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (kind, pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names)
+                out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (kind, pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names)
+
+
+def paths(observations: DataFrame) -> DataFrame:
+    """``video_id, particle, step, x, y``: every point of every path of ``LEAST`` points or more.
+
+    Null tracks' rows fold like others, a null video is none; a frame without a mask has the one before's,
+    after that none: its particles end and no new ones come.
+    """
+    f = frames(observations.where("video_id IS NOT NULL")).repartition("video_id").sortWithinPartitions("video_id", "frame")
+    kind = observations.schema["video_id"].dataType.simpleString()
+    return f.select("video_id", "flow", "mask").mapInArrow(carried, f"video_id {kind}, particle long, step long, x double, y double")
+
+
+def _cell_sql(x: str, y: str) -> str:
+    at = lambda v: f"floor(least(greatest(round_even({v}, 0), 0), 99) / {SIDE})"
+    return f"CAST({at(y)} * 5 + {at(x)} AS BIGINT)"
+
+
+_INSIDE = "p.x >= 0 AND p.x < 100 AND p.y >= 0 AND p.y < 100 AND coalesce(list_contains(mask, CAST(floor(p.y / 10) * 10 + floor(p.x / 10) AS BIGINT)), false)"
+def _seeds_sql(d: str, first: str) -> str:
+    """``d`` particles at most, numbered from ``first``, at evenly spaced ones of ``pts``."""
+    pick = f"pts[1 + CASE WHEN len(pts) <= {d} THEN j WHEN {d} = 1 THEN 0 WHEN j = {d} - 1 THEN len(pts) - 1 ELSE CAST(trunc(j * ((len(pts) - 1)::DOUBLE / ({d} - 1))) AS BIGINT) END]"
+    return f"list_transform(range(least({d}, len(pts))), lambda j: {{'id': {first} + j, 'x': {pick}.x, 'y': {pick}.y}})"
+
+
+PATHS = f"""po AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM obs WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame)),
+fl AS (SELECT video_id, frame, {_cell_sql('px', 'py')} AS cell, min({{'track_id': track_id, 'dx': x - px, 'dy': y - py}}) AS f FROM po WHERE px IS NOT NULL GROUP BY 1, 2, 3),
+fm AS (SELECT video_id, frame, map(list(cell), list(f)) AS flow FROM fl GROUP BY 1, 2),
+mk AS (SELECT video_id, frame, CAST(floor(least(greatest(x, 0), 99) / 10) AS BIGINT) + a AS cx, CAST(floor(least(greatest(y, 0), 99) / 10) AS BIGINT) + b AS cy FROM obs, range(-1, 2) r(a), range(-1, 2) s(b) WHERE event_type != 'error'),
+ms AS (SELECT video_id, frame, list(DISTINCT cy * 10 + cx) AS mask FROM mk WHERE cx BETWEEN 0 AND 9 AND cy BETWEEN 0 AND 9 GROUP BY 1, 2),
+fr AS (SELECT o.video_id, row_number() OVER (PARTITION BY o.video_id ORDER BY o.frame) - 1 AS i, flow, coalesce(mask, lag(mask) OVER (PARTITION BY o.video_id ORDER BY o.frame)) AS mask
+  FROM (SELECT DISTINCT video_id, frame FROM obs) o LEFT JOIN fm USING (video_id, frame) LEFT JOIN ms USING (video_id, frame)),
+allpts AS (SELECT list({{'x': CAST(x * 20 AS DOUBLE), 'y': CAST(y * 20 AS DOUBLE), 'c': y * 20 + x * 2}} ORDER BY y, x) AS g FROM range(0, 5) a(x), range(0, 5) b(y)),
+fs AS (SELECT fr.*, list_filter(g, lambda p: coalesce(list_contains(mask, p.c), false)) AS pts FROM fr, allpts),
+r AS (SELECT video_id, 0::BIGINT AS i, {_seeds_sql('12', '0')} AS alive, CAST(least(12, len(pts)) AS BIGINT) AS next FROM fs WHERE i = 0
+  UNION ALL
+  SELECT video_id, i, list_concat(kept, {_seeds_sql('d', 'next')}), CAST(next + least(d, len(pts)) AS BIGINT)
+  FROM (SELECT *, 12 - len(kept) AS d FROM (SELECT *, list_filter(moved, lambda p: {_INSIDE}) AS kept FROM (
+    SELECT r.video_id, fs.i, r.next, fs.mask, fs.pts, list_transform(r.alive, lambda p: {{'id': p.id,
+      'x': p.x + coalesce(flow[{_cell_sql('p.x', 'p.y')}].dx, 0), 'y': p.y + coalesce(flow[{_cell_sql('p.x', 'p.y')}].dy, 0)}}) AS moved
+    FROM r JOIN fs ON fs.video_id = r.video_id AND fs.i = r.i + 1)))),
+pth AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY video_id, particle) AS n FROM (SELECT video_id, p.id AS particle, i AS step, p.x AS x, p.y AS y FROM (SELECT video_id, i, unnest(alive) AS p FROM r))) WHERE n >= 3)"""
+PATH_VIEWS = ("RECURSIVE " + T.OBS, PATHS)
 
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), count - 1), at)).otherwise(F.array().cast(f"array<{_PARTICLE}>"))
 
+@query("particle_points", "SELECT video_id, particle, step, round(x, 6) AS x, round(y, 6) AS y FROM pth", *PATH_VIEWS)
+def _(spark, sf):
+    """Every point of every particle's path."""
+    return paths(T.observations(spark, sf)).select("video_id", "particle", "step", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
-def inside(p: Column) -> Column:
-    return (p.x >= LOW) & (p.x < HIGH) & (p.y >= LOW) & (p.y < HIGH)
 
+@query("particle_paths", "SELECT video_id, particle, min(step) AS first_step, count(*) AS n, round(arg_min(x, step), 6) AS x0, round(arg_min(y, step), 6) AS y0, round(arg_max(x, step), 6) AS x1, round(arg_max(y, step), 6) AS y1 FROM pth GROUP BY 1, 2", *PATH_VIEWS)
+def _(spark, sf):
+    """Where each path begins and ends."""
+    end = lambda f, c, name: F.round(f(c, "step"), 6).alias(name)
+    p = paths(T.observations(spark, sf)).groupBy("video_id", "particle")
+    return p.agg(F.min("step").alias("first_step"), F.count("*").alias("n"), end(F.min_by, "x", "x0"), end(F.min_by, "y", "y0"), end(F.max_by, "x", "x1"), end(F.max_by, "y", "y1"))
 
-def advance(state: Column, step: Column) -> Column:
-    """Move each particle by the flow at its place, drop those that leave the region, fill up with new ones."""
 
-    def move(p: Column) -> Column:
-        flow = F.get(F.filter(step.flow, lambda e: e.cell == cell(p.x, p.y)), F.lit(0))
-        x, y = p.x + F.coalesce(flow.dx, F.lit(0.0)), p.y + F.coalesce(flow.dy, F.lit(0.0))
-        return F.struct(p.id.alias("id"), p.i0.alias("i0"), (p.n + 1).alias("n"), x.alias("x"), y.alias("y"), p.x.alias("px"), p.y.alias("py"))
+def _arc_sql() -> str:
+    from tracewright.plans.physics import parabola_sql
 
-    moved = F.transform(state.active, move)
-    kept = F.filter(moved, inside)
-    lost = F.filter(moved, lambda p: ~inside(p) & (p.n > 3))
-    missing = (F.lit(POINTS) - F.size(kept)).cast("long")
-    ended = F.transform(lost, lambda p: F.struct(p.id.alias("id"), p.i0.alias("i0"), (p.n - 1).alias("n"), p.px.alias("x"), p.py.alias("y"), p.px.alias("px"), p.py.alias("py")))
-    return F.struct(F.concat(kept, seeds(missing, state.next, state.i + 1)).alias("active"), F.concat(state.done, ended).alias("done"), (state.next + missing).alias("next"), (state.i + 1).alias("i"))
+    return parabola_sql("arcp", "pfit", "video_id, particle")
 
 
-@query("particle_paths", """
-fl AS (SELECT video_id, frame, CAST(floor(least(greatest(round_even(y, 0), 0), 99) / 20) * 5 + floor(least(greatest(round_even(x, 0), 0), 99) / 20) AS BIGINT) AS cell, min({'track_id': track_id, 'dx': dx, 'dy': dy}) AS f FROM steps WHERE dx IS NOT NULL GROUP BY 1, 2, 3),
-fr AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY frame) - 1 AS i, map(list(cell), list(f)) AS flow FROM fl GROUP BY video_id, frame),
-seed AS (SELECT list({'x': CAST(x * 20 AS DOUBLE), 'y': CAST(y * 20 AS DOUBLE)} ORDER BY y, x) AS g FROM range(1, 5) a(x), range(1, 5) b(y)),
-pick AS (SELECT c, list(g[1 + CASE WHEN c = 1 THEN 0 WHEN j = c - 1 THEN 15 ELSE CAST(trunc(j * (15::DOUBLE / (c - 1))) AS BIGINT) END] ORDER BY j) AS pts FROM seed, range(1, 13) n(c), range(0, 12) k(j) WHERE j < c GROUP BY c),
-r AS (SELECT video_id, 0::BIGINT AS i, list_transform(pts, lambda p, k: {'id': k - 1, 'i0': 0::BIGINT, 'n': 1::BIGINT, 'x': p.x, 'y': p.y, 'px': p.x, 'py': p.y}) AS active, CAST([] AS STRUCT(id BIGINT, i0 BIGINT, n BIGINT, x DOUBLE, y DOUBLE, px DOUBLE, py DOUBLE)[]) AS gone, 12::BIGINT AS next FROM (SELECT DISTINCT video_id FROM fr), pick WHERE c = 12
-  UNION ALL
-  SELECT video_id, i + 1, list_concat(kept, coalesce(list_transform(pts, lambda p, k: {'id': next + k - 1, 'i0': i + 1, 'n': 1::BIGINT, 'x': p.x, 'y': p.y, 'px': p.x, 'py': p.y}), [])), list_filter(moved, lambda p: NOT (p.x >= 10 AND p.x < 90 AND p.y >= 10 AND p.y < 90)), next + 12 - len(kept)
-  FROM (SELECT *, list_filter(moved, lambda p: p.x >= 10 AND p.x < 90 AND p.y >= 10 AND p.y < 90) AS kept FROM (
-    SELECT r.video_id, r.i, r.next, list_transform(r.active, lambda p: {'id': p.id, 'i0': p.i0, 'n': p.n + 1,
-      'x': p.x + coalesce(flow[CAST(floor(least(greatest(round_even(p.y, 0), 0), 99) / 20) * 5 + floor(least(greatest(round_even(p.x, 0), 0), 99) / 20) AS BIGINT)].dx, 0),
-      'y': p.y + coalesce(flow[CAST(floor(least(greatest(round_even(p.y, 0), 0), 99) / 20) * 5 + floor(least(greatest(round_even(p.x, 0), 0), 99) / 20) AS BIGINT)].dy, 0), 'px': p.x, 'py': p.y}) AS moved
-    FROM r JOIN fr ON fr.video_id = r.video_id AND fr.i = r.i)) m LEFT JOIN pick ON c = 12 - len(kept)),
-e AS (SELECT video_id, unnest(gone) AS p, true AS lost FROM r UNION ALL SELECT video_id, unnest(active), false FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY i DESC) AS k FROM r) WHERE k = 1)
-SELECT video_id, p.id AS particle, p.i0 AS first_step, CASE WHEN lost THEN p.n - 1 ELSE p.n END AS n, round(CASE WHEN lost THEN p.px ELSE p.x END, 6) AS x, round(CASE WHEN lost THEN p.py ELSE p.y END, 6) AS y FROM e WHERE p.n > CASE WHEN lost THEN 3 ELSE 2 END
-""".strip(), "RECURSIVE " + T.OBS, M.STEPS)
+@query("particle_arcs", "SELECT video_id, particle, n, round(a, 6) AS a, round(r2, 6) AS r2, round(least(1, 0.5::DOUBLE * least(greatest((0.6::DOUBLE - r2) / 0.6::DOUBLE, 0), 1) + CASE WHEN a < -2 THEN 0.5 ELSE 0 END), 6) AS score FROM pfit WHERE n >= 5 AND (r2 < 0.6 OR a < -2)", *PATH_VIEWS, "arcp AS (SELECT video_id, particle, CAST(step AS DOUBLE) AS t, y FROM pth)", _arc_sql())
 def _(spark, sf):
-    """Paths of three points or more. The field of a frame is the motion of the first track in each cell, and none elsewhere."""
-    s = M.steps(spark, sf).where("dx IS NOT NULL")
-    f = s.groupBy("video_id", "frame", cell(F.col("x"), F.col("y")).cast("long").alias("cell")).agg(F.min(F.struct("track_id", "dx", "dy")).alias("f"))
-    f = f.groupBy("video_id", "frame").agg(F.array_sort(F.collect_list(F.struct("cell", "f.dx", "f.dy"))).alias("flow"))
-    v = f.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("frame", "flow"))).alias("frames"))
-    zero = F.lit(0).cast("long")
-    start = F.struct(seeds(F.lit(POINTS).cast("long"), zero, zero).cast(f"array<{_PARTICLE}>").alias("active"), F.array().cast(f"array<{_PARTICLE}>").alias("done"), F.lit(POINTS).cast("long").alias("next"), zero.alias("i"))
-    kind = f"struct<active:array<{_PARTICLE}>,done:array<{_PARTICLE}>,next:bigint,i:bigint>"
-    paths = v.select("video_id", F.aggregate("frames", start.cast(kind), lambda a, b: advance(a, b).cast(kind), lambda a: F.concat(a.done, F.filter(a.active, lambda p: p.n >= 3))).alias("p"))
-    p = paths.select("video_id", F.explode("p").alias("p"))
-    return p.select("video_id", F.col("p.id").alias("particle"), F.col("p.i0").alias("first_step"), "p.n", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+    """Paths of five points or more that fit no parabola or bend upward."""
+    p = paths(T.observations(spark, sf)).select("video_id", "particle", F.col("step").cast("double").alias("t"), "y")
+    f = S.parabola_fit(p, ["video_id", "particle"]).where("n >= 5 AND (r2 < 0.6 OR a < -2)")
+    clip = F.least(F.greatest((0.6 - F.col("r2")) / 0.6, F.lit(0.0)), F.lit(1.0))
+    score = F.least(F.lit(1.0), 0.5 * clip + F.when(F.col("a") < -2, 0.5).otherwise(F.lit(0.0)))
+    return f.select("video_id", "particle", "n", F.round("a", 6).alias("a"), F.round("r2", 6).alias("r2"), F.round(score, 6).alias("score"))

@@ -221,17 +221,48 @@ def _(spark, sf):
     return p.select("track_id", "i", F.when(F.col("i") == 1, F.lit(0.0)).otherwise(F.col("s0")).alias("start_frac"), F.when(F.col("i") == F.col("n"), F.lit(1.0)).otherwise(F.col("s1")).alias("end_frac"), "expected")
 
 
-#: Bulk flow of a video's tracked pixels, hour by hour.
-REGION = """rg AS (SELECT video_id, frame, avg(speed) AS speed, avg(vx) AS u, avg(vy) AS v, avg(abs(ax + ay)) / greatest(avg(speed), 0.05) AS div FROM kin GROUP BY 1, 2),
+#: Cells of the velocity field.
+CELL = 20
+
+
+def _slope_sql(v: str, over: str, at: str) -> str:
+    """The difference of neighbouring cells: central where both are there, one-sided, or 0."""
+    low, high = f"lag({at}) OVER {over} = {at} - 1", f"lead({at}) OVER {over} = {at} + 1"
+    return f"CASE WHEN {low} AND {high} THEN (lead({v}) OVER {over} - lag({v}) OVER {over}) / 2 WHEN {high} THEN lead({v}) OVER {over} - {v} WHEN {low} THEN {v} - lag({v}) OVER {over} ELSE 0 END"
+
+
+#: Bulk flow of a video's tracked pixels, hour by hour: the means of the velocity field by cell and of its divergence.
+REGION = f"""fcell AS (SELECT video_id, frame, CAST(floor(least(greatest(x, 0), 99) / {CELL}) AS BIGINT) AS cx, CAST(floor(least(greatest(y, 0), 99) / {CELL}) AS BIGINT) AS cy, avg(vx) AS u, avg(vy) AS v FROM kin GROUP BY 1, 2, 3, 4),
+fgrad AS (SELECT *, {_slope_sql('u', 'r', 'cx')} + {_slope_sql('v', 'c', 'cy')} AS d FROM fcell WINDOW r AS (PARTITION BY video_id, frame, cy ORDER BY cx), c AS (PARTITION BY video_id, frame, cx ORDER BY cy)),
+rg AS (SELECT video_id, frame, avg(sqrt(u * u + v * v)) AS speed, avg(u) AS u, avg(v) AS v, avg(abs(d)) / greatest(avg(sqrt(u * u + v * v)), 0.05) AS div FROM fgrad GROUP BY 1, 2),
 rj AS (SELECT *, median(speed) OVER (PARTITION BY video_id) AS base, CASE WHEN frame - lag(frame) OVER (PARTITION BY video_id ORDER BY frame) = 1 THEN sqrt(pow(u - lag(u) OVER (PARTITION BY video_id ORDER BY frame), 2) + pow(v - lag(v) OVER (PARTITION BY video_id ORDER BY frame), 2)) / greatest(speed, 0.05) ELSE 0 END AS jump FROM rg),
 splash AS (SELECT * FROM rj WHERE speed > 3 * greatest(base, 0.15) AND speed > 0.3),
 imp AS (SELECT DISTINCT video_id, frame FROM edge)"""
 REGION_VIEWS = (*C.EDGE_VIEWS, M.GKIN, REGION)
 
 
+def slope(value: str, at: str, over: Window):
+    """The difference of ``value`` between neighbouring cells along ``at``: central where both neighbours are
+    there, one-sided where one is, else 0."""
+    low, high = F.lag(at).over(over) == F.col(at) - 1, F.lead(at).over(over) == F.col(at) + 1
+    before, after = F.lag(value).over(over), F.lead(value).over(over)
+    return F.when(low & high, (after - before) / 2).when(high, after - F.col(value)).when(low, F.col(value) - before).otherwise(F.lit(0.0))
+
+
+def velocity_field(kin):
+    """``video_id, frame, cx, cy, u, v, d``: each cell's mean velocity and the field's divergence there.
+
+    Dealt by video and frame once; cells, differences along rows and columns, and whatever is grouped by frame
+    afterwards stay in that partitioning."""
+    at = lambda c: F.floor(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(99.0)) / CELL).cast("long")
+    cells = kin.select("video_id", "frame", at("x").alias("cx"), at("y").alias("cy"), "vx", "vy").repartition("video_id", "frame").groupBy("video_id", "frame", "cx", "cy").agg(F.avg("vx").alias("u"), F.avg("vy").alias("v"))
+    row, column = Window.partitionBy("video_id", "frame", "cy").orderBy("cx"), Window.partitionBy("video_id", "frame", "cx").orderBy("cy")
+    return cells.withColumn("d", slope("u", "cx", row) + slope("v", "cy", column))
+
+
 def region(spark, sf):
     """Mean speed, mean vector, divergence and jump of the bulk flow; a gap resets the jump."""
-    k = C.grid_kin(spark, sf).groupBy("video_id", "frame").agg(F.avg("speed").alias("speed"), F.avg("vx").alias("u"), F.avg("vy").alias("v"), F.avg(F.abs(F.col("ax") + F.col("ay"))).alias("d"))
+    k = velocity_field(C.grid_kin(spark, sf)).groupBy("video_id", "frame").agg(F.avg(K.norm(F.col("u"), F.col("v"))).alias("speed"), F.avg("u").alias("u"), F.avg("v").alias("v"), F.avg(F.abs("d")).alias("d"))
     v, w = Window.partitionBy("video_id"), Window.partitionBy("video_id").orderBy("frame")
     floor = F.greatest("speed", F.lit(0.05))
     jump = F.when(F.col("frame") - F.lag("frame").over(w) == 1, K.norm(F.col("u") - F.lag("u").over(w), F.col("v") - F.lag("v").over(w)) / floor).otherwise(F.lit(0.0))
