@@ -41,6 +41,11 @@ class Operator:
     #: Canonical tables that it reads.
     reads: tuple[str, ...] = ()
 
+    @property
+    def tier(self) -> str:
+        """What a run costs: screening is cheap, specialists read whole tracks, a report only aggregates."""
+        return {1: "cheap", 2: "medium", 3: "medium", 4: "output"}[self.stage]
+
     def configure(self, given: dict | None = None) -> dict:
         given = given or {}
         return {s.id: s.read(given.get(s.id)) for s in self.settings}
