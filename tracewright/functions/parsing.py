@@ -12,20 +12,55 @@ EXTENSIONS = ("mp4", "mov", "avi", "mkv", "webm", "m4v", "mpg", "mpeg", "wmv", "
 def parse_reply(df):
     """Adds ``suspicion_score, suspected_failure, explanation, confidence, parsed`` for a column ``raw``.
 
-    The outermost braces are parsed as JSON; where that gives nothing, single fields are recovered by
-    pattern, numbers also without a leading digit, texts also if the reply ends inside them. A missing
-    score is null (no signal), a missing confidence 0.
+    The outermost braces are parsed as JSON, whose fields count if it is whole. Where it is not, single
+    fields are recovered by pattern, numbers also without a leading digit, texts also if the reply ends
+    inside them; without a score that gives no signal (null) and says what was not understood. A missing
+    confidence is 0. A null reply is an empty one.
     """
-    body = F.regexp_extract("raw", r"(?s)\{.*\}", 0)
-    parsed = df.withColumn("__j", F.from_json(F.nullif(body, F.lit("")), REPLY))
-    score = F.coalesce(F.col("__j.suspicion_score"), _number("suspicion_score"))
+    raw = F.coalesce("raw", F.lit(""))
+    body = F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit(""))
+    parsed = df.withColumns({"__j": F.from_json(body, REPLY), "__whole": F.try_parse_json(body).isNotNull()})
+    field = lambda name, recovered: F.when(F.col("__whole"), F.col(f"__j.{name}")).otherwise(recovered)
+    score = field("suspicion_score", _number("suspicion_score"))
+    known = lambda found, default: F.when(score.isNotNull(), F.coalesce(found, default)).otherwise(default)
+    none = F.lit(None).cast("string")
+    said = F.when(score.isNotNull(), F.coalesce(_text("explanation"), F.lit("recovered from truncated reply"))).otherwise(F.concat(F.lit("unparseable: "), F.substring(raw, 1, 120)))
     return parsed.withColumns({
         "suspicion_score": score,
-        "suspected_failure": F.coalesce(F.col("__j.suspected_failure"), _text("suspected_failure")),
-        "explanation": F.coalesce(F.col("__j.explanation"), _text("explanation")),
-        "confidence": F.coalesce(F.col("__j.confidence"), _number("confidence"), F.lit(0.0)),
+        "suspected_failure": field("suspected_failure", known(_text("suspected_failure"), none)),
+        "explanation": field("explanation", said),
+        "confidence": F.coalesce(field("confidence", known(_number("confidence"), F.lit(0.0))), F.lit(0.0)),
         "parsed": score.isNotNull(),
-    }).drop("__j")
+    }).drop("__j", "__whole")
+
+
+#: Where a reply's text may stand, in this order.
+TEXT_KEYS = ("response", "answer", "output", "text", "result", "content")
+
+
+def reply_text(raw: Column) -> Column:
+    """The first text that isn't blank under ``TEXT_KEYS`` of a JSON object, looked for in the order of the
+    keys, inside an object before the next key; empty if there is none.
+
+    A walk over a stack of values: every step takes the first off and, if it is an object, puts its six
+    fields in its place. A reply has at most as many values as colons, so that many steps are enough.
+    """
+    kind = "struct<stack:array<variant>,found:string>"
+
+    def step(a: Column, _: Column) -> Column:
+        head, rest = F.get(a["stack"], F.lit(0)), F.slice(a["stack"], F.lit(2), F.greatest(F.size(a["stack"]) - 1, F.lit(0)))
+        of = F.schema_of_variant(head)
+        inner = F.filter(F.array(*[F.try_variant_get(head, f"$.{k}", "variant") for k in TEXT_KEYS]), lambda v: v.isNotNull())
+        text = F.try_variant_get(head, "$", "string")
+        done = a["found"].isNotNull() | (F.size(a["stack"]) == 0)
+        is_text = (of == "STRING") & text.rlike(r"\S")
+        stack = F.when(done, a["stack"]).when(of.startswith("OBJECT"), F.concat(inner, rest)).otherwise(rest)
+        return F.struct(stack.alias("stack"), F.when(done, a["found"]).when(is_text, text).alias("found")).cast(kind)
+
+    top = F.try_parse_json(raw)
+    start = F.struct(F.when(F.schema_of_variant(top).startswith("OBJECT"), F.array(top)).otherwise(F.array().cast("array<variant>")).alias("stack"), F.lit(None).cast("string").alias("found")).cast(kind)
+    steps = F.sequence(F.lit(1), F.regexp_count(F.coalesce(raw, F.lit("")), F.lit(":")) + 1)
+    return F.coalesce(F.aggregate(steps, start, step, lambda a: a["found"]), F.lit(""))
 
 
 def _number(name: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.sources.scratch import written
+
 
 def mad_z(df: DataFrame, col: str, keys: list[str], out: str, strict: bool = True) -> DataFrame:
     """Robust z-score within each series.
@@ -87,33 +89,56 @@ def parabola_quality(df: DataFrame, keys: list[str], t: str = "t", y: str = "y")
     )
 
 
-#: Ranges in which values are ordered side by side where there is no key to part them by.
-RANGES = 64
+#: Rows of a range in which values are ordered; the ranges stand side by side.
+RANGE_ROWS = 1_000_000
+
+
+def ranged(df: DataFrame, order: list[str], n: str | None = None) -> tuple[DataFrame, int, int]:
+    """``df`` as a table with ``__part``, ascending ranges of ``order``, and ``__base``, the rows (or the sum
+    of ``n``) of the ranges before; and the numbers of its rows and of that sum altogether.
+
+    ``df`` is computed once. The number of ranges follows its rows; a row a range comes to the driver.
+    """
+    size = F.count(F.lit(1)) if n is None else F.sum(n)
+    t = written(df, "ordered")
+    rows, total = t.agg(F.count(F.lit(1)), size).first()
+    parts = rows // RANGE_ROWS + 1
+    if parts == 1:
+        return t.withColumns({"__part": F.lit(0), "__base": F.lit(0).cast("long")}), rows, total or 0
+    t = written(t.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    below, bases = 0, []
+    for r in t.groupBy("__part").agg(size.alias("n")).orderBy("__part").collect():
+        bases.append((r["__part"], below))
+        below += r.n
+    return t.join(F.broadcast(df.sparkSession.createDataFrame(bases, "__part int, __base long")), "__part"), rows, total or 0
+
+
+def numbered(df: DataFrame, order: list[str], out: str, total: str | None = None) -> DataFrame:
+    """Adds each row's place (from 1) in ``order``, which tells rows apart, and the number of rows."""
+    t, rows, _ = ranged(df, order)
+    t = t.withColumn(out, F.col("__base") + F.row_number().over(Window.partitionBy("__part").orderBy(*order))).drop("__part", "__base")
+    return t if total is None else t.withColumn(total, F.lit(rows).cast("long"))
 
 
 def before(df: DataFrame, order: str, n: str, out: str, keys: list[str] | None = None) -> DataFrame:
     """Adds the sum of ``n`` over the rows of smaller ``order`` (distinct within ``keys``).
 
-    With keys this is a window. Without, the values are cut at approximate quantiles into ranges, each
-    range is a window partition, and the ranges' sums (a row each, so a bounded array) come before.
+    With keys this is a window. Without, it is one in each of the ranges of ``order``.
     """
     if keys:
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(n).over(w), F.lit(0)))
-    cuts = df.agg(F.percentile_approx(order, [k / RANGES for k in range(1, RANGES)], 1000)).scalar()
-    ranged = df.withColumn("__cuts", cuts).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
-    sums = ranged.groupBy("__range").agg(F.sum(n).cast("double").alias("s")).agg(F.collect_list(F.struct("__range", "s"))).scalar()
-    whole = F.aggregate(F.filter("__sums", lambda s: s["__range"] < F.col("__range")), F.lit(0.0), lambda a, s: a + s["s"]).cast("long")
-    w = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.withColumn("__sums", sums).withColumn(out, whole + F.coalesce(F.sum(n).over(w), F.lit(0))).drop("__range", "__sums")
+    t, _, _ = ranged(df, [order], n)
+    w = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return t.withColumn(out, F.col("__base") + F.coalesce(F.sum(n).over(w), F.lit(0))).drop("__part", "__base")
 
 
 def median_of(df: DataFrame, col: str) -> Column:
-    """The exact median of a whole column as a scalar subquery, from counts of distinct values."""
-    c = before(df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("__n")), col, "__n", "__below")
-    c = c.withColumn("__all", df.agg(F.count(col)).scalar())
-    at = lambda place: F.min(F.when(F.col("__below") + F.col("__n") >= place, F.col(col)))
-    return c.agg((at(F.floor((F.col("__all") + 1) / 2)) + at(F.floor(F.col("__all") / 2) + 1)) / 2).scalar()
+    """The exact median of a whole column, from counts of distinct values; null if there are none."""
+    t, _, total = ranged(df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("__n")), [col], "__n")
+    upto = F.col("__base") + F.sum("__n").over(Window.partitionBy("__part").orderBy(col))
+    at = lambda place: F.min(F.when(F.col("__upto") >= place, F.col(col)))
+    return F.lit(t.withColumn("__upto", upto).agg((at((total + 1) // 2) + at(total // 2 + 1)) / 2).first()[0])
 
 
 def rank_auc(df: DataFrame, score: str, positive: Column, keys: list[str] | None = None) -> DataFrame:
@@ -127,19 +152,29 @@ def rank_auc(df: DataFrame, score: str, positive: Column, keys: list[str] | None
     return out.select(*keys, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("w") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"), "n_pos", "n_neg")
 
 
-def average_rank(df: DataFrame, col: str, out: str, keys: list[str] | None = None) -> DataFrame:
-    """Ranks with ties averaged, from counts of distinct values."""
+def average_rank(df: DataFrame, col: str, out: str, n: str, keys: list[str] | None = None) -> DataFrame:
+    """``keys, col, out``: the rank of each value with ties averaged, from counts ``n`` of rows."""
     keys = keys or []
-    c = df.groupBy(*keys, col).agg(F.count("*").alias("__n"))
+    c = df.groupBy(*keys, col).agg(F.sum(n).alias("__n"))
     c = before(c, col, "__n", "__below", keys)
-    c = c.withColumn(out, F.col("__below") + (F.col("__n") + 1) / 2).drop("__n", "__below")
-    return df.join(c, [*keys, col])
+    return c.select(*keys, col, (F.col("__below") + (F.col("__n") + 1) / 2).alias(out))
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
+    """``rho, n``: the correlation of the ranks of ``x`` and ``y``, null where one of them never varies.
+
+    The rows are counted by their two values once; ranks are joined to the counts. The mean of the ranks of
+    n rows is ``(n + 1) / 2``, so the moments are centred as they are summed."""
     keys = keys or []
-    r = average_rank(average_rank(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, "__rx", keys), y, "__ry", keys)
-    return r.groupBy(*keys).agg(F.corr("__rx", "__ry").alias("rho"), F.count("*").alias("n"))
+    c = written(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count("*").alias("__k")), "pairs")
+    r = c.join(average_rank(c, x, "__rx", "__k", keys), [*keys, x]).join(average_rank(c, y, "__ry", "__k", keys), [*keys, y])
+    if keys:
+        r = r.withColumn("__all", F.sum("__k").over(Window.partitionBy(*keys)))
+    else:
+        r = r.withColumn("__all", F.lit(c.agg(F.sum("__k")).first()[0]).cast("long"))
+    dx, dy = (F.col(v) - (F.col("__all") + 1) / 2 for v in ("__rx", "__ry"))
+    sums = r.groupBy(*keys).agg(F.sum(F.col("__k") * dx * dy).alias("xy"), F.sum(F.col("__k") * dx * dx).alias("xx"), F.sum(F.col("__k") * dy * dy).alias("yy"), F.coalesce(F.sum("__k"), F.lit(0)).alias("n"))
+    return sums.select(*keys, F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"), "n")
 
 
 def histogram(df: DataFrame, col: str, bins: int, keys: list[str]) -> DataFrame:

@@ -35,6 +35,12 @@ class EvidenceTable:
         paths = [f"{self.path}/{kind}/version={v}" for v in versions]
         return self.spark.read.schema(COLUMNS).parquet(*paths) if paths else self.spark.createDataFrame([], COLUMNS)
 
+    def load(self, operations: DataFrame) -> int:
+        """Append a log of operations that brings its own versions along, as one version."""
+        version = self.version() + 1
+        operations.select("video_id", "stage_id", "payload", "op", "version").write.mode("overwrite").parquet(f"{self.path}/log/version={version}")
+        return version
+
     def _append(self, rows: DataFrame) -> int:
         version = self.version() + 1
         rows.withColumn("version", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{self.path}/log/version={version}")  # over what a failed job left

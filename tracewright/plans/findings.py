@@ -31,13 +31,16 @@ def replies(spark, sf):
     return e.select("event_id", raw.alias("raw"))
 
 
+SCORE = r"""TRY_CAST(nullif(regexp_extract(raw, '"suspicion_score"\s*:\s*(-?[0-9]*[.]?[0-9]+)', 1), '') AS DOUBLE)"""
+
+
 def _text_sql(name: str) -> str:
     return f"""coalesce(nullif(regexp_extract(raw, '"{name}"\\s*:\\s*"([^"]*)"', 1), ''), nullif(trim(regexp_extract(raw, '"{name}"\\s*:\\s*"([^"]+)$', 1)), ''))"""
 
 
 @query("reply_fields", rf"""
-SELECT event_id, TRY_CAST(nullif(regexp_extract(raw, '"suspicion_score"\s*:\s*(-?[0-9]*[.]?[0-9]+)', 1), '') AS DOUBLE) AS suspicion_score, {_text_sql('suspected_failure')} AS suspected_failure,
-  {_text_sql('explanation')} AS explanation, coalesce(TRY_CAST(nullif(regexp_extract(raw, '"confidence"\s*:\s*(-?[0-9]*[.]?[0-9]+)', 1), '') AS DOUBLE), 0) AS confidence FROM rs
+SELECT event_id, {SCORE} AS suspicion_score, {_text_sql('suspected_failure')} AS suspected_failure,
+  coalesce({_text_sql('explanation')}, CASE WHEN {SCORE} IS NOT NULL THEN 'recovered from truncated reply' ELSE 'unparseable: ' || left(raw, 120) END) AS explanation, coalesce(TRY_CAST(nullif(regexp_extract(raw, '"confidence"\s*:\s*(-?[0-9]*[.]?[0-9]+)', 1), '') AS DOUBLE), 0) AS confidence FROM rs
 """, REPLIES)
 def _(spark, sf):
     return PA.parse_reply(replies(spark, sf)).select("event_id", "suspicion_score", "suspected_failure", "explanation", "confidence")
@@ -104,7 +107,7 @@ def _(spark, sf):
 
 
 NORM = """nf AS (SELECT event_id, user_id // 10 AS video_id, event_type, CASE WHEN event_id % 3 = 0 THEN value / 100 END AS vlm_confidence, CASE WHEN event_id % 4 = 0 THEN value / 200 END AS confidence, CASE WHEN event_id % 5 != 0 THEN value / 50 END AS score, event_id % 7 AS t,
-  CASE WHEN event_id % 2 = 0 THEN event_id % 7 + 1 END AS t_end, CASE WHEN event_id % 3 = 1 THEN 'seen ' || event_type END AS explanation, CASE WHEN event_id % 3 = 2 THEN 'a ' || event_type END AS descr,
+  CASE WHEN event_id % 2 = 0 THEN event_id % 7 + 1 END AS t_end, CASE WHEN event_id % 3 = 1 THEN 'seen ' || event_type WHEN event_id % 6 = 2 THEN '' END AS explanation, CASE WHEN event_id % 3 = 2 THEN 'a ' || event_type END AS descr,
   CASE WHEN event_type = 'error' THEN 'consistent' WHEN event_type = 'click' THEN 'changed' END AS verdict, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS confirmed FROM events)"""
 
 
@@ -113,19 +116,20 @@ def raw_findings(spark, sf):
     m = lambda k: F.col("event_id") % k
     return e.select(
         "event_id", F.floor(F.col("user_id") / 10).cast("long").alias("video_id"), "event_type", F.when(m(3) == 0, F.col("value") / 100).alias("vlm_confidence"), F.when(m(4) == 0, F.col("value") / 200).alias("confidence"),
-        F.when(m(5) != 0, F.col("value") / 50).alias("score"), m(7).alias("t"), F.when(m(2) == 0, m(7) + 1).alias("t_end"), F.when(m(3) == 1, F.concat(F.lit("seen "), "event_type")).alias("explanation"), F.when(m(3) == 2, F.concat(F.lit("a "), "event_type")).alias("descr"),
+        F.when(m(5) != 0, F.col("value") / 50).alias("score"), m(7).alias("t"), F.when(m(2) == 0, m(7) + 1).alias("t_end"), F.when(m(3) == 1, F.concat(F.lit("seen "), "event_type")).when(m(6) == 2, "").alias("explanation"), F.when(m(3) == 2, F.concat(F.lit("a "), "event_type")).alias("descr"),
         F.when(F.col("event_type") == "error", "consistent").when(F.col("event_type") == "click", "changed").alias("verdict"), F.when(m(3) == 0, True).when(m(3) == 1, False).alias("confirmed"),
     )
 
 
 @query("finding_fields", """SELECT event_id, coalesce(verdict, event_type) AS kind, CASE WHEN verdict IS NOT NULL THEN verdict != 'consistent' ELSE coalesce(confirmed, true) END AS flagged, round(coalesce(vlm_confidence, confidence, score), 6) AS confidence,
-  t, coalesce(t_end, t) AS t_end, coalesce(explanation, descr, '') AS explanation FROM nf""", NORM)
+  t, coalesce(t_end, t) AS t_end, coalesce(nullif(explanation, ''), descr, '') AS explanation FROM nf""", NORM)
 def _(spark, sf):
     """One form for findings of two conventions: a verdict counts unless it is consistent, a violation unless
-    it was rejected; the surest confidence there is, the end defaults to the start."""
+    it was rejected; the surest confidence there is, the end defaults to the start, an empty explanation to the
+    description."""
     f = raw_findings(spark, sf)
     flagged = F.when(F.col("verdict").isNotNull(), F.col("verdict") != "consistent").otherwise(F.coalesce("confirmed", F.lit(True)))
-    return f.select("event_id", F.coalesce("verdict", "event_type").alias("kind"), flagged.alias("flagged"), F.round(F.coalesce("vlm_confidence", "confidence", "score"), 6).alias("confidence"), "t", F.coalesce("t_end", "t").alias("t_end"), F.coalesce("explanation", "descr", F.lit("")).alias("explanation"))
+    return f.select("event_id", F.coalesce("verdict", "event_type").alias("kind"), flagged.alias("flagged"), F.round(F.coalesce("vlm_confidence", "confidence", "score"), 6).alias("confidence"), "t", F.coalesce("t_end", "t").alias("t_end"), F.coalesce(F.nullif("explanation", F.lit("")), "descr", F.lit("")).alias("explanation"))
 
 
 SEVEN = """se AS (SELECT video_id, 'gravity' AS source, verdict AS kind, track_id, t0 AS t, round(score, 6) AS confidence FROM fv WHERE score > 0 AND verdict != 'float'

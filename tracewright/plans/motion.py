@@ -53,18 +53,9 @@ r AS (SELECT doc_id, quality, row_number() OVER (ORDER BY quality, doc_id) - 1 A
 SELECT doc_id, quality FROM r WHERE n <= 60 OR i IN (SELECT CASE WHEN k = 59 THEN n - 1 ELSE CAST(trunc(k * ((n - 1)::DOUBLE / 59)) AS BIGINT) END FROM (SELECT count(*) AS n FROM labels), (SELECT unnest(range(60)) AS k))
 """.strip())
 def _(spark, sf):
-    """60 rows evenly spaced over the order of (quality, id), as truncated steps. An order's place is the count
-    of the rows in the ranges before (an array of a few sums) and a rank within the range, so no task holds
-    all rows and nothing runs before the query does."""
-    labels = T.table(spark, sf, "labels").select("doc_id", "quality")
-    per = labels.groupBy("quality").agg(F.percentile_approx("doc_id", [k / 16 for k in range(1, 16)], 1000).alias("cuts"))
-    cuts = per.agg(F.collect_list(F.struct("quality", "cuts"))).scalar()
-    own = F.flatten(F.transform(F.filter("cuts", lambda c: c["quality"] == F.col("quality")), lambda c: c["cuts"]))
-    ranged = labels.withColumn("cuts", cuts).withColumn("range", F.struct("quality", F.size(F.filter(own, lambda c: c < F.col("doc_id"))).alias("k")))
-    sums = ranged.groupBy("range").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("range", "n"))).scalar()
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, s: x + s["n"])
-    below = total(F.filter("sums", lambda s: s["range"] < F.col("range")))
-    placed = ranged.withColumn("sums", sums).withColumns({"i": below + F.row_number().over(Window.partitionBy("range").orderBy("doc_id")) - 1, "n": total(F.col("sums"))})
+    """60 rows evenly spaced over the order of (quality, id), as truncated steps; the order is told by ranges, so
+    no task holds all rows."""
+    placed = S.numbered(T.table(spark, sf, "labels").select("doc_id", "quality"), ["quality", "doc_id"], "i", "n").withColumn("i", F.col("i") - 1)
     step = (F.col("n") - 1).cast("double") / 59
     picks = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda k: F.when(k == 59, F.col("n") - 1).otherwise((k * step).cast("long")))
     return placed.where((F.col("n") <= 60) | F.array_contains(picks, F.col("i"))).select("doc_id", "quality")
@@ -216,11 +207,12 @@ def _(spark, sf):
 
 
 def _savgol_sql() -> str:
-    def at(weights, first):
-        return "(" + " + ".join(f"{c} * " + ("x" if first + k == 0 else f"lead(x, {first + k}) {TW}" if first + k > 0 else f"lag(x, {-first - k}) {TW}") for k, c in enumerate(weights)) + ") / 42"
+    def at(weights, first, over=42):
+        return "(" + " + ".join(f"{c} * " + ("x" if first + k == 0 else f"lead(x, {first + k}) {TW}" if first + k > 0 else f"lag(x, {-first - k}) {TW}") for k, c in enumerate(weights)) + f") / {over}"
 
+    five = " ".join(f"WHEN n < 7 AND frame = {k} THEN {at(K.SAVGOL5[k], -k, 35)} WHEN n < 7 AND frame = n - {1 + k} THEN {at(K.SAVGOL5[k][::-1], k - 4, 35)}" for k in range(2))
     ends = " ".join(f"WHEN frame = {k} THEN {at(K.SAVGOL7[k], -k)} WHEN frame = n - {1 + k} THEN {at(K.SAVGOL7[k][::-1], k - 6)}" for k in range(3))
-    return f"SELECT video_id, track_id, frame, CASE WHEN n < 7 THEN x {ends} ELSE {at(K.SAVGOL7[3], -3)} END AS sx FROM (SELECT *, count(*) {PW} AS n FROM obs)"
+    return f"SELECT video_id, track_id, frame, CASE WHEN n < 5 THEN x {five} WHEN n < 7 THEN {at(K.SAVGOL5[2], -2, 35)} {ends} ELSE {at(K.SAVGOL7[3], -3)} END AS sx FROM (SELECT *, count(*) {PW} AS n FROM obs)"
 
 
 @query("smooth_savgol7", _savgol_sql(), T.OBS)
