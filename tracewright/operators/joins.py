@@ -47,12 +47,13 @@ def flag_near_events(points: DataFrame, events: DataFrame, keys: list[str], slac
 
 def nearest(points: DataFrame, others: DataFrame, keys: list[str], window: int, id_col: str) -> DataFrame:
     """For each point the nearest other frame at most ``window`` away (ties: the earlier one), as
-    ``near_frame``; null if none. ``id_col`` tells points apart."""
-    o = in_blocks(others.select(*keys, F.col("frame").alias("__o")).distinct(), F.col("__o") - window, F.col("__o") + window, max(window, 1))
+    ``near_frame``; null if none. ``id_col`` tells points apart; points equal in all columns are one."""
+    o = in_blocks(others.select(*keys, F.col("frame").alias("__o")), F.col("__o") - window, F.col("__o") + window, max(window, 1))
     p = points.withColumn("__block", F.floor(F.col("frame") / max(window, 1)).cast("long"))
-    hit = p.join(o, [*keys, "__block"]).where(F.abs(F.col("__o") - F.col("frame")) <= window)
-    best = hit.groupBy(*keys, id_col).agg(F.min_by("__o", F.abs(F.col("__o") - F.col("frame")) * 2 + (F.col("__o") > F.col("frame")).cast("long")).alias("near_frame"))
-    return points.join(best, [*keys, id_col], "left")
+    away = F.abs(F.col("__o") - F.col("frame"))
+    rank = F.when(away <= window, away * 2 + (F.col("__o") > F.col("frame")).cast("long"))
+    # Grouped with its block, a point stays in the partition where it met the others.
+    return p.join(o, [*keys, "__block"], "left").groupBy("__block", *points.columns).agg(F.min_by("__o", rank).alias("near_frame")).drop("__block")
 
 
 def prefer(first: DataFrame, second: DataFrame, key: str) -> DataFrame:

@@ -106,6 +106,7 @@ COAST = """brk AS (SELECT *, sum(CASE WHEN valid THEN 0 ELSE 1 END + CASE WHEN g
 COAST_VIEWS = (T.OBS, T.GRID, M.GKIN, COAST)
 
 
+@T.view("kin")
 def grid_kin(spark, sf):
     return K.kinematics(T.grid(spark, sf), T.track_window())
 
@@ -127,6 +128,7 @@ edge AS (SELECT * FROM (SELECT touch.*, r, lag(r) OVER (PARTITION BY touch.video
 EDGE_VIEWS = (T.OBS, T.GRID, M.PAIRS, M.IOU, TOUCH, EDGE)
 
 
+@T.view("touching")
 def touching(spark, sf, points=None, keep=(), near_px=6.0):
     """Pairs of boxes that overlap or lie within ``near_px``; ``points`` (default: the grid) may carry more columns."""
     p = J.track_pairs(T.grid(spark, sf) if points is None else points, ["x", "y", *keep])
@@ -134,6 +136,7 @@ def touching(spark, sf, points=None, keep=(), near_px=6.0):
     return p.where((F.col("iou") > 0) | (F.col("gap") <= near_px))
 
 
+@T.view("contacts")
 def contacts(spark, sf, near_px=6.0):
     return N.rising_edges(touching(spark, sf, near_px=near_px), T.grid(spark, sf), "video_id", ["track_a", "track_b"])
 

@@ -42,11 +42,15 @@ def _(spark, sf):
 
 @query("interpenetration", """
 n AS (SELECT a.video_id, a.frame, a.track_id AS track_a, b.track_id AS track_b, count(*) AS shared FROM pix a JOIN pix b ON a.video_id = b.video_id AND a.frame = b.frame AND a.px = b.px AND a.py = b.py AND a.track_id < b.track_id GROUP BY ALL),
-o AS (SELECT n.*, shared / least(p.area, q.area) AS raw FROM n JOIN shape p ON p.track_id = track_a AND p.frame = n.frame JOIN shape q ON q.track_id = track_b AND q.frame = n.frame)
-SELECT video_id, track_a, track_b, max(raw) AS peak, least(1, (max(raw) - 0.35::DOUBLE) / (1 - 0.35::DOUBLE) + 0.4::DOUBLE) AS score FROM o GROUP BY 1, 2, 3 HAVING max(raw) >= 0.35
+o AS (SELECT n.*, shared / least(p.area, q.area) AS raw FROM n JOIN shape p ON p.track_id = track_a AND p.frame = n.frame JOIN shape q ON q.track_id = track_b AND q.frame = n.frame),
+e AS (SELECT *, sum(new) OVER (PARTITION BY video_id, track_a, track_b ORDER BY frame) AS s FROM (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY video_id, track_a, track_b ORDER BY frame) > 48 THEN 1 ELSE 0 END AS new FROM o))
+SELECT video_id, track_a, track_b, min(frame) AS f_start, max(frame) AS f_end, arg_max(frame, (raw, -frame)) AS peak_frame, max(raw) AS peak, least(1, (max(raw) - 0.35::DOUBLE) / (1 - 0.35::DOUBLE) + 0.4::DOUBLE) AS score FROM e GROUP BY video_id, track_a, track_b, s HAVING max(raw) >= 0.35
 """, *PIX_VIEWS, SHAPE)
 def _(spark, sf):
-    o = K.mask_overlap(pixels(spark, sf)).groupBy("video_id", "track_a", "track_b").agg(F.max("overlap").alias("peak")).where("peak >= 0.35")
+    """Deep overlap within an episode of overlapping masks (apart by two seconds from the next)."""
+    from tracewright.operators.sessions import episodes
+
+    o = episodes(K.mask_overlap(pixels(spark, sf)), ["video_id", "track_a", "track_b"], "overlap", F.lit(48)).where("peak >= 0.35").drop("n")
     return o.withColumn("score", F.least(F.lit(1.0), (F.col("peak") - 0.35) / (1 - 0.35) + 0.4))
 
 
@@ -131,7 +135,7 @@ def _(spark, sf):
 h AS (SELECT *, abs(vy) < 0.15::DOUBLE * max(abs(vy)) OVER (PARTITION BY video_id, track_id, run) AS slow FROM gk),
 r AS (SELECT *, k - row_number() OVER (PARTITION BY video_id, track_id, run ORDER BY k) AS isle FROM h WHERE slow),
 s AS (SELECT video_id, track_id, run, min(k) AS k0, max(k) AS k1, max(t) - min(t) AS hang FROM r GROUP BY video_id, track_id, run, isle)
-SELECT s.video_id, s.track_id, apex AS apex_k, hang FROM s JOIN apex a ON a.track_id = s.track_id AND a.run = s.run AND apex BETWEEN k0 AND k1 WHERE hang >= 0.35
+SELECT s.video_id, s.track_id, apex AS apex_k, hang, 0.6::DOUBLE AS score FROM s JOIN apex a ON a.track_id = s.track_id AND a.run = s.run AND apex BETWEEN k0 AND k1 WHERE hang >= 0.35
 """, T.OBS, T.GRID, P.FLIGHT, M.GKIN, P.APEX)
 def _(spark, sf):
     """Plateaus of nearly no vertical speed around a flight's apex."""
@@ -142,7 +146,7 @@ def _(spark, sf):
     g = g.withColumn("apex_k", F.min(F.when(top, F.col("k"))).over(seg)).where("apex_k IS NOT NULL AND slow")
     r = g.withColumn("isle", F.col("k") - F.row_number().over(seg.orderBy("k")))
     s = r.groupBy(*T.TRACK, "run", "isle", "apex_k").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), (F.max("t") - F.min("t")).alias("hang"))
-    return s.where("apex_k BETWEEN k0 AND k1 AND hang >= 0.35").select(*T.TRACK, "apex_k", "hang")
+    return s.where("apex_k BETWEEN k0 AND k1 AND hang >= 0.35").select(*T.TRACK, "apex_k", "hang", F.lit(0.6).alias("score"))
 
 
 @query("fluid_labels", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), 'water|milk|blue|steel|pour|liquid')")

@@ -10,7 +10,7 @@ from tracewright.plans import contacts as C
 from tracewright.plans import physics as P
 from tracewright.plans import reporting as R
 from tracewright.plans import violations as V
-from tracewright.plans.base import QUERIES, query
+from tracewright.plans.base import query
 from tracewright.sources import tables as T
 
 #: Replies in six shapes: whole, fenced, in prose, cut after a field, cut inside a string, without JSON.
@@ -142,28 +142,35 @@ SEVEN = """se AS (SELECT video_id, 'gravity' AS source, verdict AS kind, track_i
 SEVEN_VIEWS = tuple(dict.fromkeys((*P.PP_VIEWS, P.FLIGHT, P.FIT, P.VERDICT, C.COAST, P.SEG, V.REGION.split(",\nsplash")[0], C.EDGE, P.SELF, P.SELF_Z, P.EBC, P.REVS, P.SYNC, P.ANSWERS, P.RULES_FIRED, SEVEN)))
 
 
-@query("semantic_timeline", "SELECT video_id, source, count(*) AS n, count(t) AS timed, min(t) AS first_t, max(confidence) AS top, count(DISTINCT kind) AS kinds FROM se GROUP BY 1, 2", *SEVEN_VIEWS)
-def _(spark, sf):
-    """Findings of all seven specialists in one table, whole-clip ones without a time; here by source."""
+def findings(spark, sf):
+    """``video_id, source, kind, t, confidence``: the findings of all seven specialists, whole-clip ones without
+    a time. Kinematics, contacts and self motion are computed and written once; all else reads them."""
+    b = P.shared(spark, sf)
     cols = lambda df, source, kind, t, score: df.select("video_id", F.lit(source).alias("source"), kind.alias("kind"), t.cast("double").alias("t"), F.round(score, 6).alias("confidence"))
-    f = P.flight_verdict(P.flight_fits(spark, sf)).where("score > 0 AND verdict != 'float'")
-    g = T.grid(spark, sf).withColumn("before", F.lag("frame").over(T.track_window())).withColumn("gap", F.col("frame") - F.col("before")).where("gap > 24")
+    f = P.flight_verdict(P.flight_fits(spark, b)).where("score > 0 AND verdict != 'float'")
+    g = T.with_gaps(spark, b).where("gap > 24")
     e = F.abs("vy_out") / F.greatest(F.abs("vy_in"), F.lit(1e-6))
-    b = P.before_after(spark, sf).where("vy_in >= 2 AND vy_out <= -0.4").withColumn("e", e).where("e > 1.1")
-    k = C.grid_kin(spark, sf).where("accel > 100")
-    s = P.segments(spark, sf).where("expected != 'accelerate' AND slope_norm > 0.01")
-    r = V.region(spark, sf).where("div > 2")
-    c = P.causal_rules(spark, sf).where("said OR seen")
+    p = P.before_after(spark, b).where("vy_in >= 2 AND vy_out <= -0.4").withColumn("e", e).where("e > 1.1")
+    k = C.grid_kin(spark, b).where("accel > 100")
+    s = P.segments(spark, b).where("expected != 'accelerate' AND slope_norm > 0.01")
+    r = V.region(spark, b).where("div > 2")
+    c = P.causal_rules(spark, b).where("said OR seen")
     parts = [
         cols(f, "gravity", F.col("verdict"), F.col("t0"), F.col("score")), cols(g, "deformation", F.lit("vanish_gap"), F.col("before"), F.least(F.lit(1.0), F.col("gap") / 48.0)),
-        cols(b, "collision", F.lit("energy_gain"), F.col("f_start"), F.least(F.lit(1.0), F.col("e") - 1)), cols(k, "momentum", F.lit("jolt"), F.col("frame"), F.least(F.lit(1.0), F.col("accel") / 200)),
+        cols(p, "collision", F.lit("energy_gain"), F.col("f_start"), F.least(F.lit(1.0), F.col("e") - 1)), cols(k, "momentum", F.lit("jolt"), F.col("frame"), F.least(F.lit(1.0), F.col("accel") / 200)),
         cols(s, "friction", F.lit("self_acceleration"), F.col("t0"), P.clip01(F.col("slope_norm") / 0.02) * 0.85), cols(r, "fluid", F.lit("incompressibility"), F.col("frame"), 0.85 * P.clip01(F.col("div") / 4)),
         cols(c, "causality", F.col("rule"), F.lit(None), F.col("score")),
     ]
     u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy("video_id", "source").agg(F.count("*").alias("n"), F.count("t").alias("timed"), F.min("t").alias("first_t"), F.max("confidence").alias("top"), F.count_distinct("kind").alias("kinds"))
+    for part in parts[1:]:
+        u = u.unionByName(part)
+    return u
+
+
+@query("semantic_timeline", "SELECT video_id, source, count(*) AS n, count(t) AS timed, min(t) AS first_t, max(confidence) AS top, count(DISTINCT kind) AS kinds FROM se GROUP BY 1, 2", *SEVEN_VIEWS)
+def _(spark, sf):
+    """Findings of all seven specialists in one table; here by source."""
+    return findings(spark, sf).groupBy("video_id", "source").agg(F.count("*").alias("n"), F.count("t").alias("timed"), F.min("t").alias("first_t"), F.max("confidence").alias("top"), F.count_distinct("kind").alias("kinds"))
 
 
 LOGS = """lg AS (SELECT test, run_id, CASE WHEN status = 'running' THEN 'warn' WHEN status = 'error' THEN 'error' ELSE 'info' END AS level, 'run ' || CAST(run_id AS VARCHAR) AS text FROM tests WHERE NOT excluded)"""
@@ -267,12 +274,44 @@ def _(spark, sf):
     return j.select("video_id", "n_tracks", "labels", F.coalesce("n_markers", F.lit(0)).alias("n_markers"), F.coalesce("n_contacts", F.lit(0)).alias("n_contacts"), "top")
 
 
-@query("report_followups", """
-s AS (SELECT video_id, count(DISTINCT source) AS n, max(confidence) AS top, bool_or(source = 'causality') AS causal FROM se GROUP BY 1)
-SELECT video_id, n AS specialists, CASE WHEN n >= 5 THEN 'high' WHEN n >= 3 THEN 'medium' ELSE 'low' END AS level, array_to_string(list_filter([CASE WHEN top >= 0.9 THEN 'review' END, CASE WHEN causal THEN 'check_order' END, CASE WHEN n < 5 THEN 'run_more' END], lambda x: x IS NOT NULL), ',') AS actions FROM s
-""", *SEVEN_VIEWS)
+#: Tests of a video by type of event: those whose severity reaches 97 are included, an error may be among them.
+INCLUDED = """vt AS (SELECT user_id // 10 AS video_id, event_type AS test, max(value) / 2 AS severity, event_type = 'error' AS failed FROM events GROUP BY 1, 2),
+vi AS (SELECT v.video_id, count(test) AS included, coalesce(bool_or(failed), false) AS errors, max(severity) AS worst FROM (SELECT DISTINCT user_id // 10 AS video_id FROM events) v LEFT JOIN vt ON vt.video_id = v.video_id AND severity >= 49.2 GROUP BY 1)"""
+SPECIALISTS = ("deformation", "collision", "momentum", "friction", "fluid", "gravity", "causality")
+
+
+def included_tests(spark, sf):
+    e = T.table(spark, sf, "events").select(F.floor(F.col("user_id") / 10).cast("long").alias("video_id"), "event_type", "value")
+    t = e.groupBy("video_id", "event_type").agg((F.max("value") / 2).alias("severity"))
+    kept = F.col("severity") >= 49.2
+    return t.groupBy("video_id").agg(F.count_if(kept).alias("included"), F.max(kept & (F.col("event_type") == "error")).alias("errors"), F.max(F.when(kept, F.col("severity"))).alias("worst"))
+
+
+def report_rules(tests, findings):
+    """``level`` and ``actions`` of each video from its included tests (``included, errors, worst``) and the
+    sources of its specialists' ``findings``.
+
+    With findings the level is high from two specialists on, else medium; without, medium from two tests on,
+    else low. Five rules say what to do next: run a test, look into errors, look around severe events, run
+    more tests, run the specialists that have found nothing yet if none has.
+    """
+    f = findings.groupBy("video_id").agg(F.count_distinct("source").alias("specialists"))
+    j = tests.join(f, "video_id", "left").withColumn("specialists", F.coalesce("specialists", F.lit(0)))
+    none, some = F.col("specialists") == 0, F.col("included")
+    acts = F.array_compact(F.array(
+        F.when(some == 0, "run_a_test"), F.when(F.col("errors"), "inspect_errors"), F.when(F.col("worst") >= 50, "look_around_events"), F.when(some < 2, "run_more_tests"),
+        F.when(none, "run_specialists:" + ",".join(SPECIALISTS)),
+    ))
+    level = F.when(~none, F.when(F.col("specialists") >= 2, "high").otherwise("medium")).when(some < 2, "low").otherwise("medium")
+    return j.select("video_id", "included", "specialists", level.alias("level"), F.array_join(acts, ";").alias("actions"))
+
+
+@query("report_followups", f"""
+s AS (SELECT video_id, count(DISTINCT source) AS n FROM se WHERE confidence >= 0.9 GROUP BY 1), j AS (SELECT vi.*, coalesce(n, 0) AS n FROM vi LEFT JOIN s USING (video_id))
+SELECT video_id, included, n AS specialists, CASE WHEN n >= 2 THEN 'high' WHEN n = 1 THEN 'medium' WHEN included < 2 THEN 'low' ELSE 'medium' END AS level,
+  array_to_string(list_filter([CASE WHEN included = 0 THEN 'run_a_test' END, CASE WHEN errors THEN 'inspect_errors' END, CASE WHEN worst >= 50 THEN 'look_around_events' END, CASE WHEN included < 2 THEN 'run_more_tests' END, CASE WHEN n = 0 THEN 'run_specialists:{','.join(SPECIALISTS)}' END], lambda x: x IS NOT NULL), ';') AS actions FROM j
+""", *SEVEN_VIEWS, INCLUDED)
 def _(spark, sf):
-    """Confidence by how many specialists have something, and what to do next."""
-    t = QUERIES["semantic_timeline"](spark, sf).groupBy("video_id").agg(F.count("*").alias("n"), F.max("top").alias("top"), F.max(F.col("source") == "causality").alias("causal"))
-    acts = F.array_compact(F.array(F.when(F.col("top") >= 0.9, "review"), F.when(F.col("causal"), "check_order"), F.when(F.col("n") < 5, "run_more")))
-    return t.select("video_id", F.col("n").alias("specialists"), F.when(F.col("n") >= 5, "high").when(F.col("n") >= 3, "medium").otherwise("low").alias("level"), F.array_join(acts, ",").alias("actions"))
+    """How sure a video's report is and what to do next, by its tests and its specialists' sure findings."""
+    sure = findings(spark, sf).where("confidence >= 0.9").select("video_id", "source")
+    return report_rules(included_tests(spark, sf), sure)

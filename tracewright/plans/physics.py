@@ -13,6 +13,8 @@ from tracewright.plans import contacts as C
 from tracewright.plans import motion as M
 from tracewright.plans.base import mad_sql, query
 from tracewright.sources import tables as T
+from tracewright.sources.bindings import Derived
+from tracewright.sources.scratch import written
 
 GP = "OVER (PARTITION BY video_id, track_id)"
 GW = "OVER (PARTITION BY video_id, track_id ORDER BY frame)"
@@ -182,14 +184,40 @@ pp AS (SELECT video_id, track_id, partner_id, f_start, f_end, median(vx) FILTER
 PP_VIEWS = (*C.EPI_VIEWS, C.PART, M.GKIN, PREPOST)
 
 
+def around(kin):
+    """``kin`` with the velocities of the three samples before each (``pre``) and after it (``post``)."""
+    w = T.track_window()
+    return kin.withColumns({"pre": F.collect_list(F.struct("vx", "vy")).over(w.rowsBetween(-3, -1)), "post": F.collect_list(F.struct("vx", "vy")).over(w.rowsBetween(1, 3))})
+
+
+@T.view("touching")
+def moving_touches(spark, sf):
+    """Touching pairs with the velocities around each."""
+    return C.touching(spark, sf, around(C.grid_kin(spark, sf)).select(*T.TRACK, "frame", "x", "y", "pre", "post"), ("pre", "post"))
+
+
+def shared(spark, sf):
+    """``sf`` with its kinematics, contacts and model answers computed and written once, for plans of many
+    branches: one table of all that is ordered by track, one of touching pairs, one of contacts, one of answers."""
+    if isinstance(sf, Derived):
+        return sf
+    g = T.with_gaps(spark, sf)
+    kin = around(K.kinematics(turning(moving(g)), T.track_window()))
+    kin = written(kin, "kinematics")
+    b = Derived(sf, {"kin": kin, "self": kin, "grid": kin.select(*T.TRACK, "frame", "t", "x", "y")})
+    b.views["touching"] = written(C.touching(spark, b, kin.select(*T.TRACK, "frame", "x", "y", "pre", "post"), ("pre", "post")), "touching")
+    b.views["contacts"] = written(C.contacts(spark, b), "contacts")
+    b.views["answers"] = written(T.answers(spark, sf), "answers")
+    b.views["videos"] = kin.select("video_id")
+    return b
+
+
 def before_after(spark, sf):
     """Median velocities of the last three samples before and the first three after each episode.
 
     Each grid sample carries the three before and after it into the pairs, and an episode takes those of
     its first and last frame: grid and kinematics are computed once and nothing is joined back."""
-    w = T.track_window()
-    k = C.grid_kin(spark, sf).select(*T.TRACK, "frame", "x", "y", F.collect_list(F.struct("vx", "vy")).over(w.rowsBetween(-3, -1)).alias("pre"), F.collect_list(F.struct("vx", "vy")).over(w.rowsBetween(1, 3)).alias("post"))
-    s = N.sessionize(C.touching(spark, sf, k, ("pre", "post")), ["video_id", "track_a", "track_b"], "frame", F.lit(48))
+    s = N.sessionize(moving_touches(spark, sf), ["video_id", "track_a", "track_b"], "frame", F.lit(48))
     first, last = (lambda c: F.min_by(c, "frame").alias(c)), (lambda c: F.max_by(c, "frame").alias(c))
     e = s.groupBy("video_id", "track_a", "track_b", "session").agg(F.min("frame").alias("f_start"), F.max("frame").alias("f_end"), first("pre_a"), last("post_a"), first("pre_b"), last("post_b"))
     side = lambda x, y: F.struct(F.col(f"track_{x}").alias("track_id"), F.col(f"track_{y}").alias("partner_id"), "f_start", "f_end", F.col(f"pre_{x}").alias("pre"), F.col(f"post_{x}").alias("post"))
@@ -396,14 +424,19 @@ SELF_Z = mad_sql("sa", "dv", "video_id, track_id", "z", False)
 SPIKE_VIEWS = (T.OBS, T.GRID, SELF, SELF_Z)
 
 
-def self_motion(spark, sf):
+def moving(g):
     """Step velocities, the change of their size and its robust z-score."""
     w = T.track_window()
-    g = T.grid(spark, sf).withColumns({"sx": F.coalesce(F.col("x") - F.lag("x").over(w), F.lit(0.0)), "sy": F.coalesce(F.col("y") - F.lag("y").over(w), F.lit(0.0))})
+    g = g.withColumns({"sx": F.coalesce(F.col("x") - F.lag("x").over(w), F.lit(0.0)), "sy": F.coalesce(F.col("y") - F.lag("y").over(w), F.lit(0.0))})
     g = g.withColumn("sp", K.norm(F.col("sx"), F.col("sy"))).withColumn("dv", F.coalesce(F.abs(F.col("sp") - F.lag("sp").over(w)), F.lit(0.0)))
     return S.mad_z(g, "dv", T.TRACK, "z", strict=False)
 
 
+@T.view("self")
+def self_motion(spark, sf):
+    return moving(T.grid(spark, sf))
+
+
 @query("self_motion_signals", "SELECT video_id, track_id, frame, z FROM mz WHERE z > 3.5", *SPIKE_VIEWS)
 def _(spark, sf, z_threshold=3.5):
     return self_motion(spark, sf).where(F.col("z") > z_threshold).select(*T.TRACK, "frame", "z")
@@ -412,10 +445,18 @@ def _(spark, sf, z_threshold=3.5):
 REVS = f"""rev AS (SELECT * FROM (SELECT *, sx * lag(sx) {GW} + sy * lag(sy) {GW} AS d, lag(sp) {GW} AS bsp, greatest(1, 0.4::DOUBLE * coalesce(median(CASE WHEN sp > 0 THEN sp END) {GP}, 0)) AS fl FROM mz) WHERE d < 0 AND sp > fl AND bsp > fl)"""
 
 
-def reversals(spark, sf):
+def turning(g):
+    """What a reversal is told by: the product with the step before, that one's size, and the least size."""
     w, p = T.track_window(), T.track()
-    g = self_motion(spark, sf).withColumns({"d": F.col("sx") * F.lag("sx").over(w) + F.col("sy") * F.lag("sy").over(w), "bsp": F.lag("sp").over(w), "fl": F.greatest(F.lit(1.0), 0.4 * F.coalesce(F.median(F.when(F.col("sp") > 0, F.col("sp"))).over(p), F.lit(0.0)))})
-    return g.where("d < 0 AND sp > fl AND bsp > fl")
+    return g.withColumns({"d": F.col("sx") * F.lag("sx").over(w) + F.col("sy") * F.lag("sy").over(w), "bsp": F.lag("sp").over(w), "fl": F.greatest(F.lit(1.0), 0.4 * F.coalesce(F.median(F.when(F.col("sp") > 0, F.col("sp"))).over(p), F.lit(0.0)))})
+
+
+REVERSES = "d < 0 AND sp > fl AND bsp > fl"
+
+
+def reversals(spark, sf):
+    g = self_motion(spark, sf)
+    return (g if "bsp" in g.columns else turning(g)).where(REVERSES)
 
 
 @query("dot_reversals", "SELECT video_id, track_id, frame FROM rev", *SPIKE_VIEWS, REVS)
@@ -431,14 +472,14 @@ EBC_VIEWS = (*C.EDGE_VIEWS, SELF, SELF_Z, EBC)
 def effects_before_causes(spark, sf):
     """Contacts whose nearest acceleration spike within 12 frames leads by more than 3."""
     e = C.contacts(spark, sf)
-    c = e.select("video_id", "frame", F.col("track_a").alias("track_id")).unionByName(e.select("video_id", "frame", F.col("track_b").alias("track_id"))).distinct()
+    c = e.select("video_id", "frame", F.explode(F.array("track_a", "track_b")).alias("track_id"))
     n = J.nearest(c.withColumn("pid", F.col("frame")), self_motion(spark, sf).where("z > 3.5"), T.TRACK, 12, "pid")
     return n.where(F.col("near_frame") - F.col("frame") < -3)
 
 
 @query("effect_before_cause", "SELECT video_id, track_id, frame, near AS spike_frame FROM ebc WHERE near - frame < -3", *EBC_VIEWS)
 def _(spark, sf):
-    return effects_before_causes(spark, sf).select(*T.TRACK, "frame", F.col("near_frame").alias("spike_frame"))
+    return effects_before_causes(spark, shared(spark, sf)).select(*T.TRACK, "frame", F.col("near_frame").alias("spike_frame"))
 
 
 SYNC = """act AS (SELECT video_id, frame, count(*) AS n FROM grid GROUP BY 1, 2),
@@ -448,15 +489,16 @@ sync AS (SELECT * FROM syn s WHERE n_rev >= 2 AND n_rev / n_act >= 0.6 AND NOT E
 
 def sync_reversals(spark, sf):
     """Frames where most tracks reverse at once with no contact within four frames."""
-    active = T.grid(spark, sf).groupBy("video_id", "frame").agg(F.count("*").alias("n_act"))
-    r = reversals(spark, sf).groupBy("video_id", "frame").agg(F.count("*").alias("n_rev")).join(active, ["video_id", "frame"]).where("n_rev >= 2 AND n_rev / n_act >= 0.6")
+    g = self_motion(spark, sf)
+    g = g if "bsp" in g.columns else turning(g)
+    r = g.groupBy("video_id", "frame").agg(F.count_if(F.expr(REVERSES)).alias("n_rev"), F.count("*").alias("n_act")).where("n_rev >= 2 AND n_rev / n_act >= 0.6")
     hits = C.contacts(spark, sf).select("video_id", F.col("frame").alias("f_start"), F.col("frame").alias("f_end"))
     return J.near_events(r, hits, ["video_id"], 4, "left_anti")
 
 
 @query("sync_reversal", "SELECT video_id, frame, n_rev, n_act FROM sync", *C.EDGE_VIEWS, SELF, SELF_Z, REVS, SYNC)
 def _(spark, sf):
-    return sync_reversals(spark, sf).select("video_id", "frame", "n_rev", "n_act")
+    return sync_reversals(spark, shared(spark, sf)).select("video_id", "frame", "n_rev", "n_act")
 
 
 #: Rules in order: the type of event that stands for a model's answer, whether geometry answers too.
@@ -471,12 +513,16 @@ CAUSAL_VIEWS = (*EBC_VIEWS, REVS, SYNC, ANSWERS, RULES_FIRED)
 
 def causal_rules(spark, sf, fire_threshold=0.5):
     """Every rule of every video: a model's probability, the geometric events, the score and what fired."""
-    said = T.answers(spark, sf)
-    n = effects_before_causes(spark, sf).select("video_id", "track_id", "frame").distinct().groupBy("video_id").agg(F.count("*").alias("g")).withColumn("geom", F.lit("ebc"))
-    n = n.unionByName(sync_reversals(spark, sf).groupBy("video_id").agg(F.count("*").alias("g")).withColumn("geom", F.lit("sync")))
-    rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(t).alias("event_type"), F.lit(g or "none").alias("geom")) for r, t, g in CAUSAL])
-    v = T.videos(spark, sf).select("video_id", F.inline(rules)).join(said, ["video_id", "event_type"], "left").join(n, ["video_id", "geom"], "left")
-    g = F.coalesce("g", F.lit(0))
+    sf = shared(spark, sf)
+    none = F.lit(None)
+    row = lambda df, event=none, p=none, geom=none: df.select("video_id", event.cast("string").alias("event_type"), p.cast("double").alias("p"), geom.cast("string").alias("geom"))
+    rows = row(T.videos(spark, sf)).unionByName(row(T.answers(spark, sf), F.col("event_type"), F.col("p")))
+    rows = rows.unionByName(row(effects_before_causes(spark, sf), geom=F.lit("ebc"))).unionByName(row(sync_reversals(spark, sf), geom=F.lit("sync")))
+    # Everything about a video meets in one grouping; a rule picks its answer and its count from it.
+    counts = {geom: F.count_if(F.col("geom") == geom) for _, _, geom in CAUSAL if geom}
+    rules = [F.struct(F.lit(r).alias("rule"), F.max(F.when(F.col("event_type") == t, F.col("p"))).alias("p"), (counts[g] if g else F.lit(0).cast("long")).alias("g")) for r, t, g in CAUSAL]
+    v = rows.groupBy("video_id").agg(F.array(*rules).alias("rules")).select("video_id", F.inline("rules"))
+    g = F.col("g")
     score = F.greatest(F.coalesce("p", F.lit(0.0)), F.when(g > 0, 0.6 + F.least(F.lit(0.35), 0.1 * g)).otherwise(F.lit(0.0)))
     return v.select("video_id", "rule", "p", g.alias("g"), score.alias("score"), F.coalesce(F.col("p") >= fire_threshold, F.lit(False)).alias("said"), (g > 0).alias("seen"))
 

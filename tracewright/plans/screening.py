@@ -112,25 +112,25 @@ def _(spark, sf):
     return T.table(spark, sf, "events").groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 9).alias("mean"), F.median("value").alias("mid"), F.round(F.stddev_pop("value"), 9).alias("spread"))
 
 
-@query("path_length_filter", "SELECT video_id, track_id, round(sum(sqrt(dx*dx + dy*dy)), 6) AS path FROM steps GROUP BY 1, 2 HAVING sum(sqrt(dx*dx + dy*dy)) >= 0.10::DOUBLE * 100 * 40", T.OBS, M.STEPS)
-def _(spark, sf):
-    """Tracks that travel; the least path is a share of the frame's height over 40 frames' worth of samples."""
+@query("path_length_filter", "SELECT video_id, track_id, round(sum(sqrt(dx*dx + dy*dy)), 6) AS path FROM steps GROUP BY 1, 2 HAVING sum(sqrt(dx*dx + dy*dy)) >= 0.10::DOUBLE * 100", T.OBS, M.STEPS)
+def _(spark, sf, share=0.10):
+    """Tracks that travel; the least path is a share of the frame's height."""
     s = M.steps(spark, sf).groupBy(*T.TRACK).agg(F.sum(KN.norm(F.col("dx"), F.col("dy"))).alias("path"))
-    return s.where(F.col("path") >= 0.10 * T.HEIGHT * 40).select(*T.TRACK, F.round("path", 6).alias("path"))
+    return s.where(F.col("path") >= share * T.HEIGHT).select(*T.TRACK, F.round("path", 6).alias("path"))
 
 
 @query("instances_kept", """
-i AS (SELECT video_id, signal_type AS concept, track_id, count(*) AS n, avg(score) AS mean_score FROM sig GROUP BY 1, 2, 3), f AS (SELECT video_id, signal_type AS concept, count(DISTINCT frame) AS total FROM sig GROUP BY 1, 2)
-SELECT video_id, concept, track_id, n, round(mean_score, 6) AS mean_score FROM i JOIN f USING (video_id, concept) WHERE n >= greatest(2, CAST(trunc(0.1::DOUBLE * total) AS BIGINT)) AND mean_score >= 0.45 QUALIFY row_number() OVER (PARTITION BY video_id, concept ORDER BY n DESC, round(mean_score, 9) DESC, track_id) <= 6
+i AS (SELECT video_id, signal_type AS concept, track_id, count(*) AS n, avg(score) AS mean_score FROM sig GROUP BY 1, 2, 3), f AS (SELECT video_id, count(DISTINCT frame) AS total FROM sig GROUP BY 1)
+SELECT video_id, concept, track_id, n, round(mean_score, 6) AS mean_score FROM i JOIN f USING (video_id) WHERE n >= greatest(2, CAST(trunc(0.15::DOUBLE * total) AS BIGINT)) AND mean_score >= 0.45 QUALIFY row_number() OVER (PARTITION BY video_id, concept ORDER BY n DESC, round(mean_score, 9) DESC, track_id) <= 6
 """, T.OBS, T.SIG)
-def _(spark, sf):
-    """Instances of a concept seen often and surely enough, the six best of each."""
+def _(spark, sf, presence=0.15, least=0.45, most=6):
+    """Instances of a concept seen in enough of the video's frames and surely enough, the best of each."""
     s = T.signals(spark, sf).withColumnRenamed("signal_type", "concept")
-    total = s.groupBy("video_id", "concept").agg(F.count_distinct("frame").alias("total"))
-    i = s.groupBy("video_id", "concept", "track_id").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score")).join(total, ["video_id", "concept"])
-    i = i.where((F.col("n") >= F.greatest(F.lit(2), (0.1 * F.col("total")).cast("long"))) & (F.col("mean_score") >= 0.45))
+    total = s.groupBy("video_id").agg(F.count_distinct("frame").alias("total"))
+    i = s.groupBy("video_id", "concept", "track_id").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score")).join(total, "video_id")
+    i = i.where((F.col("n") >= F.greatest(F.lit(2), (presence * F.col("total")).cast("long"))) & (F.col("mean_score") >= least))
     w = Window.partitionBy("video_id", "concept").orderBy(F.desc("n"), F.desc(F.round("mean_score", 9)), "track_id")
-    return i.withColumn("rn", F.row_number().over(w)).where("rn <= 6").select("video_id", "concept", "track_id", "n", F.round("mean_score", 6).alias("mean_score"))
+    return i.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("video_id", "concept", "track_id", "n", F.round("mean_score", 6).alias("mean_score"))
 
 
 def picks(n, k: int, how=lambda x: x.cast("long")):
@@ -188,12 +188,12 @@ def _(spark, sf):
     return u.where(F.array_contains(picks(F.col("n"), 5), F.col("i"))).select(*K.FRAME)
 
 
-@query("mask_box", """SELECT video_id, track_id, frame, greatest(0, x0 - CAST(trunc((x1 - x0) * 0.25) AS BIGINT)) AS bx0, greatest(0, y0 - CAST(trunc((y1 - y0) * 0.25) AS BIGINT)) AS by0,
-  least(100, x1 + CAST(trunc((x1 - x0) * 0.25) AS BIGINT) + 1) AS bx1, least(100, y1 + CAST(trunc((y1 - y0) * 0.25) AS BIGINT) + 1) AS by1 FROM shape WHERE x1 - x0 >= 6 AND y1 - y0 >= 6""", *X.PIX_VIEWS, X.SHAPE)
-def _(spark, sf):
-    """The padded box of a mask inside the frame; none for a sliver under six pixels."""
-    s = K.mask_shape(X.pixels(spark, sf)).where("x1 - x0 >= 6 AND y1 - y0 >= 6")
-    pad = lambda a, b: ((F.col(b) - F.col(a)) * 0.25).cast("long")
+@query("mask_box", """SELECT video_id, track_id, frame, greatest(0, x0 - CAST(trunc((x1 - x0) * 0.08::DOUBLE) AS BIGINT)) AS bx0, greatest(0, y0 - CAST(trunc((y1 - y0) * 0.08::DOUBLE) AS BIGINT)) AS by0,
+  least(100, x1 + CAST(trunc((x1 - x0) * 0.08::DOUBLE) AS BIGINT) + 1) AS bx1, least(100, y1 + CAST(trunc((y1 - y0) * 0.08::DOUBLE) AS BIGINT) + 1) AS by1 FROM shape WHERE x1 - x0 >= 8 AND y1 - y0 >= 8""", *X.PIX_VIEWS, X.SHAPE)
+def _(spark, sf, pad_share=0.08, min_px=8):
+    """The padded box of a mask inside the frame; none for a sliver."""
+    s = K.mask_shape(X.pixels(spark, sf)).where((F.col("x1") - F.col("x0") >= min_px) & (F.col("y1") - F.col("y0") >= min_px))
+    pad = lambda a, b: ((F.col(b) - F.col(a)) * pad_share).cast("long")
     low, high = (lambda a, b: F.greatest(F.lit(0), F.col(a) - pad(a, b))), (lambda a, b: F.least(F.lit(100), F.col(b) + pad(a, b) + 1))
     return s.select(*K.FRAME, low("x0", "x1").alias("bx0"), low("y0", "y1").alias("by0"), high("x0", "x1").alias("bx1"), high("y0", "y1").alias("by1"))
 
@@ -202,20 +202,19 @@ SHARED = """ov AS (SELECT a.video_id, a.frame, a.track_id AS track_a, b.track_id
 
 
 @query("mean_mask_iou", """
-tr AS (SELECT DISTINCT video_id, track_id FROM shape), al AS (SELECT a.video_id, a.track_id AS track_a, b.track_id AS track_b FROM tr a JOIN tr b ON a.video_id = b.video_id AND a.track_id < b.track_id),
 fr AS (SELECT p.video_id, p.track_id AS track_a, q.track_id AS track_b, coalesce(shared / (p.area + q.area - shared), 0) AS iou FROM shape p JOIN shape q ON p.video_id = q.video_id AND p.frame = q.frame AND p.track_id < q.track_id LEFT JOIN ov o ON o.video_id = p.video_id AND o.frame = p.frame AND o.track_a = p.track_id AND o.track_b = q.track_id),
 g AS (SELECT video_id, track_a, track_b, avg(iou) AS m, count(*) AS n FROM fr GROUP BY 1, 2, 3)
-SELECT video_id, track_a, track_b, coalesce(n, 0) AS n_shared, round(coalesce(m, 0), 9) AS iou FROM al LEFT JOIN g USING (video_id, track_a, track_b)
+SELECT video_id, track_a, track_b, n AS n_shared, round(m, 9) AS iou FROM g
 """, *X.PIX_VIEWS, X.SHAPE, SHARED)
 def _(spark, sf):
-    """Of every two tracks of a video the mean IoU over the frames that show both, 0 without one."""
+    """Of every two tracks with a common frame the mean IoU over the frames that show both. A pair without one
+    is not listed: its IoU is 0 by rule."""
     p = X.pixels(spark, sf)
     both = J.track_pairs(K.mask_shape(p), ["area"]).select("video_id", "frame", "track_a", "track_b")
     key = ["video_id", "frame", "track_a", "track_b"]
     each = both.join(K.mask_overlap(p).select(*key, "iou"), key, "left")
     g = each.groupBy("video_id", "track_a", "track_b").agg(F.count("*").alias("n"), F.avg(F.coalesce("iou", F.lit(0.0))).alias("m"))
-    every = J.track_pairs(T.grid(spark, sf).select(*T.TRACK).distinct(), [], ("video_id",))
-    return every.join(g, ["video_id", "track_a", "track_b"], "left").select("video_id", "track_a", "track_b", F.coalesce("n", F.lit(0)).alias("n_shared"), F.round(F.coalesce("m", F.lit(0.0)), 9).alias("iou"))
+    return g.select("video_id", "track_a", "track_b", F.col("n").alias("n_shared"), F.round("m", 9).alias("iou"))
 
 
 @query("dilated_contact", """
@@ -235,16 +234,36 @@ def _(spark, sf):
     return grown.select("video_id", "frame", "track_a", "track_b", F.round(F.col("shared") / F.least("area_a", "area_b"), 9).alias("contact"))
 
 
-@query("box_border_predicates", "SELECT video_id, track_id, frame, x - 5 < 2 OR y - 5 < 2 OR x + 5 > 98 OR y + 5 > 98 AS box_at_border, least(y + 5, 100) >= 93 AS near_floor, round(80 / 120.0::DOUBLE, 12) AS iou_any FROM grid", T.OBS, T.GRID)
+@query("box_border_predicates", "SELECT video_id, track_id, frame, x - 5 < 2 OR y - 5 < 2 OR x + 5 > 98 OR y + 5 > 98 AS box_at_border, least(y + 5, 100) >= 93 AS near_floor FROM grid", T.OBS, T.GRID)
 def _(spark, sf):
-    """A box within two hundredths of the edge, a lowest point near the floor, and overlap with itself moved
-    by a fifth of its width under the variant that asks for any union at all."""
+    """A box within two hundredths of the edge, and a lowest point near the floor."""
     g = T.grid(spark, sf)
     edge = (F.col("x") - 5 < 2) | (F.col("y") - 5 < 2) | (F.col("x") + 5 > 98) | (F.col("y") + 5 > 98)
-    from tracewright.functions.geometry import box_around, box_iou
+    return g.select(*T.TRACK, "frame", edge.alias("box_at_border"), (F.least(F.col("y") + 5, F.lit(100.0)) >= 93).alias("near_floor"))
+
+
+@query("mask_near_floor", "SELECT video_id, track_id, frame, y1 >= 93 AS near_floor, round(y1 / 100.0::DOUBLE, 6) AS bottom FROM shape", *X.PIX_VIEWS, X.SHAPE)
+def _(spark, sf):
+    """Masks whose lowest pixel is in the last seven hundredths of the frame."""
+    s = K.mask_shape(X.pixels(spark, sf))
+    return s.select(*K.FRAME, (F.col("y1") >= 0.93 * T.HEIGHT).alias("near_floor"), F.round(F.col("y1") / T.HEIGHT, 6).alias("bottom"))
+
+
+#: Boxes of sizes of their own, thinner than any tolerance for some: a fifth of the numbers wide and high.
+THIN = """tb AS (SELECT video_id, frame, track_id, x AS x0, y AS y0, x + (track_id % 5) * 1e-4 AS x1, y + 10 AS y1 FROM grid),
+tp AS (SELECT a.video_id, a.frame, a.track_id AS track_a, b.track_id AS track_b, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS inter,
+  (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS areas FROM tb a JOIN tb b ON a.video_id = b.video_id AND a.frame = b.frame AND a.track_id < b.track_id)"""
+
+
+@query("pair_box_iou_any", "SELECT video_id, frame, track_a, track_b, round(CASE WHEN inter > 0 AND areas - inter > 0 THEN inter / (areas - inter) ELSE 0 END, 6) AS iou_any, round(CASE WHEN areas - inter > 1e-6 THEN inter / (areas - inter) ELSE 0 END, 6) AS iou FROM tp", T.OBS, T.GRID, THIN)
+def _(spark, sf):
+    """Overlap of very thin boxes under both rules: any union at all, and one above a tolerance."""
+    from tracewright.functions.geometry import box_iou
 
-    half = box_iou(box_around(F.lit(0.0), F.lit(0.0)), box_around(F.lit(2.0), F.lit(0.0)), least_union=0.0)
-    return g.select(*T.TRACK, "frame", edge.alias("box_at_border"), (F.least(F.col("y") + 5, F.lit(100.0)) >= 93).alias("near_floor"), F.round(half, 12).alias("iou_any"))
+    g = T.grid(spark, sf).select(*T.TRACK, "frame", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + (F.col("track_id") % 5) * F.lit(1e-4)).alias("x1"), (F.col("y") + 10).alias("y1"))
+    p = J.track_pairs(g, ["x0", "y0", "x1", "y1"])
+    a, b = (tuple(F.col(f"{c}_{s}") for c in ("x0", "y0", "x1", "y1")) for s in "ab")
+    return p.select("video_id", "frame", "track_a", "track_b", F.round(box_iou(a, b, least_union=0.0), 6).alias("iou_any"), F.round(box_iou(a, b), 6).alias("iou"))
 
 
 @query("nearest_mask_frame", """

@@ -77,27 +77,30 @@ def _(spark, sf):
 
 
 @query("hover", """
-h AS (SELECT *, speed > 0.5::DOUBLE * median(speed) OVER (PARTITION BY video_id, track_id) AS moving, row_number() OVER (PARTITION BY video_id, track_id ORDER BY frame) AS pos FROM kin WHERE track_id % 2 = 0),
+h AS (SELECT *, speed > greatest(1, 0.15::DOUBLE * quantile_cont(speed, 0.75) OVER (PARTITION BY video_id, track_id)) AS moving, row_number() OVER (PARTITION BY video_id, track_id ORDER BY frame) AS pos FROM kin WHERE track_id % 2 = 0),
 r AS (SELECT *, pos - row_number() OVER (PARTITION BY video_id, track_id ORDER BY frame) AS run FROM h WHERE NOT moving AND y < 90)
-SELECT video_id, track_id, min(t) AS t0, max(t) AS t1, round(least(0.85, 0.45::DOUBLE + 0.15::DOUBLE * (max(t) - min(t)) / 24), 6) AS score FROM r GROUP BY video_id, track_id, run HAVING count(*) >= 3 AND max(t) - min(t) >= 24
+SELECT video_id, track_id, min(t) AS t0, max(t) AS t1, round(least(0.85, 0.45::DOUBLE + 0.15::DOUBLE * (max(t) - min(t)) / 24), 6) AS score FROM r GROUP BY video_id, track_id, run HAVING count(*) >= 4 AND max(t) - min(t) >= 24
 """, T.OBS, T.GRID, M.GKIN)
 def _(spark, sf):
-    """Named tracks (even ids here) that stay put off the floor for long."""
-    k = C.grid_kin(spark, sf).where("track_id % 2 = 0").withColumn("moving", F.col("speed") > 0.5 * F.median("speed").over(T.track()))
-    r = N.islands(k, T.TRACK, ~F.col("moving") & (F.col("y") < 90)).groupBy(*SEG).agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count("*").alias("n")).where("n >= 3 AND t1 - t0 >= 24")
+    """Named tracks (even ids here) that stay put off the floor for long: four samples or more no faster than a
+    share of the speed that three quarters of the samples stay under."""
+    k = C.grid_kin(spark, sf).where("track_id % 2 = 0").withColumn("moving", F.col("speed") > F.greatest(F.lit(1.0), 0.15 * F.percentile("speed", 0.75).over(T.track())))
+    r = N.islands(k, T.TRACK, ~F.col("moving") & (F.col("y") < 90)).groupBy(*SEG).agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count("*").alias("n")).where("n >= 4 AND t1 - t0 >= 24")
     return r.select(*T.TRACK, "t0", "t1", F.round(F.least(F.lit(0.85), 0.45 + 0.15 * (F.col("t1") - F.col("t0")) / P.HOVER), 6).alias("score"))
 
 
 @query("corroboration", """
-SELECT f.video_id, f.track_id, f.t0, count(*) AS n_flags, round(least(1, f.score + 0.1::DOUBLE), 6) AS score FROM fv f JOIN gz g ON g.track_id = f.track_id AND g.t BETWEEN f.t0 AND f.t1 WHERE f.score > 0 GROUP BY f.video_id, f.track_id, f.t0, f.score
-""", *P.FIT_VIEWS, P.VERDICT, M.GKIN, C.GFLAG)
+u AS (SELECT track_id, t FROM gz UNION ALL SELECT track_id, t FROM rev)
+SELECT f.video_id, f.track_id, f.t0, count(*) AS n_flags, round(least(1, f.score + 0.1::DOUBLE), 3) AS score FROM fv f JOIN u g ON g.track_id = f.track_id AND g.t BETWEEN f.t0 AND f.t1 WHERE f.score > 0 AND verdict != 'float' GROUP BY f.video_id, f.track_id, f.t0, f.score
+""", *P.FIT_VIEWS, P.VERDICT, M.GKIN, C.GFLAG, P.SELF, P.SELF_Z, P.REVS)
 def _(spark, sf):
-    """Flags inside a suspicious segment lift its own score once; they meet by track and day."""
-    f = P.flight_verdict(P.flight_fits(spark, sf)).where("score > 0").select(*T.TRACK, "t0", "t1", "score")
+    """Flags of acceleration or reversal inside a segment with a violation (a float is none yet) lift its own
+    score once; they meet by track and day."""
+    f = P.flight_verdict(P.flight_fits(spark, sf)).where("score > 0 AND verdict != 'float'").select(*T.TRACK, "t0", "t1", "score")
     f = J.in_blocks(f, F.col("t0"), F.col("t1"), 24)
-    g = C.grid_kin(spark, sf).where("accel > 40").select(*T.TRACK, "t", F.floor(F.col("t") / 24).cast("long").alias("__block"))
+    g = C.grid_kin(spark, sf).where("accel > 40").select(*T.TRACK, "t").unionByName(P.reversals(spark, sf).select(*T.TRACK, "t")).withColumn("__block", F.floor(F.col("t") / 24).cast("long"))
     j = f.join(g, [*T.TRACK, "__block"]).where("t BETWEEN t0 AND t1")
-    return j.groupBy(*T.TRACK, "t0", "score").agg(F.count("*").alias("n_flags")).select(*T.TRACK, "t0", "n_flags", F.round(F.least(F.lit(1.0), F.col("score") + 0.1), 6).alias("score"))
+    return j.groupBy(*T.TRACK, "t0", "score").agg(F.count("*").alias("n_flags")).select(*T.TRACK, "t0", "n_flags", F.round(F.least(F.lit(1.0), F.col("score") + 0.1), 3).alias("score"))
 
 
 @query("severity_caps", f"""
@@ -252,10 +255,10 @@ def slope(value: str, at: str, over: Window):
 def velocity_field(kin):
     """``video_id, frame, cx, cy, u, v, d``: each cell's mean velocity and the field's divergence there.
 
-    Dealt by video and frame once; cells, differences along rows and columns, and whatever is grouped by frame
-    afterwards stay in that partitioning."""
+    Dealt by video once; cells, differences along rows and columns, and whatever is grouped by frame or
+    ordered in a video afterwards stay in that partitioning."""
     at = lambda c: F.floor(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(99.0)) / CELL).cast("long")
-    cells = kin.select("video_id", "frame", at("x").alias("cx"), at("y").alias("cy"), "vx", "vy").repartition("video_id", "frame").groupBy("video_id", "frame", "cx", "cy").agg(F.avg("vx").alias("u"), F.avg("vy").alias("v"))
+    cells = kin.select("video_id", "frame", at("x").alias("cx"), at("y").alias("cy"), "vx", "vy").repartition("video_id").groupBy("video_id", "frame", "cx", "cy").agg(F.avg("vx").alias("u"), F.avg("vy").alias("v"))
     row, column = Window.partitionBy("video_id", "frame", "cy").orderBy("cx"), Window.partitionBy("video_id", "frame", "cx").orderBy("cy")
     return cells.withColumn("d", slope("u", "cx", row) + slope("v", "cy", column))
 
@@ -289,6 +292,7 @@ SELECT video_id, frame, near, CASE WHEN near IS NULL THEN 0.6::DOUBLE ELSE 0.7::
 """, *REGION_VIEWS)
 def _(spark, sf):
     """Bursts of the flow with nothing that hits the fluid near them, or only afterwards."""
+    sf = P.shared(spark, sf)
     s = splashes(region(spark, sf)).select("video_id", "frame").withColumn("pid", F.col("frame"))
     n = J.nearest(s, C.contacts(spark, sf).select("video_id", "frame"), ["video_id"], 6, "pid").where("near_frame IS NULL OR near_frame - frame > 0.1")
     return n.select("video_id", "frame", F.col("near_frame").alias("near"), F.when(F.col("near_frame").isNull(), 0.6).otherwise(0.7).alias("score"))
@@ -300,6 +304,7 @@ SELECT video_id, frame, round(0.75::DOUBLE * {clip_sql('jump / 4')}, 6) AS score
 """, *REGION_VIEWS)
 def _(spark, sf, tolerance=2.0):
     """Jumps of the bulk flow that no splash nearby and no contact at the time explains."""
+    sf = P.shared(spark, sf)
     r = region(spark, sf)
     at = lambda df: df.select("video_id", F.col("frame").alias("f_start"), F.col("frame").alias("f_end"))
     free = J.near_events(r.where(F.col("jump") > tolerance), at(splashes(r)), ["video_id"], 6, "left_anti")

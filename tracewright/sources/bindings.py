@@ -58,6 +58,13 @@ def checked(name: str, df: DataFrame) -> DataFrame:
     return df.select(*columns).na.drop(subset=[c for c in required if not isinstance(wanted[c].dataType, (Y.ArrayType, Y.StructType))])
 
 
+class Derived:
+    """A source with views of it that were computed once, under their names; see ``tables.view``."""
+
+    def __init__(self, source, views: dict[str, DataFrame] | None = None) -> None:
+        self.source, self.views = source, views or {}
+
+
 class Bound:
     """Named DataFrames as a source of plans; names that are not canonical are handed out as they are."""
 

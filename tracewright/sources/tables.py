@@ -6,17 +6,41 @@ in ``props``; the frame is the place in time, ``t`` hours since the epoch.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.sources.bindings import Bound
+from tracewright.sources.bindings import Bound, Derived
 
 TRACK = ["video_id", "track_id"]
 #: Frame size of the observation space.
 WIDTH = HEIGHT = 100.0
 
 
+def plain(source):
+    """The source behind a derived one."""
+    return plain(source.source) if isinstance(source, Derived) else source
+
+
+def view(name: str):
+    """Marks a function of (spark, source, ...) as the view ``name``: a ``Derived`` source that holds it
+    answers from there."""
+
+    def mark(f):
+        @wraps(f)
+        def given(spark, source, *args, **kwargs):
+            if isinstance(source, Derived):
+                return source.views[name] if name in source.views else f(spark, source, *args, **kwargs)
+            return f(spark, source, *args, **kwargs)
+
+        return given
+
+    return mark
+
+
 def table(spark: SparkSession, sf_dir: str | Bound, name: str) -> DataFrame:
+    sf_dir = plain(sf_dir)
     if isinstance(sf_dir, Bound):
         return sf_dir.table(name)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,8 +58,10 @@ def hours(ts: str = "ts"):
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', CAST({ts} AS timestamp_ntz))") / F.lit(3.6e9)
 
 
+@view("observations")
 def observations(spark: SparkSession, sf_dir: str | Bound) -> DataFrame:
     """Partitioned by track, as all ordered work on it is: that work shuffles no more."""
+    sf_dir = plain(sf_dir)
     if isinstance(sf_dir, Bound):
         return sf_dir.observations()
     e = table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 10).cast("long").alias("video_id"), F.col("user_id").alias("track_id"), "ts", "event_id", "value", "props", "event_type")
@@ -52,9 +78,11 @@ OBS = """obs AS (
   FROM events)"""
 
 
+@view("grid")
 def grid(spark: SparkSession, sf_dir: str | Bound) -> DataFrame:
     """One observation for each track and hour (the earliest), so that tracks share frames; a user's
     observations have shared frames, of which each track keeps its earliest row."""
+    sf_dir = plain(sf_dir)
     if isinstance(sf_dir, Bound):
         before = F.lag("frame").over(Window.partitionBy(*TRACK).orderBy("frame", "t", "x", "y"))
         return sf_dir.observations().withColumn("before", before).where("before IS NULL OR before < frame").select(*TRACK, "frame", "t", "x", "y")
@@ -63,12 +91,21 @@ def grid(spark: SparkSession, sf_dir: str | Bound) -> DataFrame:
     return g.select("video_id", "track_id", F.col("hour").alias("frame"), "o.t", "o.x", "o.y")
 
 
+def with_gaps(spark: SparkSession, sf_dir: str | Bound) -> DataFrame:
+    """The grid with each row's frame ``before`` and the ``gap`` to it."""
+    if isinstance(sf_dir, Derived) and "kin" in sf_dir.views:
+        return sf_dir.views["kin"]
+    return grid(spark, sf_dir).withColumn("before", F.lag("frame").over(track_window())).withColumn("gap", F.col("frame") - F.col("before"))
+
+
 GRID = """grid AS (
   SELECT video_id, track_id, CAST(floor(t) AS BIGINT) AS frame, arg_min(t, frame) AS t, arg_min(x, frame) AS x, arg_min(y, frame) AS y
   FROM obs GROUP BY video_id, track_id, CAST(floor(t) AS BIGINT))"""
 
 
+@view("signals")
 def signals(spark: SparkSession, sf_dir: str | Bound) -> DataFrame:
+    sf_dir = plain(sf_dir)
     if isinstance(sf_dir, Bound):
         return sf_dir.signals()
     o = observations(spark, sf_dir)
@@ -78,22 +115,28 @@ def signals(spark: SparkSession, sf_dir: str | Bound) -> DataFrame:
 SIG = """sig AS (SELECT video_id, track_id, event_type AS signal_type, CAST(floor(t * 60) AS BIGINT) AS frame, t, x / 100 AS score FROM obs)"""
 
 
+@view("answers")
 def answers(spark: SparkSession, sf_dir: str | Bound) -> DataFrame:
     """``video_id, event_type, p``: a model's probability that a kind of event is in a video."""
+    sf_dir = plain(sf_dir)
     if isinstance(sf_dir, Bound):
         return sf_dir.answers()
     e = table(spark, sf_dir, "events").withColumn("video_id", F.floor(F.col("user_id") / 10).cast("long"))
     return e.groupBy("video_id", "event_type").agg(F.least(F.max_by("value", "event_id") / 100, F.lit(1.0)).alias("p"))
 
 
+@view("videos")
 def videos(spark: SparkSession, sf_dir: str | Bound) -> DataFrame:
     """Every video with an observation."""
+    sf_dir = plain(sf_dir)
     if isinstance(sf_dir, Bound):
         return sf_dir.observations().select("video_id").distinct()
     return table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 10).cast("long").alias("video_id")).distinct()
 
 
+@view("descriptors")
 def descriptors(spark: SparkSession, sf_dir: str | Bound) -> DataFrame:
+    sf_dir = plain(sf_dir)
     if isinstance(sf_dir, Bound):
         return sf_dir.descriptors()
     e = table(spark, sf_dir, "embeddings")
@@ -119,9 +162,11 @@ SERIES = """series AS (
   FROM lineitem GROUP BY 1, 2, 4)"""
 
 
+@view("tests")
 def tests(spark: SparkSession, sf_dir: str | Bound) -> DataFrame:
     """Orders as test results: region is the stage, nation the test; of a user's own, those not said to be
     excluded are included."""
+    sf_dir = plain(sf_dir)
     if isinstance(sf_dir, Bound):
         return sf_dir.table("tests").withColumn("excluded", F.coalesce("excluded", F.lit(False)))
     o, c, n, r = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation", "region"))
