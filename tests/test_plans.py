@@ -8,7 +8,7 @@ from tracewright.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 #: Folds whose state hands on from frame to frame: one pass in order, in Python.
-FOLDS = {"particle_points", "particle_paths", "particle_arcs"}
+FOLDS = {"particle_points", "particle_paths", "particle_arcs", "evidence_shelf"}
 ALL_ROWS = re.compile(r"Window \[[^\n]*\n[^\n]*(Sort [^\n]*\n[^\n]*)?Exchange SinglePartition")
 
 
@@ -20,12 +20,25 @@ def test_no_nested_loops(spark, name):
     assert not ALL_ROWS.search(plan), "a window over all rows meets in one task"
 
 
-@pytest.mark.parametrize("name,most", [("restitution", 3), ("contact_gating", 5), ("near_event_semi", 5), ("near_event_anti", 5), ("coherence_corr", 4)])
+@pytest.mark.parametrize("name,most", [("restitution", 3), ("contact_gating", 5), ("near_event_semi", 5), ("near_event_anti", 5), ("coherence_corr", 4), ("semantic_timeline", 10), ("report_followups", 12), ("causality_rules", 4), ("causality_severity", 4), ("effect_before_cause", 1), ("sync_reversal", 2),
+    ("splash_timing", 1), ("flow_discontinuity", 2), ("incompressibility", 2), ("rank_auc", 2), ("spearman", 4), ("median_split_auc", 2), ("mean_mask_iou", 9), ("event_clip_index", 3), ("evidence_state", 3), ("smooth_short", 1)])
 def test_exchanges(spark, name, most):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= most, plan.count("Exchange hashpartitioning")
 
 
+@pytest.mark.parametrize("name", ["rank_auc", "spearman", "median_split_auc"])
+def test_rank_statistics_read_little(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 4
+
+
+def test_shared_tables_are_computed_once(spark):
+    """All branches of the findings read the written tables; none goes back to the events."""
+    plan = catalog.QUERIES["semantic_timeline"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "events.parquet" not in plan and plan.count("FileScan") <= 12
+
+
 def test_pushdown(spark):
     plan = catalog.QUERIES["scan_project_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(value,50.0)" in plan and "props" not in plan
