@@ -91,7 +91,7 @@ def held(operations: DataFrame) -> DataFrame:
     """``video_id, stage_id, payload, version``: the last payload put for each stage, if neither its video nor
     everything has been cleared since. ``operations`` have ``op`` and an order, ``version``."""
     cleared = operations.where("op = 'clear'").groupBy("video_id").agg(F.max("version").alias("cleared"))
-    everything = operations.where("op = 'clear_all'").agg(F.max("version").alias("all_cleared"))  # one row
+    everything = operations.where("op = 'clear_all'").agg(F.max("version")).scalar()
     last = operations.where("op = 'put'").groupBy("video_id", "stage_id").agg(F.max_by("payload", "version").alias("payload"), F.max("version").alias("version"))
-    j = last.join(cleared, "video_id", "left").withColumn("one", F.lit(1)).join(F.broadcast(everything.withColumn("one", F.lit(1))), "one")
-    return j.where("version > greatest(coalesce(cleared, -1), coalesce(all_cleared, -1))").select("video_id", "stage_id", "payload", "version")
+    j = last.join(cleared, "video_id", "left").where(F.col("version") > F.coalesce("cleared", F.lit(-1)))
+    return j.where(F.col("version") > F.coalesce(everything, F.lit(-1))).select("video_id", "stage_id", "payload", "version")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import parsing as PA
 from tracewright.operators import evidence_table as E
+from tracewright.operators import planner as N
 from tracewright.operators import results as R
 from tracewright.operators import shelf as H
 from tracewright.plans.base import query
@@ -129,3 +130,24 @@ def _(spark, sf):
     for i, s in enumerate(shapes):
         raw = F.when(F.col("event_id") % 6 == i, s).otherwise(raw)
     return T.table(spark, sf, "events").select("event_id", PA.reply_text(raw).alias("text"))
+
+
+#: What each video has, and what a model said of it: enough, a list with strangers, no list, no JSON, nothing.
+PLANS = """vid AS (SELECT DISTINCT user_id // 10 AS v FROM events),
+have AS (SELECT DISTINCT user_id // 10 AS v, CASE event_type WHEN 'click' THEN 'object_tracker' WHEN 'view' THEN 'event_localizer' WHEN 'signup' THEN 'trajectory_extractor' ELSE event_type END AS stage FROM events WHERE value > 97),
+need AS (SELECT * FROM (VALUES (1, 'object_tracker'), (2, 'trajectory_extractor'), (3, 'event_localizer')) t(i, stage)),
+lack AS (SELECT v, string_agg(stage, ',' ORDER BY i) AS run FROM vid, need WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.v = vid.v AND h.stage = need.stage) GROUP BY 1)"""
+
+
+@query("evidence_plans", "SELECT CAST(vid.v AS VARCHAR) AS video_id, CASE vid.v % 5 WHEN 0 THEN '' WHEN 1 THEN 'object_tracker,event_localizer' ELSE coalesce(run, '') END AS run, CASE vid.v % 5 WHEN 0 THEN 'sufficient' WHEN 1 THEN 'told' ELSE 'fallback' END AS how FROM vid LEFT JOIN lack ON lack.v = vid.v", PLANS)
+def _(spark, sf):
+    """What must run for each video, as a model said or by the rules."""
+    e = T.table(spark, sf, "events").select(F.floor(F.col("user_id") / 10).cast("long").alias("v"), "event_type", "value")
+    stage = F.when(F.col("event_type") == "click", "object_tracker").when(F.col("event_type") == "view", "event_localizer").when(F.col("event_type") == "signup", "trajectory_extractor").otherwise(F.col("event_type"))
+    held = e.where("value > 97").select(F.col("v").cast("string").alias("video_id"), stage.alias("stage_id"))
+    videos = e.select(F.col("v").cast("string").alias("video_id"), "v").distinct()
+    shape = F.col("v") % 5
+    raw = F.when(shape == 0, '{"sufficient": true, "run": ["object_tracker"]}').when(shape == 1, '{"run": ["event_localizer", "somebody", "object_tracker", "object_tracker"]}').when(shape == 2, '{"run": "object_tracker"}').when(shape == 3, "no idea")
+    replies = videos.where(shape < 4).select("video_id", raw.alias("raw"))
+    p = N.planned(videos, held, ["event_localizer", "object_tracker", "trajectory_extractor"], "agent", replies)
+    return p.select("video_id", F.array_join("run", ",").alias("run"), "how")
