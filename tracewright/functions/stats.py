@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tracewright.sources.scratch import written
@@ -100,12 +102,13 @@ def ranged(df: DataFrame, order: list[str], n: str | None = None) -> tuple[DataF
     ``df`` is computed once. The number of ranges follows its rows; a row a range comes to the driver.
     """
     size = F.count(F.lit(1)) if n is None else F.sum(n)
-    t = written(df, "ordered")
-    rows, total = t.agg(F.count(F.lit(1)), size).first()
+    seen = Observation(f"ordered-{uuid.uuid4().hex}")  # counted as the table is written
+    t = written(df.observe(seen, F.count(F.lit(1)).alias("rows"), size.alias("total")).withColumns({"__part": F.lit(0), "__base": F.lit(0).cast("long")}), "ordered")
+    rows, total = seen.get["rows"], seen.get["total"]
     parts = rows // RANGE_ROWS + 1
     if parts == 1:
-        return t.withColumns({"__part": F.lit(0), "__base": F.lit(0).cast("long")}), rows, total or 0
-    t = written(t.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+        return t, rows, total or 0
+    t = written(t.drop("__part", "__base").repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
     below, bases = 0, []
     for r in t.groupBy("__part").agg(size.alias("n")).orderBy("__part").collect():
         bases.append((r["__part"], below))

@@ -202,10 +202,9 @@ def shared(spark, sf):
     if isinstance(sf, Derived):
         return sf
     g = T.with_gaps(spark, sf)
-    kin = around(K.kinematics(turning(moving(g)), T.track_window()))
-    kin = written(kin, "kinematics")
+    kin = written(K.kinematics(turning(moving(g)), T.track_window()), "kinematics")
     b = Derived(sf, {"kin": kin, "self": kin, "grid": kin.select(*T.TRACK, "frame", "t", "x", "y")})
-    b.views["touching"] = written(C.touching(spark, b, kin.select(*T.TRACK, "frame", "x", "y", "pre", "post"), ("pre", "post")), "touching")
+    b.views["touching"] = written(C.touching(spark, b, around(kin).select(*T.TRACK, "frame", "x", "y", "pre", "post"), ("pre", "post")), "touching")
     b.views["contacts"] = written(C.contacts(spark, b), "contacts")
     b.views["answers"] = written(T.answers(spark, sf), "answers")
     b.views["videos"] = kin.select("video_id")
