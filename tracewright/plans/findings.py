@@ -281,7 +281,7 @@ SPECIALISTS = ("deformation", "collision", "momentum", "friction", "fluid", "gra
 
 
 def included_tests(spark, sf):
-    e = T.table(spark, sf, "events").select(F.floor(F.col("user_id") / 10).cast("long").alias("video_id"), "event_type", "value")
+    e = T.table(spark, sf, "events").select(F.floor(F.col("user_id") / 10).cast("long").alias("video_id"), "event_type", "value").repartition("video_id")
     t = e.groupBy("video_id", "event_type").agg((F.max("value") / 2).alias("severity"))
     kept = F.col("severity") >= 49.2
     return t.groupBy("video_id").agg(F.count_if(kept).alias("included"), F.max(kept & (F.col("event_type") == "error")).alias("errors"), F.max(F.when(kept, F.col("severity"))).alias("worst"))
@@ -295,8 +295,8 @@ def report_rules(tests, findings):
     else low. Five rules say what to do next: run a test, look into errors, look around severe events, run
     more tests, run the specialists that have found nothing yet if none has.
     """
-    f = findings.groupBy("video_id").agg(F.count_distinct("source").alias("specialists"))
-    j = tests.join(f, "video_id", "left").withColumn("specialists", F.coalesce("specialists", F.lit(0)))
+    f = findings.groupBy("video_id").agg(F.size(F.collect_set("source")).alias("specialists"))
+    j = tests.join(f, "video_id", "left").withColumn("specialists", F.coalesce(F.col("specialists").cast("long"), F.lit(0).cast("long")))
     none, some = F.col("specialists") == 0, F.col("included")
     acts = F.array_compact(F.array(
         F.when(some == 0, "run_a_test"), F.when(F.col("errors"), "inspect_errors"), F.when(F.col("worst") >= 50, "look_around_events"), F.when(some < 2, "run_more_tests"),
