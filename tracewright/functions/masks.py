@@ -3,9 +3,11 @@ are grouped counts and equality joins."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.joins import track_pairs
+
 FRAME = ["video_id", "track_id", "frame"]
 
 
@@ -29,10 +31,24 @@ def mask_overlap(pixels: DataFrame) -> DataFrame:
     return n.select("video_id", "frame", "track_a", "track_b", "shared", (F.col("shared") / union).alias("iou"), (F.col("shared") / F.least("area_a", "area_b")).alias("overlap"))
 
 
+def mask_contacts(pixels: DataFrame, width: int, height: int, grow: int = 1) -> DataFrame:
+    """``contact, overlap`` of masks of two tracks that share pixels once each is grown by ``grow`` pixels to
+    every side: the pixels shared by the grown masks, and by the masks as they were, over the smaller area.
+
+    Pixels partitioned by (video, frame) are not shuffled again; a frame's masks meet in one task.
+    """
+    off = F.sequence(F.lit(-grow), F.lit(grow))
+    g = pixels.withColumn("ex", F.explode(off)).withColumn("ey", F.explode(off))
+    g = g.select(*FRAME, (F.col("px") + F.col("ex")).alias("px"), (F.col("py") + F.col("ey")).alias("py"), ((F.col("ex") == 0) & (F.col("ey") == 0)).alias("own"))
+    g = g.where((F.col("px") >= 0) & (F.col("px") < width) & (F.col("py") >= 0) & (F.col("py") < height)).groupBy(*FRAME, "px", "py").agg(F.max("own").alias("own"))
+    g = g.withColumn("area", F.sum(F.col("own").cast("long")).over(Window.partitionBy(*FRAME)))
+    at = track_pairs(g, ["own", "area"], ("video_id", "frame", "px", "py"))
+    n = at.groupBy("video_id", "frame", "track_a", "track_b").agg(F.count("*").alias("near"), F.count_if(F.col("own_a") & F.col("own_b")).alias("shared"), F.least(F.max("area_a"), F.max("area_b")).alias("area"))
+    return n.select("video_id", "frame", "track_a", "track_b", (F.col("near") / F.col("area")).alias("contact"), (F.col("shared") / F.col("area")).alias("overlap"))
+
+
 def usable_masks(shapes: DataFrame, width: float, height: float, least: int = 64) -> DataFrame:
     """Masks large enough and mostly inside the frame; all of a track's if fewer than two are."""
-    from pyspark.sql import Window
-
     inside = (F.col("x0") > 0) & (F.col("y0") > 0) & (F.col("x1") < width - 1) & (F.col("y1") < height - 1)
     w = Window.partitionBy("video_id", "track_id")
     s = shapes.withColumn("__ok", (F.col("area") >= least) & inside)

@@ -19,10 +19,12 @@ SHAPE = "shape AS (SELECT video_id, track_id, frame, count(*) AS area, avg(px) A
 PIX_VIEWS = (T.OBS, T.GRID, PIX)
 
 
-def pixels(spark, sf):
-    """A square mask of nine pixels a side around each observation, clipped to the frame."""
+def pixels(spark, sf, by_frame=False):
+    """A square mask of nine pixels a side around each observation, clipped to the frame; ``by_frame``
+    partitions by (video, frame), a row an observation before its pixels unfold."""
     off = F.sequence(F.lit(-4), F.lit(4))
-    g = T.grid(spark, sf).withColumn("dx", F.explode(off)).withColumn("dy", F.explode(off))
+    g = T.grid(spark, sf)
+    g = (g.repartition("video_id", "frame") if by_frame else g).withColumn("dx", F.explode(off)).withColumn("dy", F.explode(off))
     p = g.select(*K.FRAME, (F.floor("x").cast("long") + F.col("dx")).alias("px"), (F.floor("y").cast("long") + F.col("dy")).alias("py"))
     return p.where("px BETWEEN 0 AND 99 AND py BETWEEN 0 AND 99")
 
@@ -40,18 +42,29 @@ def _(spark, sf):
     return K.mask_overlap(pixels(spark, sf))
 
 
+#: Masks grown by a pixel; ``own`` marks those that they had.
+GROWN = """dil AS (SELECT video_id, track_id, frame, px + ex AS px, py + ey AS py, bool_or(ex = 0 AND ey = 0) AS own FROM pix, (SELECT unnest(range(-1, 2)) AS ex), (SELECT unnest(range(-1, 2)) AS ey) WHERE px + ex BETWEEN 0 AND 99 AND py + ey BETWEEN 0 AND 99 GROUP BY ALL),
+mc AS (SELECT n.video_id, n.frame, track_a, track_b, near / least(p.area, q.area) AS contact, shared / least(p.area, q.area) AS overlap FROM (SELECT a.video_id, a.frame, a.track_id AS track_a, b.track_id AS track_b, count(*) AS near, count(*) FILTER (a.own AND b.own) AS shared
+  FROM dil a JOIN dil b ON a.video_id = b.video_id AND a.frame = b.frame AND a.px = b.px AND a.py = b.py AND a.track_id < b.track_id GROUP BY ALL) n JOIN shape p ON p.track_id = track_a AND p.frame = n.frame JOIN shape q ON q.track_id = track_b AND q.frame = n.frame)"""
+
+
+def mask_contacts(spark, sf):
+    return K.mask_contacts(pixels(spark, sf, by_frame=True), int(T.WIDTH), int(T.HEIGHT))
+
+
 @query("interpenetration", """
-n AS (SELECT a.video_id, a.frame, a.track_id AS track_a, b.track_id AS track_b, count(*) AS shared FROM pix a JOIN pix b ON a.video_id = b.video_id AND a.frame = b.frame AND a.px = b.px AND a.py = b.py AND a.track_id < b.track_id GROUP BY ALL),
-o AS (SELECT n.*, shared / least(p.area, q.area) AS raw FROM n JOIN shape p ON p.track_id = track_a AND p.frame = n.frame JOIN shape q ON q.track_id = track_b AND q.frame = n.frame),
-e AS (SELECT *, sum(new) OVER (PARTITION BY video_id, track_a, track_b ORDER BY frame) AS s FROM (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY video_id, track_a, track_b ORDER BY frame) > 48 THEN 1 ELSE 0 END AS new FROM o))
-SELECT video_id, track_a, track_b, min(frame) AS f_start, max(frame) AS f_end, arg_max(frame, (raw, -frame)) AS peak_frame, max(raw) AS peak, least(1, (max(raw) - 0.35::DOUBLE) / (1 - 0.35::DOUBLE) + 0.4::DOUBLE) AS score FROM e GROUP BY video_id, track_a, track_b, s HAVING max(raw) >= 0.35
-""", *PIX_VIEWS, SHAPE)
-def _(spark, sf):
-    """Deep overlap within an episode of overlapping masks (apart by two seconds from the next)."""
+e AS (SELECT *, sum(new) OVER (PARTITION BY video_id, track_a, track_b ORDER BY frame) AS s FROM (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY video_id, track_a, track_b ORDER BY frame) > 48 THEN 1 ELSE 0 END AS new FROM mc WHERE contact >= 0.02))
+SELECT video_id, track_a, track_b, min(frame) AS f_start, max(frame) AS f_end, arg_max(frame, (overlap, -frame)) AS peak_frame, max(overlap) AS peak, least(1, (max(overlap) - 0.35::DOUBLE) / (1 - 0.35::DOUBLE) + 0.4::DOUBLE) AS score FROM e GROUP BY video_id, track_a, track_b, s HAVING max(overlap) >= 0.35
+""", *PIX_VIEWS, SHAPE, GROWN)
+def _(spark, sf, threshold=0.02, deep=0.35):
+    """Contact episodes (grown masks share ``threshold`` of the smaller, apart by two seconds from the next) in
+    which the masks themselves overlap by ``deep``. Masks overlap no more than grown ones do, so with ``deep``
+    over ``threshold`` the frames of an episode that are no contact can't hold its peak."""
     from tracewright.operators.sessions import episodes
 
-    o = episodes(K.mask_overlap(pixels(spark, sf)), ["video_id", "track_a", "track_b"], "overlap", F.lit(48)).where("peak >= 0.35").drop("n")
-    return o.withColumn("score", F.least(F.lit(1.0), (F.col("peak") - 0.35) / (1 - 0.35) + 0.4))
+    touching = mask_contacts(spark, sf).where(F.col("contact") >= threshold)
+    o = episodes(touching, ["video_id", "track_a", "track_b"], "overlap", F.lit(48)).where(F.col("peak") >= deep).drop("n")
+    return o.withColumn("score", F.least(F.lit(1.0), (F.col("peak") - deep) / max(1e-6, 1 - deep) + 0.4))
 
 
 @query("usable_masks", """

@@ -217,21 +217,10 @@ def _(spark, sf):
     return g.select("video_id", "track_a", "track_b", F.col("n").alias("n_shared"), F.round("m", 9).alias("iou"))
 
 
-@query("dilated_contact", """
-dil AS (SELECT DISTINCT video_id, track_id, frame, px + ex AS px, py + ey AS py FROM pix, (SELECT unnest(range(-1, 2)) AS ex), (SELECT unnest(range(-1, 2)) AS ey) WHERE px + ex BETWEEN 0 AND 99 AND py + ey BETWEEN 0 AND 99),
-n AS (SELECT a.video_id, a.frame, a.track_id AS track_a, b.track_id AS track_b, count(*) AS shared FROM dil a JOIN dil b ON a.video_id = b.video_id AND a.frame = b.frame AND a.px = b.px AND a.py = b.py AND a.track_id < b.track_id GROUP BY ALL)
-SELECT n.video_id, n.frame, track_a, track_b, round(shared / least(p.area, q.area), 9) AS contact FROM n JOIN shape p ON p.track_id = track_a AND p.frame = n.frame JOIN shape q ON q.track_id = track_b AND q.frame = n.frame
-""", *X.PIX_VIEWS, X.SHAPE)
+@query("dilated_contact", "SELECT video_id, frame, track_a, track_b, round(contact, 9) AS contact FROM mc", *X.PIX_VIEWS, X.SHAPE, X.GROWN)
 def _(spark, sf):
     """Overlap of masks grown by one pixel (a kernel of three) over the smaller area as it was."""
-    p = X.pixels(spark, sf)
-    off = F.sequence(F.lit(-1), F.lit(1))
-    g = p.withColumn("ex", F.explode(off)).withColumn("ey", F.explode(off)).select(*K.FRAME, (F.col("px") + F.col("ex")).alias("px"), (F.col("py") + F.col("ey")).alias("py"))
-    grown = K.mask_overlap(g.where("px BETWEEN 0 AND 99 AND py BETWEEN 0 AND 99").distinct()).select("video_id", "frame", "track_a", "track_b", "shared")
-    area = K.mask_shape(p)
-    for s in "ab":
-        grown = grown.join(area.select("video_id", "frame", F.col("track_id").alias(f"track_{s}"), F.col("area").alias(f"area_{s}")), ["video_id", "frame", f"track_{s}"])
-    return grown.select("video_id", "frame", "track_a", "track_b", F.round(F.col("shared") / F.least("area_a", "area_b"), 9).alias("contact"))
+    return X.mask_contacts(spark, sf).select("video_id", "frame", "track_a", "track_b", F.round("contact", 9).alias("contact"))
 
 
 @query("box_border_predicates", "SELECT video_id, track_id, frame, x - 5 < 2 OR y - 5 < 2 OR x + 5 > 98 OR y + 5 > 98 AS box_at_border, least(y + 5, 100) >= 93 AS near_floor FROM grid", T.OBS, T.GRID)
