@@ -21,7 +21,7 @@ def test_no_nested_loops(spark, name):
 
 
 @pytest.mark.parametrize("name,most", [("restitution", 3), ("contact_gating", 5), ("near_event_semi", 5), ("near_event_anti", 5), ("coherence_corr", 4), ("semantic_timeline", 10), ("report_followups", 10), ("causality_rules", 4), ("causality_severity", 4), ("effect_before_cause", 1), ("sync_reversal", 2),
-    ("splash_timing", 1), ("flow_discontinuity", 2), ("incompressibility", 2), ("rank_auc", 2), ("spearman", 4), ("median_split_auc", 2), ("mean_mask_iou", 9), ("event_clip_index", 3), ("evidence_state", 3), ("smooth_short", 1)])
+    ("splash_timing", 1), ("flow_discontinuity", 2), ("incompressibility", 2), ("rank_auc", 2), ("spearman", 4), ("median_split_auc", 2), ("mean_mask_iou", 9), ("event_clip_index", 3), ("evidence_state", 3), ("smooth_short", 1), ("dilated_contact", 4), ("interpenetration", 5)])
 def test_exchanges(spark, name, most):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= most, plan.count("Exchange hashpartitioning")
