@@ -42,6 +42,20 @@ def test_random_masks(spark, n):
     assert len(got) > 20 and any(r.overlap == 0 for r in got) and any(r.overlap > 0 for r in got)
 
 
+def test_overlaps(spark):
+    rnd = random.Random(6)
+    rows = sorted({(v, t, f, x + i, y + j) for v in range(2) for f in range(12) for t in range(4) for x, y in [(rnd.randrange(12), rnd.randrange(12))] for i in range(5) for j in range(5) if rnd.random() < 0.8})
+    want = {k: o for k, (_, o) in brute(rows, 99, 99, 0).items()}
+    got = K.mask_overlap(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.video_id, r.frame, r.track_a, r.track_b): r.overlap for r in got} == want and len(want) > 10
+    size = {}
+    for v, t, f, _, _ in rows:
+        size[v, f, t] = size.get((v, f, t), 0) + 1
+    for r in got:
+        a, b = size[r.video_id, r.frame, r.track_a], size[r.video_id, r.frame, r.track_b]
+        assert r.iou == r.shared / (a + b - r.shared) and r.overlap == r.shared / min(a, b)
+
+
 def test_touching_at_the_edge_and_apart(spark):
     rows = [(1, 1, 0, 0, 0), (1, 2, 0, 2, 0), (1, 3, 0, 5, 0), (1, 4, 1, 0, 0)]
     got = K.mask_contacts(spark.createDataFrame(rows, SCHEMA), 6, 6).collect()

@@ -19,14 +19,27 @@ def mask_shape(pixels: DataFrame) -> DataFrame:
     )
 
 
+def close_masks(pixels: DataFrame, reach: int) -> DataFrame:
+    """Pairs of masks of a frame whose boxes are at most ``reach`` pixels apart (0: they may share a pixel)."""
+    boxes = track_pairs(mask_shape(pixels), ["area", "x0", "y0", "x1", "y1"])
+    apart = lambda c, a, b: F.col(f"{c}0_{b}") - F.col(f"{c}1_{a}") > reach
+    return boxes.where(~(apart("x", "a", "b") | apart("x", "b", "a") | apart("y", "a", "b") | apart("y", "b", "a")))
+
+
+def pixels_of_close(pixels: DataFrame, reach: int) -> DataFrame:
+    """The pixels of masks with another one near, each with its mask's ``area``."""
+    side = lambda s: F.struct(F.col(f"track_{s}").alias("track_id"), F.col(f"area_{s}").alias("area"))
+    return pixels.join(close_masks(pixels, reach).select("video_id", "frame", F.inline(F.array(side("a"), side("b")))).distinct(), FRAME)
+
+
 def mask_overlap(pixels: DataFrame) -> DataFrame:
-    """``shared, iou, overlap`` (shared over the smaller area) of masks of two tracks that share pixels."""
-    area = pixels.groupBy(*FRAME).agg(F.count("*").alias("area"))
-    side = lambda s: pixels.select("video_id", "frame", "px", "py", F.col("track_id").alias(f"track_{s}"))
-    both = side("a").join(side("b"), ["video_id", "frame", "px", "py"]).where("track_a < track_b")
-    n = both.groupBy("video_id", "frame", "track_a", "track_b").agg(F.count("*").alias("shared"))
-    for s in "ab":
-        n = n.join(area.select("video_id", "frame", F.col("track_id").alias(f"track_{s}"), F.col("area").alias(f"area_{s}")), ["video_id", "frame", f"track_{s}"])
+    """``shared, iou, overlap`` (shared over the smaller area) of masks of two tracks that share pixels.
+
+    Only masks whose boxes meet are compared. Pixels partitioned by (video, frame) are not shuffled again;
+    a frame's masks meet in one task.
+    """
+    at = track_pairs(pixels_of_close(pixels, 0), ["area"], ("video_id", "frame", "px", "py"))
+    n = at.groupBy("video_id", "frame", "track_a", "track_b").agg(F.count("*").alias("shared"), F.max("area_a").alias("area_a"), F.max("area_b").alias("area_b"))
     union = F.col("area_a") + F.col("area_b") - F.col("shared")
     return n.select("video_id", "frame", "track_a", "track_b", "shared", (F.col("shared") / union).alias("iou"), (F.col("shared") / F.least("area_a", "area_b")).alias("overlap"))
 
@@ -38,13 +51,8 @@ def mask_contacts(pixels: DataFrame, width: int, height: int, grow: int = 1) ->
     Only masks whose boxes come so near are grown. Pixels partitioned by (video, frame) are not shuffled again;
     a frame's masks meet in one task.
     """
-    boxes = track_pairs(mask_shape(pixels), ["area", "x0", "y0", "x1", "y1"])
-    apart = lambda c, a, b: F.col(f"{c}0_{b}") - F.col(f"{c}1_{a}") > 2 * grow
-    close = boxes.where(~(apart("x", "a", "b") | apart("x", "b", "a") | apart("y", "a", "b") | apart("y", "b", "a")))
-    side = lambda s: F.struct(F.col(f"track_{s}").alias("track_id"), F.col(f"area_{s}").alias("area"))
-    some = close.select("video_id", "frame", F.inline(F.array(side("a"), side("b")))).distinct()
     off = F.sequence(F.lit(-grow), F.lit(grow))
-    g = pixels.join(some, FRAME).withColumn("ex", F.explode(off)).withColumn("ey", F.explode(off))
+    g = pixels_of_close(pixels, 2 * grow).withColumn("ex", F.explode(off)).withColumn("ey", F.explode(off))
     g = g.select(*FRAME, "area", (F.col("px") + F.col("ex")).alias("px"), (F.col("py") + F.col("ey")).alias("py"), ((F.col("ex") == 0) & (F.col("ey") == 0)).alias("own"))
     g = g.where((F.col("px") >= 0) & (F.col("px") < width) & (F.col("py") >= 0) & (F.col("py") < height)).groupBy(*FRAME, "area", "px", "py").agg(F.max("own").alias("own"))
     at = track_pairs(g, ["own", "area"], ("video_id", "frame", "px", "py"))

@@ -39,7 +39,7 @@ n AS (SELECT a.video_id, a.frame, a.track_id AS track_a, b.track_id AS track_b,
 SELECT n.*, shared / (p.area + q.area - shared) AS iou, shared / least(p.area, q.area) AS overlap FROM n JOIN shape p ON p.track_id = track_a AND p.frame = n.frame JOIN shape q ON q.track_id = track_b AND q.frame = n.frame
 """, *PIX_VIEWS, SHAPE)
 def _(spark, sf):
-    return K.mask_overlap(pixels(spark, sf))
+    return K.mask_overlap(pixels(spark, sf, by_frame=True))
 
 
 #: Masks grown by a pixel; ``own`` marks those that they had.

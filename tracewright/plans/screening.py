@@ -209,7 +209,7 @@ SELECT video_id, track_a, track_b, n AS n_shared, round(m, 9) AS iou FROM g
 def _(spark, sf):
     """Of every two tracks with a common frame the mean IoU over the frames that show both. A pair without one
     is not listed: its IoU is 0 by rule."""
-    p = X.pixels(spark, sf)
+    p = X.pixels(spark, sf, by_frame=True)
     both = J.track_pairs(K.mask_shape(p), ["area"]).select("video_id", "frame", "track_a", "track_b")
     key = ["video_id", "frame", "track_a", "track_b"]
     each = both.join(K.mask_overlap(p).select(*key, "iou"), key, "left")
