@@ -188,3 +188,14 @@ def test_savgol_keeps_parabolas(spark):
     df = track(spark, rows).withColumn("n", F.count("*").over(T.track()))
     got = df.select("x", K.savgol7(F.col("x"), T.track_window(), F.col("frame"), F.col("n")).alias("s")).collect()
     assert all(math.isclose(r.x, r.s, abs_tol=1e-9) for r in got)
+
+
+def test_suppression_at_exactly_the_threshold(spark):
+    """Centres 7.5 apart share 675 of 1125, 0.6 exactly, wherever they lie; rounded corners say so for some only."""
+    rows = [(v, t, 100.0 + v, x + 7.5 * t, 50.0, 30.0, 30.0) for v, x in enumerate((0.07, 3.21, 29.27, 33.33, 41.9, 122.79)) for t in range(2)]
+    boxes = spark.createDataFrame(rows, "v long, track_id long, score double, x double, y double, w double, h double")
+    exact = {v for v, x in enumerate((0.07, 3.21, 29.27, 33.33, 41.9, 122.79)) if (30 - abs(x - (x + 7.5))) * 30 / (1800 - (30 - abs(x - (x + 7.5))) * 30) >= 0.6}
+    kept = {}
+    for r in L.greedy_nms(boxes, ["v"]).collect():
+        kept.setdefault(r.v, []).append(r.track_id)
+    assert {v for v, t in kept.items() if t == [0]} == exact and len(exact) > 3

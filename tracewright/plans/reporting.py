@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracewright.functions import geometry as G
 from tracewright.functions import parsing as P
 from tracewright.functions import stats as S
 from tracewright.functions import vectors as V
@@ -379,8 +378,7 @@ c AS (SELECT video_id, frame, i, track_id, true AS ok, [{'x': x, 'y': y}] AS kep
 SELECT video_id, frame, track_id FROM c WHERE ok
 """, "RECURSIVE " + T.OBS, T.GRID)
 def _(spark, sf):
-    x0, y0, x1, y1 = G.box_around(F.col("x"), F.col("y"), 15.0)
-    boxes = T.grid(spark, sf).select("video_id", "frame", "track_id", F.col("x").alias("score"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    boxes = T.grid(spark, sf).select("video_id", "frame", "track_id", F.col("x").alias("score"), "x", "y", F.lit(30.0).alias("w"), F.lit(30.0).alias("h"))
     return L.greedy_nms(boxes, ["video_id", "frame"])
 
 
