@@ -199,3 +199,15 @@ def test_suppression_at_exactly_the_threshold(spark):
     for r in L.greedy_nms(boxes, ["v"]).collect():
         kept.setdefault(r.v, []).append(r.track_id)
     assert {v for v, t in kept.items() if t == [0]} == exact and len(exact) > 3
+
+
+def test_a_fit_does_not_depend_on_the_spread_of_rows(spark):
+    """Sums go in order of time: the bend of every path, exactly -2 or beside it, has the same bits however rows come."""
+    import random
+
+    rnd = random.Random(3)
+    rows = [(k, float(t), 40.1 + k * 0.37 - t * t + 0.1 * t * k) for k in range(200) for t in range(7)]
+    fit = lambda r, n: {x.k: (x.a, x.r2) for x in S.parabola_fit(spark.createDataFrame(r, "k long, t double, y double").repartition(n), ["k"]).collect()}
+    want = fit(rows, 1)
+    for n in (2, 5):
+        assert fit(rnd.sample(rows, len(rows)), n) == want

@@ -35,10 +35,16 @@ def line_fit(df: DataFrame, keys: list[str], t: str = "t", y: str = "y") -> Data
     return a.select(*keys, "n", F.when(ok, F.col("s")).otherwise(F.lit(0.0)).alias("slope"), F.when(ok, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("r", F.lit(0.0))))).otherwise(F.lit(0.0)).alias("r2"))
 
 
+def whole_in_order(keys: list[str], t: str) -> Window:
+    """All rows of a segment, summed in order of time."""
+    return Window.partitionBy(*keys).orderBy(t).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def parabola_fit(df: DataFrame, keys: list[str], t: str = "t", y: str = "y") -> DataFrame:
     """``n, t0, t1, a, r2, rms``: y against time since the segment's start; ``a`` is twice the
-    quadratic coefficient. All sums come from one grouped pass of moments."""
-    w = Window.partitionBy(*keys)
+    quadratic coefficient. All sums come from one grouped pass of moments, over rows in order of time: so a fit
+    on a threshold falls to the same side whatever the spread of the rows."""
+    w = whole_in_order(keys, t)
     u = df.withColumns({"__u": F.col(t) - F.min(t).over(w), "__y": F.col(y) - F.avg(y).over(w)})
     sums = {f"s{k}": F.sum(F.pow("__u", F.lit(float(k)))) for k in range(1, 5)} | {"y0": F.sum("__y"), "y1": F.sum(F.col("__u") * F.col("__y")), "y2": F.sum(F.col("__u") * F.col("__u") * F.col("__y")), "yy": F.sum(F.col("__y") * F.col("__y"))}
     m = u.groupBy(*keys).agg(F.count("*").alias("n"), F.min(t).alias("t0"), F.max(t).alias("t1"), *[v.alias(k) for k, v in sums.items()])
