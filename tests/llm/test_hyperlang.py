@@ -118,3 +118,15 @@ def test_filter_keeps_clean_texts_and_rejects_other_languages(spark):
     assert not kept & {i for i, *_ in other}
     clean = {r.doc_id for r in docs.where("text rlike '[A-Za-z]{3}'").select("doc_id").collect()}
     assert len(clean & kept) >= 0.99 * len(clean)
+
+
+def test_every_row_not_held_out_teaches(spark):
+    """Over 2000 texts a language: no sample; the floors rest on all of them, too."""
+    texts = ["the quick brown fox", "jumps over the lazy dog"]
+    docs = spark.range(5000).selectExpr("id as doc_id", f"if(id % 5 = 0, '{texts[0]}', '{texts[1]}') as text", "'en' as lang")
+    train = docs.where(~hl.held_out())
+    assert hl.training_sample(train).count() == train.count() > 3000
+    want = sum(n * (hl.UNIT * hl._normal(slow_bundle(t))).round().astype(np.int64) for t, n in ((r.text, r["count"]) for r in train.groupBy("text").count().collect()))
+    got = hl.prototypes(train)
+    assert list(got) == ["en"] and (got["en"] == want).all()
+    assert hl.keep_identified(docs).count() == 5000

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tracewright.llm.common import held, slices, trimmed, written
+from tracewright.llm.common import held, slices, trimmed, unused, written
 
 DIM = 1024
 UNIT = 10_000
@@ -125,26 +126,28 @@ def _normal(v: np.ndarray) -> np.ndarray:
     return v / np.where(size == 0, 1, size)
 
 
-def training_sample(docs: DataFrame, max_docs: int = 2000) -> DataFrame:
-    """``lang, text`` of the rows with both that train.
+def training_sample(docs: DataFrame, max_docs: int | None = None) -> DataFrame:
+    """``lang, text`` of the rows with both that train: all of them, as they are spread.
 
-    ``max_docs`` bounds (in expectation, by a hash of id and text) the texts of each language. They are
-    dealt to eight tasks by that hash, so copies of a text under several ids spread. Of more than
+    A given ``max_docs`` bounds (in expectation, by a hash of id and text) the texts of each language. They are
+    then dealt to eight tasks by that hash, so copies of a text under several ids spread. Of more than
     ``LANGUAGES`` different values of ``lang`` those with most rows train (ties: by name); texts in others
     are judged like any text, by the languages learned.
     """
     spark = docs.sparkSession
     usable = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    rates = {r.lang: min(1.0, max_docs / r.n) for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    rates = {r.lang: min(1.0, (max_docs or r.n) / r.n) for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    if max_docs is None:
+        return usable.join(F.broadcast(spark.createDataFrame([(k,) for k in rates], "lang string")), "lang").select("lang", "text")
     part = spark.createDataFrame([(k, int(v * (1 << 24))) for k, v in rates.items()], "lang string, upto int")
     dealt = F.xxhash64(F.lit("language"), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
     return usable.join(F.broadcast(part), "lang").where(F.pmod(dealt, F.lit(1 << 24)) < F.col("upto")).repartition(8, dealt).select("lang", "text")
 
 
-def prototypes(docs: DataFrame, n: int = 3, dim: int = DIM, max_docs: int = 2000) -> dict[str, np.ndarray]:
-    """Language prototypes from rows with text and ``lang`` (``training_sample``).
+def prototypes(docs: DataFrame, n: int = 3, dim: int = DIM, max_docs: int | None = None) -> dict[str, np.ndarray]:
+    """Language prototypes from all rows with text and ``lang`` (``training_sample``).
 
-    A vector a language and task goes to the driver, from eight tasks. Null and letterless texts and
+    Tasks' vectors are added up by language; one a language goes to the driver. Null and letterless texts and
     null languages teach nothing; repeated rows count each; an empty table gives no language; other
     columns are ignored.
     """
@@ -162,8 +165,17 @@ def _bundled(sample: DataFrame, n: int, dim: int) -> dict[str, np.ndarray]:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "v"])
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            for lang, v in zip(b.column(0).to_pylist(), b.column(1)):
+                sums[lang] = sums.get(lang, 0) + v.values.to_numpy()
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "v"])
+
     out: dict[str, np.ndarray] = {}
-    got = sample.mapInArrow(run, "lang string, v array<bigint>").toArrow().combine_chunks()
+    kind = "lang string, v array<bigint>"
+    got = sample.mapInArrow(run, kind).repartition("lang").mapInArrow(add, kind).toArrow().combine_chunks()
     vectors = got.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim) if len(got) else []
     for lang, v in zip(got.column("lang").to_pylist(), vectors):
         out[lang] = out.get(lang, 0) + v
@@ -192,23 +204,13 @@ class Scorer:
             yield self.names[best], float(min(1.0, max(0.0, cos[best]))), different.bit_length() - 1
 
 
-def score_floors(sample: DataFrame, models: dict[str, np.ndarray], n: int = 3, dim: int = DIM) -> list[float]:
-    """The floor of each size class, from the scores of ``lang, text``; a class of few texts has that
-    of the class below, the smallest have 0. A histogram a class and task goes to the driver."""
-    scorer = Scorer(models, n, dim)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((32, BINS), np.int64)
-        for b in batches:
-            for _, score, size in scorer(b.column(1)):
-                if size >= 0:
-                    counts[size, min(BINS - 1, int(score * BINS))] += 1
-        met = np.flatnonzero(counts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[met].tolist(), pa.list_(pa.int64()))], ["size", "n"])
-
+def score_floors(scored: DataFrame, score: str, size: str) -> list[float]:
+    """The floor of each size class, from the scores of all rows; a class of few texts has that of the class
+    below, the smallest have 0. A count a class and bin goes to the driver."""
+    place = F.least(F.lit(BINS - 1), F.floor(F.col(score) * BINS).cast("int"))
     total = np.zeros((32, BINS), np.int64)
-    for r in sample.mapInArrow(run, "size long, n array<bigint>").collect():
-        total[r["size"]] += np.array(r.n, np.int64)
+    for r in scored.where(F.col(size) >= 0).groupBy(F.col(size).alias("size"), place.alias("place")).agg(F.count("*").alias("n")).collect():
+        total[r["size"], r.place] = r.n
     return floors_of(total)
 
 
@@ -255,27 +257,31 @@ def identify_languages(docs: DataFrame, **settings) -> DataFrame:
     return predict(docs, models).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, max_docs: int = 2000, n: int = 3, dim: int = DIM) -> DataFrame:
+def keep_identified(docs: DataFrame, max_docs: int | None = None, n: int = 3, dim: int = DIM) -> DataFrame:
     """The rows whose text is in a learned language: those of ``und`` and those whose score is not above
-    the floor of their size go.
+    the floor of their size class go.
 
-    Languages and floors are learned from the rows not held out. Null, empty and letterless texts go;
+    Languages and floors are learned from all rows not held out (``max_docs`` bounds those of a language that
+    teach it). Every row is scored once, and its score written with it. Null, empty and letterless texts go;
     null and repeated ids and repeated rows are judged one by one; all columns go through, whatever their
     names; an empty table, or one without a language, keeps nothing.
     """
-    sample = written(training_sample(docs.where(~held_out()), max_docs), "language-sample")
-    models = _bundled(sample, n, dim)
-    floors, scorer = score_floors(sample, models, n, dim), Scorer(models, n, dim)
+    models = _bundled(training_sample(docs.where(~held_out()), max_docs), n, dim)
+    scorer = Scorer(models, n, dim)
+    score, size = unused(docs, "score", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             at = whole.schema.names.index("text")
             for b in slices(iter([whole]), at, 1 << 22):
-                keep = [size >= 0 and score > floors[size] for _, score, size in scorer(b.column(at))]
-                yield b.filter(pa.array(keep))
+                _, scores, sizes = zip(*scorer(b.column(at)))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array(sizes, pa.int32())], [*b.schema.names, score, size])
         trimmed()
 
-    return docs.mapInArrow(run, docs.schema)
+    scored = written(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType()), StructField(size, IntegerType())])), "language-scores")
+    floors = score_floors(scored.where(~held_out() & F.col("lang").cast("string").isin(list(models))), score, size)
+    floor = F.element_at(F.array(*map(F.lit, floors)), F.col(size) + 1)
+    return scored.where((F.col(size) >= 0) & (F.col(score) > F.when(F.col(size) >= 0, floor))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op9_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
