@@ -65,3 +65,36 @@ def test_touching_at_the_edge_and_apart(spark):
 
 def test_no_masks(spark):
     assert K.mask_contacts(spark.createDataFrame([], SCHEMA), 6, 6).count() == 0
+
+
+def test_surface_against_brute_force(spark):
+    import statistics
+
+    rnd = random.Random(7)
+    rows = sorted({(v, t, 0, rnd.randrange(-2, 9), rnd.randrange(9)) for v in range(3) for t in range(5) for _ in range(12)})
+    top = {}
+    for v, t, f, x, y in rows:
+        cols = top.setdefault((v, t, f), {})
+        cols[x] = min(y, cols.get(x, y))
+    got = K.surface_line(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.video_id, r.track_id, r.frame): r.surface for r in got} == {k: float(statistics.median(c.values())) for k, c in top.items()}
+
+
+@pytest.mark.parametrize("name", ["dilated_contact", "interpenetration", "mask_overlap", "mean_mask_iou", "surface_line"])
+def test_masks_stay_rows(spark, name):
+    """No plan unfolds the pixels of all masks to rows: only masks that come near get them, inside their row."""
+    from tracewright.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode([-4" not in plan and "explode(sequence(-4" not in plan and "dx#" not in plan
+
+
+def test_every_pair_of_tracks_has_a_mean(spark, tmp_path):
+    """Two tracks of a video that are never in one frame are listed with 0."""
+    from tracewright.plans import catalog
+
+    e = spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("user_id < 20 AND event_id < 8000")
+    e.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["mean_mask_iou"](spark, str(tmp_path)).collect()
+    assert any(r.n_shared == 0 and r.iou == 0 for r in got) and any(r.n_shared > 0 for r in got)
+    assert "iou_any" in catalog.QUERIES["box_border_predicates"](spark, str(tmp_path)).columns
