@@ -1,6 +1,10 @@
+import re
+
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from tracewright.llm import common
 from tracewright.llm import neardup as nd
 
 SF = "/root/testdata/sf0.01"
@@ -59,3 +63,28 @@ def test_large_buckets_are_cut_in_blocks(spark):
     want = slow(rows)
     assert {r.doc_id: r.component_id for r in nd.similar_groups(docs).collect()} == want
     assert {r.doc_id: r.component_id for r in nd.similar_groups(docs, bucket_bytes=4000).collect()} == want
+
+
+def test_a_bitmap_rules_out_only_what_is_not_among_the_ids(spark):
+    rows, ids = spark.range(-300, 300).withColumnRenamed("id", "k").withColumn("bits", F.lit("x")), spark.range(-300, 300, 7)
+    got = common.likely(rows.union(spark.createDataFrame([(None, "x")], "k long, bits string")), "k", ids, "may")
+    assert got.columns == ["k", "bits", "may"]
+    said = {r.k: r.may for r in got.collect()}
+    assert len(said) == 601 and not said[None] and all(said[k] for k in range(-300, 300, 7)) and sum(said.values()) < 100
+
+
+def test_no_text_is_shuffled_but_of_copies(spark, monkeypatch):
+    """Texts meet neither the nodes of buckets nor the rows that go by a shuffle: what is shuffled has been through the bitmap."""
+    plans = []
+    for module in (nd, common):
+        monkeypatch.setattr(module, "written", lambda df, name, to=common.written: (plans.append(df._jdf.queryExecution().executedPlan().toString()), to(df, name))[1])
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = cp.near_duplicates(spark, docs, SF)
+    last = kept._jdf.queryExecution().executedPlan().toString()
+    (links,) = (p for p in plans if "shingles" in p and "places" in p and "MapInArrow" in p)
+    for plan in (links, last):
+        lines = plan.splitlines()
+        for i, line in enumerate(lines):
+            if "FileScan" in line and re.search(r"text#\d+[^\]]*\] Batched", line):
+                under = next((x for x in reversed(lines[:i]) if "Exchange" in x or "Join" in x or "MapInArrow" in x or "Union" in x), "")
+                assert "BroadcastHashJoin" in under, under

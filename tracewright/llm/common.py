@@ -13,6 +13,7 @@ from typing import Any
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _MADE: list[str] = []
@@ -77,6 +78,26 @@ def unused(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Bits of ``likely``'s bitmap: 4 MiB, broadcast.
+LIKELY_BITS = 1 << 25
+
+
+def likely(rows: DataFrame, key: str, ids: DataFrame, flag: str) -> DataFrame:
+    """``rows`` with the boolean ``flag``, which is false only where ``key`` is not in the column of ``ids``.
+
+    A bitmap of the ids' hashes says so, of one size whatever their number, so rows that need not meet the ids are
+    not shuffled. A true flag may be chance: an exact join has to follow.
+    """
+    where, bucket, bits = unused(rows, "where", "bucket", "bits")
+    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(LIKELY_BITS)) + 1
+    held = ids.select(place(ids.columns[0]).alias(where)).withColumn(bucket, F.bitmap_bucket_number(where)).repartition(bucket)
+    maps = written(held.groupBy(bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position(where)).alias(bits)), "likely")
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    hit = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
+    return rows.join(F.broadcast(maps), F.bitmap_bucket_number(place(key)) == F.col(bucket), "left").withColumn(flag, hit).drop(bucket, bits)
+
+
 _HELD: dict = {}
 
 

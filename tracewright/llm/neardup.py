@@ -11,7 +11,8 @@ so a group of either kind parts where its texts differ more.
 Texts that are equal but for case and white space are one node. A node's SimHash group is one more key
 beside its bands. Nodes that share a key are a bucket;
 buckets with the same nodes (as those of a lone pair mostly are) are kept once. Only nodes of buckets
-have their shingles hashed again and dealt out. In a bucket a node is held against the members of
+have their shingles hashed again, where their texts are read (a bitmap of their ids goes there, no text is
+shuffled), and dealt out. In a bucket a node is held against the members of
 every group it has not joined yet, those that matched last first, until one is similar: the bucket's
 spanning links connect exactly what its similar pairs connect, and a large group costs about one
 comparison a member.
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import released, slices, written
+from tracewright.llm.common import likely, released, slices, written
 from tracewright.llm.containment import SHINGLE, shingle_hashes
 from tracewright.llm.simhash import components, near_duplicate_groups
 
@@ -185,10 +186,12 @@ def similar_groups(docs: DataFrame, words: int = SHINGLE, least: float = SIMILAR
     blocks = F.when(F.col("total") * 8 <= bucket_bytes, F.lit(1)).otherwise(F.ceil(F.col("total") * 16 / bucket_bytes)).cast("long")
     buckets = written(buckets.groupBy("n", "low", "high", "mark").agg(F.min("key").alias("key"), F.max("total").alias("total")).select("key", blocks.alias("blocks")), "neardup-buckets")
     members = written(placed.join(buckets, "key").select("key", "node", F.explode(_parts(F.col("blocks"))).alias("part")), "neardup-members")
-    asked = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
-    shingles = _shingles(texts, words).join(asked.select("hi", "lo", "node"), ["hi", "lo"]).select("node", "shingles")
-    links = _links(members.join(shingles, "node"), least)
+    # Texts are not shuffled: a bitmap tells which to hash again, and the hashes bring all places of a node at once.
+    places = members.groupBy("node").agg(F.collect_list(F.struct("key", "part")).alias("places"))
+    asked = written(nodes.join(places, "node").select("doc_id", "hi", "lo", "node", "places"), "neardup-asked")
+    texts = likely(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", asked.select("doc_id"), "asked").where("asked")
+    placed = _shingles(texts, words).join(asked.select("hi", "lo", "node", "places"), ["hi", "lo"]).select("node", "shingles", F.inline("places"))
+    links = _links(placed, least)
     label = components(written(links, "neardup-links"))
     moved = nodes.join(label, "node", "left").select("hi", "lo", "doc_id", F.coalesce("component", "node").alias("component"))
     moved = written(moved, "neardup-moved")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import unused, written
+from tracewright.llm.common import likely, unused, written
 from tracewright.llm.spans import numbered
 
 SEED = 42
@@ -259,8 +259,11 @@ def keep_first_of_groups(docs: DataFrame, groups_of: Callable[[DataFrame], DataF
     stays. Null, empty and blank texts are copies of each other; all columns go through, whatever their
     names; an empty table gives an empty result.
     """
-    (row,) = unused(docs, "row")
+    row, gone = unused(docs, "row", "gone")
     rows = numbered(docs, row)
     groups = written(groups_of(rows.select(F.col(row).alias("doc_id"), "text")), "simhash-groups")
     copies = groups.where("component_id != doc_id").select(F.col("doc_id").alias(row))
-    return rows.join(copies, row, "left_anti").select(docs.columns)
+    # Only rows that a bitmap of the copies can't rule out are shuffled, whole texts as they are.
+    marked = likely(rows, row, copies, gone)
+    stay, asked = marked.where(~F.col(gone)).select(docs.columns), marked.where(F.col(gone)).join(copies, row, "left_anti").select(docs.columns)
+    return stay.union(asked)
