@@ -5,6 +5,8 @@ import re
 import pytest
 
 from tracewright.plans import catalog
+from tracewright.sources import scratch
+from tracewright.sources import tables as T
 
 SF = "/root/testdata/sf0.001"
 #: Folds whose state hands on from frame to frame: one pass in order, in Python.
@@ -39,6 +41,18 @@ def test_shared_tables_are_computed_once(spark):
     assert "events.parquet" not in plan and plan.count("FileScan") <= 12
 
 
+@pytest.mark.parametrize("name", ["semantic_timeline", "report_followups"])
+def test_what_is_sorted_by_track_or_video_is_dealt_by_rows(spark, monkeypatch, name):
+    """Flights, episodes, coasts and the flow are sorted in partitions whose number follows the rows, and which are
+    not joined again, so that a task's memory does not grow with the table."""
+    monkeypatch.setattr(scratch, "PART_ROWS", 100)
+    n = -(-T.grid(spark, SF).count() // 100)
+    plan = re.sub(r"#\d+L?", "", catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString())
+    assert n > 4 and plan.count(f"Exchange hashpartitioning(video_id, track_id, {n}), REPARTITION_BY_NUM") == 2
+    assert plan.count(f"Exchange hashpartitioning(video_id, {n}), REPARTITION_BY_NUM") == 1
+    assert re.search(r"Exchange hashpartitioning\(video_id, track_a, track_b, \d+\), REPARTITION_BY_NUM", plan)
+
+
 def test_pushdown(spark):
     plan = catalog.QUERIES["scan_project_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(value,50.0)" in plan and "props" not in plan

@@ -15,6 +15,8 @@ from tracewright.plans import motion as M
 from tracewright.plans import physics as P
 from tracewright.plans.base import query
 from tracewright.sources import tables as T
+from tracewright.sources.bindings import Derived
+from tracewright.sources.scratch import dealt
 
 SEG = [*T.TRACK, "run"]
 RATIO = 2.0
@@ -252,20 +254,23 @@ def slope(value: str, at: str, over: Window):
     return F.when(low & high, (after - before) / 2).when(high, after - F.col(value)).when(low, F.col(value) - before).otherwise(F.lit(0.0))
 
 
-def velocity_field(kin):
+def velocity_field(kin, rows=None):
     """``video_id, frame, cx, cy, u, v, d``: each cell's mean velocity and the field's divergence there.
 
-    Dealt by video once; cells, differences along rows and columns, and whatever is grouped by frame or
-    ordered in a video afterwards stay in that partitioning."""
+    Dealt by video once, a written table of ``rows`` rows in as many partitions as that asks for; cells, differences
+    along rows and columns, and whatever is grouped by frame or ordered in a video afterwards stay in that partitioning."""
     at = lambda c: F.floor(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(99.0)) / CELL).cast("long")
-    cells = kin.select("video_id", "frame", at("x").alias("cx"), at("y").alias("cy"), "vx", "vy").repartition("video_id").groupBy("video_id", "frame", "cx", "cy").agg(F.avg("vx").alias("u"), F.avg("vy").alias("v"))
+    points = kin.select("video_id", "frame", at("x").alias("cx"), at("y").alias("cy"), "vx", "vy")
+    cells = (dealt(points, ["video_id"], rows) if rows is not None else points.repartition("video_id")).groupBy("video_id", "frame", "cx", "cy").agg(F.avg("vx").alias("u"), F.avg("vy").alias("v"))
     row, column = Window.partitionBy("video_id", "frame", "cy").orderBy("cx"), Window.partitionBy("video_id", "frame", "cx").orderBy("cy")
     return cells.withColumn("d", slope("u", "cx", row) + slope("v", "cy", column))
 
 
 def region(spark, sf):
     """Mean speed, mean vector, divergence and jump of the bulk flow; a gap resets the jump."""
-    k = velocity_field(C.grid_kin(spark, sf)).groupBy("video_id", "frame").agg(F.avg(K.norm(F.col("u"), F.col("v"))).alias("speed"), F.avg("u").alias("u"), F.avg("v").alias("v"), F.avg(F.abs("d")).alias("d"))
+    kin = C.grid_kin(spark, sf)
+    rows = kin.count() if isinstance(sf, Derived) and "kin" in sf.views else None  # written: its footers are counted
+    k = velocity_field(kin, rows).groupBy("video_id", "frame").agg(F.avg(K.norm(F.col("u"), F.col("v"))).alias("speed"), F.avg("u").alias("u"), F.avg("v").alias("v"), F.avg(F.abs("d")).alias("d"))
     v, w = Window.partitionBy("video_id"), Window.partitionBy("video_id").orderBy("frame")
     floor = F.greatest("speed", F.lit(0.05))
     jump = F.when(F.col("frame") - F.lag("frame").over(w) == 1, K.norm(F.col("u") - F.lag("u").over(w), F.col("v") - F.lag("v").over(w)) / floor).otherwise(F.lit(0.0))

@@ -29,3 +29,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a partition of ``dealt``.
+PART_ROWS = 100_000
+
+
+def dealt(table: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """A written ``table`` of ``rows`` rows by ``keys``, in partitions of about ``PART_ROWS`` rows: their number follows
+    the table, so what a task sorts does not grow with it (nor do small partitions join again into large ones)."""
+    return table.repartition(max(2, -(-rows // PART_ROWS)), *keys)
