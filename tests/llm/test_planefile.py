@@ -12,6 +12,7 @@ from tracewright.llm import planefile as pf
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIB = Tokenizer.from_file(PATH)
+ANY = pf.Encoder(PATH, most_bytes=1 << 12)
 
 
 def want(rows):
@@ -51,6 +52,47 @@ def test_encoder_equals_the_library():
         assert [np.frombuffer(x, "<u4").tolist() for x in small.encode(texts)] == [LIB.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+class Counted(dict):
+    gets = 0
+
+    def get(self, *a):
+        self.gets += 1
+        return super().get(*a)
+
+
+def test_a_repeated_piece_is_looked_up_once_a_call():
+    encoder = pf.Encoder(PATH)
+    encoder.known = Counted()
+    text = "a bc def\n" * 20_000
+    assert np.frombuffer(encoder.encode([text, text])[1], "<u4").tolist() == LIB.encode(text, add_special_tokens=False).ids
+    assert encoder.known.gets < 20
+
+
+def test_pieces_are_remembered_beyond_24_mib():
+    class Model:
+        def __init__(self, model):
+            self.model, self.calls = model, 0
+
+        def tokenize(self, piece):
+            self.calls += 1
+            return self.model.tokenize(piece)
+
+    encoder = pf.Encoder(PATH)
+    encoder.model = Model(encoder.model)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join(a + b + c + d for b in alphabet for c in alphabet for d in alphabet[:10]) for a in alphabet]
+    first = [encoder.encode([t]) for t in texts]
+    assert encoder.model.calls >= 170_000
+    encoder.model.calls = 0
+    assert [encoder.encode([t]) for t in texts] == first and encoder.model.calls == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab 1'st\n\t\0é漢🎉\u00a0\u3000.!\x85"), max_size=30), max_size=5))
+def test_encoder_on_any_texts(texts):
+    assert [np.frombuffer(x, "<u4").tolist() for x in ANY.encode(texts)] == [LIB.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_odd_rows(spark, bits):
     rows = [(3, None), (1, ""), (2, "a b"), (2, "a b"), (2, "A <|endoftext|>"), (-5, "x " * 5000), (None, "no id")]

@@ -151,16 +151,20 @@ class ShardReader:
 
 class Encoder:
     """Ids as the tokenizers library gives them, with short pieces remembered up to ``most_bytes``
-    (reckoned with Python's overhead); pieces of 64 characters and more are not."""
+    (reckoned with Python's overhead); pieces of 64 characters and more are not. The pieces of a call are
+    told apart by Arrow; Python sees each different one once."""
 
-    def __init__(self, path: str, most_bytes: int = 24 << 20) -> None:
+    def __init__(self, path: str, most_bytes: int = 64 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.splitter = Splitter(self.library)
-        self.model, self.letters = self.library.model, {b: c for c, b in byte_characters().items()}  # a piece needs no more than the merges
+        self.model = self.library.model  # a piece needs no more than the merges
+        self.letters = np.zeros(256, "<u2")
+        for c, b in byte_characters().items():
+            self.letters[b] = ord(c)
         self.known: dict[str, bytes] = {}
         self.most_bytes, self.known_bytes = most_bytes, 0
 
@@ -169,22 +173,36 @@ class Encoder:
         """One per worker process."""
         return held((cls, path), lambda: cls(path))
 
+    def _merged(self, pieces: pa.LargeStringArray) -> list[bytes]:
+        """The ids of each piece, by the library's merges over its bytes' stand-ins."""
+        edges = np.frombuffer(pieces.buffers()[1], np.int64).tolist()
+        letters = self.letters[np.frombuffer(pieces.buffers()[2] or b"", np.uint8)].tobytes().decode("utf-16-le")
+        ids, upto = array("I"), [0]
+        for tokens in map(self.model.tokenize, (letters[a:b] for a, b in zip(edges, edges[1:]))):
+            ids.extend([t.id for t in tokens])
+            upto.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        return [raw[a:b] for a, b in zip(upto, upto[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         plain = [not any(s in t for s in self.special) for t in texts]
-        pieces, n = self.splitter.pieces([t for t, p in zip(texts, plain) if p])
-        ids = list(map(self.known.get, pieces))
-        new = list({p for p, i in zip(pieces, ids) if i is None})
+        pieces, ends = self.splitter.piece_array([t for t, p in zip(texts, plain) if p])
+        coded = pieces.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, words))
+        new = [k for k, i in enumerate(ids) if i is None]
         if new:
-            letters, tokenize = self.letters, self.model.tokenize
-            found = {p: array("I", [t.id for t in tokenize((p if p.isascii() else p.encode().decode("latin-1")).translate(letters))]).tobytes() for p in new}
-            ids = [found[p] if i is None else i for p, i in zip(pieces, ids)]
+            for k, i in zip(new, self._merged(coded.dictionary.take(pa.array(new)))):
+                ids[k] = i
             if self.known_bytes < self.most_bytes:
-                short = {p: i for p, i in found.items() if len(p) < 64}
+                short = {words[k]: ids[k] for k in new if len(words[k]) < 64}
                 self.known.update(short)
                 self.known_bytes += sum(190 + len(p) + len(i) for p, i in short.items())
-        edges = np.concatenate([[0], np.cumsum(n)]).tolist()
-        whole = iter([b"".join(ids[a:b]) for a, b in zip(edges, edges[1:])])
+        flat = pa.array(ids, pa.large_binary()).take(coded.indices)
+        raw = memoryview(flat.buffers()[2] or b"")
+        edges = [0, *np.frombuffer(flat.buffers()[1], np.int64)[ends].tolist()] if len(ends) else [0]
+        whole = (bytes(raw[a:b]) for a, b in zip(edges, edges[1:]))
         return [next(whole) if p else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, p in zip(texts, plain)]
 
 
